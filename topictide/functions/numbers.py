@@ -35,9 +35,9 @@ def relative_change(cur: Column, prev: Column) -> Column:
 
 
 def direction(score: Column, epsilon) -> Column:
-    """up / down strictly outside the epsilon band, flat inside it."""
+    """up / down strictly outside the epsilon band, flat inside it or for NaN."""
     eps = epsilon if isinstance(epsilon, Column) else F.lit(float(epsilon))
-    return F.when(score > eps, "up").when(score < -eps, "down").otherwise("flat")
+    return F.when((score > eps) & ~F.isnan(score), "up").when(score < -eps, "down").otherwise("flat")
 
 
 def total(cols: list[Column]) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from topictide.functions.text import ENGLISH_STOP_WORDS, WORD_PATTERN, clean_label, content_tokens
+from topictide.runtime import bounded_broadcast
 from topictide.schemas import NOISE_CLUSTER, require_columns
 
 NOISE_LABEL = "Uncategorized/Noise"
@@ -17,7 +18,8 @@ def cluster_term_weights(posts: DataFrame, text_col: str = "text", min_df: int =
     """(cluster, term, weight): mean L2-normalised TF-IDF weight per topic vocabulary term.
 
     Posts are spread by row_id once; the tokens of a post then never move until they
-    are counts per (cluster, term), so a topic with most of the rows stays spread out."""
+    are counts per (cluster, term), so a topic with most of the rows stays spread out.
+    The number of topics is counted first: it bounds the vocabulary that is broadcast."""
     require_columns(posts, "row_id", "cluster", text_col)
     topics = posts.where(F.col("cluster") != NOISE_CLUSTER)
     sizes = topics.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_docs"))
@@ -32,6 +34,7 @@ def cluster_term_weights(posts: DataFrame, text_col: str = "text", min_df: int =
              .withColumn("_rank", F.row_number().over(by_freq)).where(F.col("_rank") <= max_features)
              .select("cluster", "term", "n_docs",
                      (F.ln((F.col("n_docs") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")))
+    vocab = bounded_broadcast(vocab, max_features * sizes.count())
     weighted = tf.join(vocab, ["cluster", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("row_id")))
     return (weighted.withColumn("unit", F.col("w") / norm)
