@@ -15,8 +15,11 @@ A dense bin is thus spread over many tasks of bounded memory.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,6 +28,9 @@ from topictide.operators.graph import connected_components
 from topictide.runtime import materialize
 from topictide.schemas import NOISE_CLUSTER
 
+# The block kernels travel with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK_ROWS = 2_000
 BIN_AXES = 2
 
@@ -45,7 +51,7 @@ def _axes(points: DataFrame, n_axes: int) -> list[int]:
 
 
 def block_pairs(points: DataFrame, radius: float, block_rows: int = BLOCK_ROWS, n_axes: int = BIN_AXES) -> DataFrame:
-    """Rows (task, side, point, embedding, weight): every two points within the radius
+    """Rows (task, own, side, point, embedding, weight): every two points within the radius
     meet in exactly one task as left and right side, or inside one block."""
     axes = _axes(points, n_axes)
     bins = [F.floor(F.element_at("embedding", a + 1) / F.lit(float(radius))).cast("long") for a in axes]
@@ -69,23 +75,31 @@ def block_pairs(points: DataFrame, radius: float, block_rows: int = BLOCK_ROWS,
              .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
              .where((F.col("bin") != F.col("other")) | (F.col("i") <= F.col("j")))
              .withColumn("task", F.xxhash64("bin", "other", "i", "j")))
-    sides = pairs.select("task", F.col("bin"), F.col("i").alias("block"), F.lit(0).alias("side")).unionByName(
-        pairs.where((F.col("bin") != F.col("other")) | (F.col("i") != F.col("j")))
-        .select("task", F.col("other").alias("bin"), F.col("j").alias("block"), F.lit(1).alias("side")))
+    pairs = pairs.withColumn("own", (F.col("bin") == F.col("other")) & (F.col("i") == F.col("j")))
+    sides = pairs.select("task", "own", "bin", F.col("i").alias("block"), F.lit(0).alias("side")).unionByName(
+        pairs.where("NOT own").select(
+            "task", "own", F.col("other").alias("bin"), F.col("j").alias("block"), F.lit(1).alias("side")))
     return placed.select("bin", "block", "point", "embedding", "weight").join(sides, ["bin", "block"])
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
+    """All distances; those lost to cancellation are recomputed from differences."""
+    size = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
+    sq = size - 2.0 * (a @ b.T)
+    i, j = np.nonzero(sq <= 1e-6 * size)
+    for k in range(0, len(i), 4096):
+        x, y = i[k:k + 4096], j[k:k + 4096]
+        sq[x, y] = ((a[x] - b[y]) ** 2).sum(1)
     return np.sqrt(np.maximum(sq, 0.0))
 
 
 def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
-    left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-    return (left, left, True) if right.empty else (left, right, False)
+    left = pdf[pdf.side == 0]
+    same = bool(pdf.own.iloc[0])
+    return left, (left if same else pdf[pdf.side == 1]), same
 
 
-def nearest_distances(blocks: DataFrame, radius: float, min_samples: int) -> DataFrame:
+def nearest_distances(points: DataFrame, blocks: DataFrame, radius: float, min_samples: int) -> DataFrame:
     """(point, core): distance to the ``min_samples``-th neighbour, the point itself and
     its copies counted; null when fewer lie within the radius."""
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -107,7 +121,7 @@ def nearest_distances(blocks: DataFrame, radius: float, min_samples: int) -> Dat
         return pd.concat(out)
 
     near = blocks.groupBy("task").applyInPandas(nearest, "point long, d double, w long")
-    own = blocks.select("point", F.lit(0.0).alias("d"), F.col("weight").alias("w")).distinct()
+    own = points.select("point", F.lit(0.0).alias("d"), F.col("weight").alias("w"))
     by_d = W.partitionBy("point").orderBy("d").rowsBetween(W.unboundedPreceding, 0)
     ranked = near.unionByName(own).withColumn("seen", F.sum("w").over(by_d))
     return ranked.groupBy("point").agg(
@@ -119,6 +133,8 @@ def spanning_edges(blocks: DataFrame, cores: DataFrame, radius: float) -> DataFr
     up to the radius, between core points."""
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right, same = _sides(pdf)
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": [], "b": [], "w": []})
         d = _distances(np.stack(left.embedding), np.stack(right.embedding))
         reach = np.maximum(d, np.maximum(left.core.to_numpy()[:, None], right.core.to_numpy()[None, :]))
         keep = reach <= radius
@@ -144,11 +160,7 @@ def spanning_edges(blocks: DataFrame, cores: DataFrame, radius: float) -> DataFr
         return pd.DataFrame({"a": a[kept], "b": b[kept], "w": w[kept]})
 
     known = blocks.join(cores.where(F.col("core") <= radius), "point")
-    # A task whose left side has no core point left has nothing to connect.
-    alive = known.groupBy("task").agg(F.max("side").alias("hi"), F.min("side").alias("lo"))
-    full = blocks.groupBy("task").agg(F.max("side").alias("want"))
-    usable = alive.join(full, "task").where("hi = want AND lo = 0").select("task")
-    return known.join(usable, "task", "left_semi").groupBy("task").applyInPandas(forest, "a long, b long, w double")
+    return known.groupBy("task").applyInPandas(forest, "a long, b long, w double")
 
 
 def flat_clusters(points: DataFrame, radius: float, min_samples: int = 8, min_cluster_size: int = 1,
@@ -157,8 +169,8 @@ def flat_clusters(points: DataFrame, radius: float, min_samples: int = 8, min_cl
     -1 for noise. Core points have ``min_samples`` points, themselves included, within
     the radius; clusters are their connected components."""
     groups, members = unique_points(points)
-    blocks = materialize(block_pairs(groups, radius, block_rows))
-    cores = materialize(nearest_distances(blocks, radius, min_samples))
+    blocks = block_pairs(groups, radius, block_rows)
+    cores = materialize(nearest_distances(groups, blocks, radius, min_samples))
     edges = spanning_edges(blocks, cores, radius).select("a", "b")
     linked = connected_components(edges)
     core_points = cores.where(F.col("core") <= radius).select("point")
@@ -186,8 +198,8 @@ def density_clusters(points: DataFrame, radii: list[float], min_samples: int = 8
     nodes per level and is walked with joins, one level at a time."""
     levels = sorted({float(r) for r in radii}, reverse=True)
     groups, members = unique_points(points)
-    blocks = materialize(block_pairs(groups, levels[0], block_rows))
-    cores = materialize(nearest_distances(blocks, levels[0], min_samples))
+    blocks = block_pairs(groups, levels[0], block_rows)
+    cores = materialize(nearest_distances(groups, blocks, levels[0], min_samples))
     edges = materialize(spanning_edges(blocks, cores, levels[0]))
 
     # Component of every point at every level that is dense enough, from fine to coarse.

@@ -102,8 +102,8 @@ def feature_frame(stats: DataFrame, theme_scores: DataFrame | None = None, max_l
         "next_volume_pct_change": finite_or(F.lead("volume_pct_change").over(_by_time()), None)})
     df = rolling_features(anomaly_fallback(lag_features(df, max_lag)))
     df = interaction_features(theme_features(df, theme_scores))
-    cols = feature_columns(df, max_lag)
-    clean = {c: finite_or(F.col(c), 0.0) if c in df.columns else F.lit(0.0) for c in cols}
+    clean = {c: finite_or(F.col(c), 0.0) if c in df.columns else F.lit(0.0) for c in feature_columns(df, max_lag)}
+    return df.withColumns(clean)
 
 
 def with_target(features: DataFrame, epsilon: float) -> DataFrame:
