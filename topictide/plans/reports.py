@@ -126,10 +126,15 @@ def drill_down(snapshots: DataFrame, cluster: int) -> DataFrame:
         "time_window", F.date_format("time_window", "yyyy-MM")).orderBy("time_window")
 
 
+def scenario_volumes(trends: DataFrame) -> DataFrame:
+    """Posts of all activated topics per scenario and window."""
+    return trends.groupBy("event_id", "time_window").agg(F.sum("post_count").alias("post_count"))
+
+
 def scenario_comparison(trends: DataFrame, scenarios: list[int]) -> DataFrame:
-    """Posts of all activated topics per window and scenario, missing ones 0."""
-    chosen = trends.where(F.col("event_id").isin(scenarios))
-    grid = chosen.groupBy("time_window").pivot("event_id", scenarios).agg(F.sum("post_count"))
+    """Chosen scenarios side by side, one row per window; missing ones are 0."""
+    chosen = scenario_volumes(trends.where(F.col("event_id").isin(scenarios)))
+    grid = chosen.groupBy("time_window").pivot("event_id", scenarios).agg(F.first("post_count"))
     return grid.select("time_window", *[
         F.coalesce(F.col(f"`{s}`"), F.lit(0)).alias(f"scenario_{s}") for s in scenarios])
 
@@ -175,7 +180,8 @@ def activity_cells(stats: DataFrame) -> DataFrame:
 def activity_heatmap(stats: DataFrame, windows: list) -> DataFrame:
     """Label x window matrix over the given windows, empty cells 0."""
     grid = stats.groupBy("cluster_label").pivot("time_window", windows).agg(F.avg("post_count"))
-    return grid.na.fill(0.0)
+    return grid.select("cluster_label", *[
+        F.coalesce(F.col(f"`{w}`"), F.lit(0.0)).alias(str(w)) for w in windows])
 
 
 def label_lifecycle(stats: DataFrame) -> DataFrame:
