@@ -61,6 +61,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents table. When it comes in fewer files than there are cores, its rows
+    are spread first; a large table is in many files already and is not moved."""
+    d = table(spark, sf, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return d.repartition(cores, "doc_id") if len(d.inputFiles()) < cores else d
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint area."""
     return f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
@@ -138,7 +146,7 @@ FROM events""")]
 def posts_docs(spark, sf) -> DataFrame:
     """Whole texts in twelve topics over 18 months; topic 11 is noise. Author is null for
     one source."""
-    d, i = table(spark, sf, "documents"), F.col("doc_id")
+    d, i = texts(spark, sf), F.col("doc_id")
     topic = F.when(i % 12 == 11, -1).otherwise(i % 12).cast("int")
     return d.select(
         i.alias("row_id"), "text", F.when(F.col("source") != "src3", F.col("lang")).alias("author"),
@@ -158,7 +166,7 @@ FROM documents""")]
 
 def event_texts(spark, sf) -> DataFrame:
     """Every document as an incoming event."""
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         F.col("doc_id").alias("event_id"), F.col("text").alias("event_text"))
 
 

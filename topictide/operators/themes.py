@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from topictide.functions.text import DOCUMENT_STOP_WORDS, bigrams, content_tokens, normalized
 from topictide.operators.temporal import valid_timestamps, with_window
-from topictide.runtime import bounded_broadcast
+from topictide.runtime import bounded_broadcast, materialize
 from topictide.schemas import require_columns
 from topictide.sources.lexicon import Lexicon
 
@@ -133,14 +133,17 @@ def vocabulary(terms: DataFrame, n_docs, min_df: int = 2, max_df: float = 0.9,
 
 
 class Tfidf:
-    """L2-normalised TF-IDF of the target documents, kept as aggregates."""
+    """L2-normalised TF-IDF of the target documents, kept as aggregates.
+
+    The term counts, about as large as the texts, are read three times (vocabulary,
+    norms, scores) and the vocabulary twice, so both are written once."""
 
     def __init__(self, posts: DataFrame, targets: DataFrame, freq: str = "1M", min_df: int = 2,
                  max_df: float = 0.9, max_features: int = 50_000, **terms):
         self.targets = targets.select(*DOC).distinct()
-        self.terms = document_terms(posts, freq, **terms).join(self.targets, DOC, "left_semi")
+        self.terms = materialize(document_terms(posts, freq, **terms).join(self.targets, DOC, "left_semi"))
         n_docs = targets.agg(F.count(F.lit(1))).scalar()
-        self.vocabulary = vocabulary(self.terms, n_docs, min_df, max_df, max_features)
+        self.vocabulary = materialize(vocabulary(self.terms, n_docs, min_df, max_df, max_features))
         vocab = bounded_broadcast(self.vocabulary.select("term", "idf"), max_features)
         self.raw = self.terms.join(vocab, "term").select(*DOC, "term", (F.col("tf") * F.col("idf")).alias("w"))
 
