@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalog.views import (
-    DOCS, EVENTS, ORDERS, embeddings_planted, posts_docs, posts_events, posts_orders, r6, register, scratch, table, with_)
+    DOCS, EVENTS, ORDERS, embeddings_planted, posts_docs, posts_events, posts_orders, r6, register, table, with_)
 from topictide.operators import cleaning as C
+from topictide.runtime import scratch_path
 from topictide.sources import readers as R
 from topictide.sources.writers import save
 
@@ -20,7 +21,7 @@ DOC_CSV = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("te
 @register("S01_posts_csv", """
 SELECT doc_id AS row_id, md5(text) AS text_md5, lang, n_chars FROM documents""")
 def _csv(spark, sf):
-    path = scratch(spark)
+    path = scratch_path(spark)
     save(table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text", "lang", "n_chars"), path, "csv")
     return R.read_posts_csv(spark, path, DOC_CSV).select("row_id", F.md5("text").alias("text_md5"), "lang", "n_chars")
 
@@ -29,7 +30,7 @@ def _csv(spark, sf):
 WITH e AS (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
 SELECT row_id, CAST(len(v) AS INTEGER) AS dims, {r6('list_sum(v) AS total', 'sqrt(list_inner_product(v, v)) AS norm')} FROM e""")
 def _embeddings(spark, sf):
-    path = scratch(spark)
+    path = scratch_path(spark)
     save(table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding"), path)
     add = lambda f: F.aggregate("embedding", F.lit(0.0), lambda a, x: a + f(x.cast("double")))
     return R.read_embeddings(spark, path).select(
@@ -58,14 +59,14 @@ CLUSTER_CSV = T.StructType([T.StructField("row_id", T.LongType()), T.StructField
 
 @register("S05_clusters_csv_fallback", with_(EVENTS, final="SELECT row_id, cluster, text FROM posts"))
 def _fallback(spark, sf):
-    path = scratch(spark)
+    path = scratch_path(spark)
     save(posts_events(spark, sf).select("row_id", "cluster", "text"), path, "csv")
     return R.read_clusters(spark, path + "-missing", path, CLUSTER_CSV)
 
 
 @register("S04_clusters_parquet", with_(EVENTS, final="SELECT row_id, cluster, text FROM posts"))
 def _parquet(spark, sf):
-    path = scratch(spark)
+    path = scratch_path(spark)
     save(posts_events(spark, sf).select("row_id", "cluster", "text"), path)
     return R.read_clusters(spark, path)
 
@@ -96,7 +97,7 @@ for _fmt in ("parquet", "csv", "json"):
     @register(f"S10_sink_{_fmt}_kept", with_(EVENTS, final="""
 SELECT cluster, CAST(count(*) AS BIGINT) AS posts, min(text) AS first_text FROM posts GROUP BY 1"""))
     def _sink(spark, sf, fmt=_fmt):
-        path, rows = scratch(spark), posts_events(spark, sf).select("row_id", "cluster", "text")
+        path, rows = scratch_path(spark), posts_events(spark, sf).select("row_id", "cluster", "text")
         save(rows, path, fmt)
         save(rows.withColumn("cluster", F.lit(99)), path, fmt)  # exists: must change nothing
         back = spark.read.schema(CLUSTER_CSV).option("header", True).format(fmt).load(path)
@@ -106,7 +107,7 @@ SELECT cluster, CAST(count(*) AS BIGINT) AS posts, min(text) AS first_text FROM
 @register("S10_sink_forced", with_(EVENTS, final="""
 SELECT cluster + 100 AS cluster, CAST(count(*) AS BIGINT) AS posts FROM posts GROUP BY 1"""))
 def _forced(spark, sf):
-    path, rows = scratch(spark), posts_events(spark, sf).select("row_id", "cluster")
+    path, rows = scratch_path(spark), posts_events(spark, sf).select("row_id", "cluster")
     save(rows, path)
     save(rows.withColumn("cluster", F.col("cluster") + 100), path, force=True)
     return spark.read.parquet(path).groupBy("cluster").agg(F.count(F.lit(1)).alias("posts"))

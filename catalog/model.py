@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from catalog.temporal import NATION_STATS, nation_stats
 from catalog.themes import SCORES, activations, doc_stats, theme_map
-from catalog.views import EVENT_THRESHOLDS, LEXICON, event_texts, r6, register, scratch, with_
+from catalog.views import EVENT_THRESHOLDS, LEXICON, event_texts, r6, register, with_
 from topictide.operators import evaluation as V
 from topictide.operators import features as X
 from topictide.operators import themes as H
 from topictide.operators.profiles import cluster_profiles
 from topictide.plans import forecast, training
+from topictide.runtime import materialize, scratch_path
 
 # --- features -----------------------------------------------------------------------
 
@@ -345,8 +346,6 @@ QUICK = training.Settings(models=("logistic", "random_forest"), epsilons=(0.05,)
 
 def _member(name: str, calibrate: bool):
     def query(spark, sf):
-        from topictide.runtime import materialize
-
         f = materialize(V.holdout_split(frame(spark, sf)))
         s = training.Settings(trees=20, boosting_rounds=5)
         member = training.fit_member(f.where("split = 'train'"), FEATURES_OUT, name, s, calibrate)
@@ -367,8 +366,6 @@ def bundle(spark, sf):
 
 @register("M14_walk_forward_metrics")
 def _walk(spark, sf):
-    from topictide.runtime import materialize
-
     return training.walk_forward(materialize(feats(spark, sf)), FEATURES_OUT, [0.05], QUICK)
 
 
@@ -383,7 +380,7 @@ def _importances(spark, sf):
 
 @register("M20_saved_model_metrics")
 def _saved(spark, sf):
-    path = scratch(spark)
+    path = scratch_path(spark)
     training.save_bundle(bundle(spark, sf), path, spark)
     return training.model_metrics(path, spark)
 

@@ -171,14 +171,14 @@ def _fallback(spark, sf):
 
 
 @register("H07_targets_with_documents", with_(DOC_STATS, TARGETS, [
-    ("docs", "SELECT cluster, time_window, string_agg(coalesce(text, ''), ' ' ORDER BY row_id) AS document, count(*) AS n FROM keyed GROUP BY 1, 2")],
-    final=f"""SELECT t.cluster, t.time_window, t.cluster_label, md5(coalesce(document, '')) AS document_md5,
+    ("docs", "SELECT cluster, time_window, row_id // 10000 AS part, string_agg(coalesce(text, ''), ' ' ORDER BY row_id) AS document, count(*) AS n FROM keyed GROUP BY 1, 2, 3")],
+    final=f"""SELECT t.cluster, t.time_window, t.cluster_label, coalesce(part, 0) AS part, md5(coalesce(document, '')) AS document_md5,
     md5(array_to_string({tokens_sql('document', X.DOCUMENT_STOP_WORDS)}, ' ')) AS normalized_md5,
     CAST(coalesce(n, 0) AS BIGINT) AS source_posts FROM targets t LEFT JOIN docs d ON t.cluster = d.cluster AND t.time_window = d.time_window"""))
 def _attached(spark, sf):
     targets = doc_stats(spark, sf).select("cluster", "time_window", "cluster_label")
-    parts = H.attach_documents(targets, posts_docs(spark, sf), part_rows=1_000_000)
-    return parts.select("cluster", "time_window", "cluster_label", F.md5("document").alias("document_md5"),
+    parts = H.attach_documents(targets, posts_docs(spark, sf))
+    return parts.select("cluster", "time_window", "cluster_label", "part", F.md5("document").alias("document_md5"),
                         F.md5("document_normalized").alias("normalized_md5"), "source_posts")
 
 

@@ -3,13 +3,11 @@ as DataFrames and as the SQL of the check."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topictide.runtime import checkpoint_dir
 from topictide.sources.lexicon import Lexicon
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,11 +67,6 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
     return d.repartition(cores, "doc_id") if len(d.inputFiles()) < cores else d
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint area."""
-    return f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
-
-
 # --- posts from orders ----------------------------------------------------------
 
 NATION_TOPICS = [(24, 24, -1), (0, 0, 0), (1, 2, 1), (3, 6, 2), (7, 14, 3), (15, 23, 4)]

@@ -41,12 +41,15 @@ def score_events(events: DataFrame, lexicon: Lexicon, stop_words=EVENT_STOP_WORD
     require_columns(events, "event_id", "event_text")
     tokens = events.select("event_id", content_tokens(F.col("event_text"), stop_words).alias("tokens"))
 
-    by_token = (tokens.select("event_id", F.explode("tokens").alias("token"))
+    # The lexicon is configuration of checked size, so its terms may pass the driver.
+    terms = [tuple(r) for r in lexicon.terms(spark, stop_words).orderBy("theme_id", "term").collect()]
+    known_tokens = sorted({w for _, term in terms for w in term.split()})
+    matched = F.filter("tokens", lambda t: t.isin(known_tokens))
+    by_token = (tokens.select("event_id", F.explode(matched).alias("token"))
                 .join(F.broadcast(lexicon.tokens(spark, stop_words)), "token")
                 .select("event_id", "theme_id", F.col("idf").alias("score")))
 
-    phrases = [(r.theme_id, r.term) for r in
-               lexicon.terms(spark, stop_words).where(F.col("term").contains(" ")).orderBy("theme_id", "term").collect()]
+    phrases = [(t, p) for t, p in terms if " " in p]
     parts = [by_token]
     if phrases:
         known = F.array(*[F.struct(F.lit(t).alias("theme_id"), F.lit(p).alias("phrase")) for t, p in phrases])

@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Every round hooks each node to its smallest neighbour (a combinable min), follows
     the hooks to a root and contracts the edges to roots, so edges shrink fast and a
     node with very many edges is reduced before it is shuffled. Rounds are cut by
-    reliable checkpoints; the result is named by the smallest node at the end."""
+    written tables; the result is named by the smallest node at the end."""
     edges = materialize(edges.select("a", "b").where("a <> b").distinct())
     labels = materialize(
         edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
