@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from topictide.functions.numbers import relative_change
 from topictide.functions.windows import QUARTER, window_label, window_name, windows_until
+from topictide.runtime import bounded_broadcast
 from topictide.schemas import NOISE_CLUSTER, SNAPSHOT_COLUMNS, require_columns
 
 ENGAGEMENT = ["likes", "reach", "shares", "comments"]
@@ -47,12 +48,13 @@ def first_labels(posts: DataFrame) -> DataFrame:
 
 def with_window(posts: DataFrame, freq: str, per_cluster_anchor: bool = True) -> DataFrame:
     """Add ``time_window``. Three-month bins start at each cluster's first month,
-    or with ``per_cluster_anchor=False`` at the first month of all posts."""
+    or with ``per_cluster_anchor=False`` at the first month of all posts. Clusters are
+    counted first, so that hot ones are joined by broadcast and not moved."""
     if window_name(freq) != QUARTER:
         return posts.withColumn("time_window", window_label(F.col("timestamp"), freq))
     if per_cluster_anchor:
         anchors = posts.groupBy("cluster").agg(F.min("timestamp").alias("_anchor"))
-        anchored = posts.join(anchors, "cluster")
+        anchored = posts.join(bounded_broadcast(anchors, anchors.count()), "cluster")
     else:
         anchored = posts.withColumn("_anchor", posts.agg(F.min("timestamp")).scalar())
     return anchored.withColumn(
