@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def crc_mod(column: str | Column, n: int) -> Column:
 def rows_per_batch(batch: pa.RecordBatch, column: str, target: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about ``target`` bytes of the column, so that very long texts don't meet in memory."""
     col, start, size = batch.column(column), 0, 0
-    lengths = pa.compute.binary_length(col).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(col).to_numpy(zero_copy_only=False)
     for i, n in enumerate(np.nan_to_num(lengths.astype("float64")).tolist()):
         if size and size + n > target:
             yield batch.slice(start, i - start)
@@ -90,7 +91,15 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     n = len(h) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+    out, factor = np.zeros(n, np.uint64), 1
     for i in range(width):
-        out = mix(out * GOLDEN + h[i:i + n] + np.uint64(i + 1))
-    return out
+        factor = factor * 0x9E3779B97F4A7C15 % 2**64
+        out += h[i:i + n] * np.uint64(factor)
+    return mix(out)
+
+
+def inner_windows(lengths: np.ndarray, width: int) -> np.ndarray:
+    """Of texts laid one after another, where the windows start that lie within one text."""
+    total = int(lengths.sum())
+    ends = np.repeat(np.cumsum(lengths), lengths)
+    return np.flatnonzero(np.arange(total) + width <= ends)
