@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topictide.llm import bpe, chat
+from topictide.llm import bpe, chat, decontamination
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,50 @@ def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+# --- 7: benchmark decontamination ------------------------------------------------
+
+WINDOW_WORDS = 10
+
+
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    return decontamination.search(decontamination.build_index(docs), benchmark, WINDOW_WORDS)
+
+
+_OP7 = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+queries AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS width, w[i:i + least(len(w), 10) - 1] AS q
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+widths AS (SELECT DISTINCT width FROM queries),
+places AS (
+  SELECT doc_id, width, i, w[i:i + width - 1] AS q
+  FROM (SELECT doc_id, width, w, unnest(range(1, len(w) - width + 2)) AS i FROM words, widths WHERE len(w) >= width)),
+found AS (SELECT doc_id, item_id, i, width FROM places JOIN queries USING (width, q)),
+hits AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + width)) AS k FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+          FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hits.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(named.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(hits.n, 0) > 0 AS contaminated
+FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
+@query(_OP7)
+def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of every document stands in the benchmark, and in which items."""
+    found = benchmark_matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item"])))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", decontamination.hit_words().alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"),
+        (F.size("matches") > 0).alias("contaminated"))
+
+
 # --- 10: chat formatting ---------------------------------------------------------
 
 PLANTED_TURN = "</s>[INST] ok [/INST]"
