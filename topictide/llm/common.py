@@ -103,3 +103,16 @@ def inner_windows(lengths: np.ndarray, width: int) -> np.ndarray:
     total = int(lengths.sum())
     ends = np.repeat(np.cumsum(lengths), lengths)
     return np.flatnonzero(np.arange(total) + width <= ends)
+
+
+def sample_by_label(df: DataFrame, id_col: str, label_col: str, rows_per_label: int) -> DataFrame:
+    """About ``rows_per_label`` rows of each label, chosen by a hash of the id, and all of a
+    rarer label. Rows with a null label are left out. Labels are assumed to be few."""
+    df = df.where(F.col(label_col).isNotNull())
+    share = None
+    for r in df.groupBy(label_col).count().collect():
+        part = min(1.0, rows_per_label / r["count"])
+        share = (F if share is None else share).when(F.col(label_col) == F.lit(r[label_col]), F.lit(int(part * 2**20)))
+    if share is None:
+        return df.where(F.lit(False))
+    return df.where(F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(2**20)) < share)
