@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topictide.llm import bpe, chat, decontamination, langid, quality_rules, toxicity
+from topictide.llm import bpe, chat, decontamination, langid, licenses, line_dedup, ngram_join, quality_rules, toxicity
 from topictide.llm.common import crc_mod
 from topictide.runtime import materialize
 
@@ -47,6 +47,14 @@ def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+# --- 3: line dedup ---------------------------------------------------------------
+
+@query()
+def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the lines that an earlier document or line has."""
+    return line_dedup.dedup_lines(table(spark, sf, "documents")).select("doc_id", "text", "removed_lines")
+
+
 # --- 4: language ID --------------------------------------------------------------
 
 def language_model(docs: DataFrame) -> langid.Model:
@@ -62,6 +70,31 @@ def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+# --- 5: n-gram Jaccard join --------------------------------------------------------
+
+_OP5 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, hash(w[i:i + 4]) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.h = b.h AND a.doc_id <> b.doc_id
+  JOIN sizes p ON p.doc_id = a.doc_id JOIN sizes q ON q.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(p.n) + any_value(q.n) - count(*))),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+SELECT x AS doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(y) AS component_id
+FROM reach LEFT JOIN sizes ON sizes.doc_id = x GROUP BY x"""
+
+
+@query(_OP5)
+def op5_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    """The component of near-duplicates of every document."""
+    return ngram_join.near_duplicates(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
 # --- 6: quality rules ------------------------------------------------------------
 
 @query()
@@ -119,6 +152,14 @@ def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
         (F.size("matches") > 0).alias("contaminated"))
 
 
+# --- 8: license scans --------------------------------------------------------------
+
+@query()
+def op8_license_scans(spark: SparkSession, sf: str) -> DataFrame:
+    """Every license notice in the documents, how much of it stands there, and where."""
+    return licenses.scan(table(spark, sf, "documents"))
+
+
 # --- 9: toxicity -----------------------------------------------------------------
 
 @query()
