@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topictide.llm import bpe, chat, decontamination, langid, licenses, line_dedup, ngram_join, quality_rules, toxicity
+from topictide.llm import bpe, chat, decontamination, langid, licenses, line_dedup, lm_scoring, ngram_join, quality_rules, toxicity
 from topictide.llm.common import crc_mod
 from topictide.runtime import materialize
 
@@ -31,6 +31,43 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+# --- 1: LM scoring -----------------------------------------------------------------
+
+_OP1 = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+tokens AS (SELECT doc_id, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a, len(w) AS n
+           FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words)),
+own_one AS (SELECT doc_id, b, count(*) AS c FROM tokens GROUP BY ALL),
+one AS (SELECT b, sum(c) AS c FROM own_one GROUP BY b),
+own_two AS (SELECT doc_id, a, b, count(*) AS c FROM tokens WHERE a IS NOT NULL GROUP BY ALL),
+two AS (SELECT a, b, sum(c) AS c FROM own_two GROUP BY a, b),
+size AS (SELECT count(*) AS n FROM tokens),
+rated AS (
+  SELECT t.doc_id, t.a IS NOT NULL AS has_two, coalesce(two.c - own_two.c, 0) AS c2, coalesce(before.c - own_before.c, 0) AS base,
+         one.c - own_one.c AS c1, greatest(size.n - t.n, 1) AS others
+  FROM tokens t CROSS JOIN size
+  JOIN one ON one.b = t.b JOIN own_one ON own_one.doc_id = t.doc_id AND own_one.b = t.b
+  LEFT JOIN two ON two.a = t.a AND two.b = t.b LEFT JOIN own_two ON own_two.doc_id = t.doc_id AND own_two.a = t.a AND own_two.b = t.b
+  LEFT JOIN one before ON before.b = t.a LEFT JOIN own_one own_before ON own_before.doc_id = t.doc_id AND own_before.b = t.a),
+logs AS (
+  SELECT doc_id, CASE WHEN c2 > 0 THEN ln(c2 / base)
+                      WHEN c1 > 0 THEN ln(c1 / others) + CASE WHEN has_two THEN ln(0.4) ELSE 0 END
+                      ELSE ln(1 / others) + ln(0.4) * CASE WHEN has_two THEN 2 ELSE 1 END END AS v,
+         CASE WHEN has_two THEN c2 = 0 ELSE c1 = 0 END AS backed
+  FROM rated)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0), 4) + 0.0 AS log_score, CAST(coalesce(k, 0) AS BIGINT) AS n_backed_off
+FROM words LEFT JOIN (SELECT doc_id, sum(v) AS s, count(*) FILTER (backed) AS k FROM logs GROUP BY doc_id) USING (doc_id)"""
+
+
+@query(_OP1)
+def op1_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    """How likely every document is by the bigrams of all others."""
+    scored = lm_scoring.score(table(spark, sf, "documents"))
+    return scored.withColumn("log_score", F.round("log_score", 4))
+
+
 # --- 2: byte-level BPE -----------------------------------------------------------
 
 def bpe_round_trip(docs: DataFrame) -> DataFrame:
