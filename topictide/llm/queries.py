@@ -129,7 +129,7 @@ FROM reach LEFT JOIN sizes ON sizes.doc_id = x GROUP BY x"""
 @query(_OP5)
 def op5_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     """The component of near-duplicates of every document."""
-    return ngram_join.near_duplicates(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+    return ngram_join.near_duplicates(table(spark, sf, "documents"))
 
 
 # --- 6: quality rules ------------------------------------------------------------
