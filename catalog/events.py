@@ -18,27 +18,27 @@ from topictide.operators.profiles import cluster_profiles
 def profiles_sql(stats: list) -> list:
     last = lambda c, k: f"max(CASE WHEN back = {k} THEN {c} END)"
     lag = lambda c, k: "coalesce(" + ", ".join(last(c, i) for i in range(k, 0, -1)) + ")"
-    lags = ", ".join(f"{lag(c, k)} AS recent_{n}_lag{k}" for c, n in (("growth", "growth"), ("mom", "momentum")) for k in range(1, 5))
+    lags = ", ".join(f"{lag(c, k)} AS recent_{n}_lag{k}" for c, n in (("growth", "growth"), ("mom", "volume_lead")) for k in range(1, 5))
     return [
         *stats,
         ("ranked", """SELECT cluster, time_window, CAST(post_count AS DOUBLE) AS n, coalesce(volume_volatility, 0) AS vol,
-            coalesce(market_share, 0) AS share, coalesce(volume_pct_change, 0) AS growth, coalesce(momentum, 0) AS mom, coalesce(anomaly_score, 0) AS anom,
+            coalesce(market_share, 0) AS share, coalesce(volume_pct_change, 0) AS growth, coalesce(volume_lead, 0) AS mom, coalesce(anomaly_score, 0) AS anom,
             row_number() OVER (PARTITION BY cluster ORDER BY time_window) - 1 AS idx,
             row_number() OVER (PARTITION BY cluster ORDER BY time_window DESC) AS back FROM stats"""),
         ("prof", f"""SELECT cluster, CAST(count(*) AS BIGINT) AS n_windows, avg(n) AS avg_post_count, avg(vol) AS avg_volatility, avg(share) AS avg_market_share,
-            avg(CASE WHEN back <= 3 THEN growth END) AS recent_growth, avg(CASE WHEN back <= 3 THEN mom END) AS recent_momentum, {lags},
+            avg(CASE WHEN back <= 3 THEN growth END) AS recent_growth, avg(CASE WHEN back <= 3 THEN mom END) AS recent_volume_lead, {lags},
             avg(CASE WHEN back <= 3 THEN n END) AS rolling_post_mean_3, avg(CASE WHEN back <= 6 THEN n END) AS rolling_post_mean_6,
             {last('anom', 1)} AS recent_anomaly_score, CASE WHEN count(*) > 1 THEN regr_slope(n, idx) ELSE 0.0 END AS trend_slope
             FROM ranked GROUP BY 1"""),
-        ("scored_prof", """SELECT *, 0.5 * recent_growth + 0.3 * (recent_momentum / greatest(avg_post_count, 1.0))
+        ("scored_prof", """SELECT *, 0.5 * recent_growth + 0.3 * (recent_volume_lead / greatest(avg_post_count, 1.0))
             + 0.2 * (trend_slope / greatest(avg_post_count, 1.0)) AS direction_score FROM prof"""),
         ("profiles", """SELECT *, CASE WHEN direction_score > 0.05 THEN 'up' WHEN direction_score < -0.05 THEN 'down' ELSE 'flat' END AS direction_label
             FROM scored_prof"""),
     ]
 
 
-PROFILE_DOUBLES = ["avg_post_count", "avg_volatility", "avg_market_share", "recent_growth", "recent_momentum",
-                   *[f"recent_{n}_lag{k}" for n in ("growth", "momentum") for k in range(1, 5)], "rolling_post_mean_3",
+PROFILE_DOUBLES = ["avg_post_count", "avg_volatility", "avg_market_share", "recent_growth", "recent_volume_lead",
+                   *[f"recent_{n}_lag{k}" for n in ("growth", "volume_lead") for k in range(1, 5)], "rolling_post_mean_3",
                    "rolling_post_mean_6", "recent_anomaly_score", "trend_slope", "direction_score"]
 
 
@@ -81,15 +81,22 @@ def replies(spark, sf):
     """A JSON reply per event in the shapes a remote model produces, broken ones included."""
     e, i = event_texts(spark, sf), F.col("event_id")
     rel = ((i % 17) / F.lit(10.0) - F.lit(0.3))
-    body = F.concat(F.lit('{"theme_relevance": [{"theme_id": '), (i % 6).cast("string"), F.lit(', "relevance": '),
-                    rel.cast("string"), F.lit(', "reason": "r"}, {"theme_id": "x", "relevance": 1}, {"relevance": 0.5}]}'))
+    shape = i.cast("long") % 4  # the id as a whole number, a float, text, or text that is none
+    name = (i % 6).cast("string")
+    own = F.when(shape == 1, F.concat(name, F.lit(".0"))).when(shape == 2, F.concat(F.lit('"'), name, F.lit('"'))).when(
+        shape == 3, F.concat(F.lit('"'), name, F.lit('.0"'))).otherwise(name)
+    body = F.concat(F.lit('{"theme_relevance": ["oops", {"theme_id": '), own, F.lit(', "relevance": '),
+                    rel.cast("string"), F.lit(', "reason": "r"}, {"theme_id": "x", "relevance": 1}, {"relevance": 0.5}, 7, '
+                                              '{"theme_id": 9, "relevance": "NaN"}]}'))
     return e.select("event_id", F.when(i % 5 == 0, body).when(i % 5 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
                     .when(i % 5 == 2, F.concat(F.lit("Here you are:\n"), body, F.lit("\nDone.")))
                     .when(i % 5 == 3, F.lit("{not json}")).otherwise(F.lit("")).alias("reply"))
 
 
 RELEVANCE = [("relevance", """SELECT doc_id AS event_id, CAST(doc_id % 6 AS INTEGER) AS theme_id,
-    greatest(0.0::DOUBLE, least(1.0::DOUBLE, (doc_id % 17) / 10.0::DOUBLE - 0.3::DOUBLE)) AS relevance FROM documents WHERE doc_id % 5 < 3""")]
+    greatest(0.0::DOUBLE, least(1.0::DOUBLE, (doc_id % 17) / 10.0::DOUBLE - 0.3::DOUBLE)) AS relevance FROM documents
+    WHERE doc_id % 5 < 3 AND doc_id % 4 < 3
+    UNION ALL SELECT doc_id, 9, 0.0::DOUBLE FROM documents WHERE doc_id % 5 < 3""")]
 
 
 @register("E02_relevance_replies", with_(RELEVANCE, final=f"SELECT event_id, theme_id, {r6('relevance')} FROM relevance"))
@@ -126,9 +133,9 @@ def activated_sql(mapped: bool) -> list:
         ("hot", f"""SELECT s.event_id, s.theme_id, n.theme_name, {topic} AS mapped_cluster_id, s.score, CAST({_T} AS DOUBLE) AS threshold
             FROM event_scores s JOIN event_names n ON n.theme_id = s.theme_id {join} WHERE s.score >= {_T}"""),
         ("activated", """SELECT h.*, h.score / CASE WHEN sum(h.score) OVER (PARTITION BY event_id) <> 0 THEN sum(h.score) OVER (PARTITION BY event_id)
-            ELSE 1.0 END AS weight, p.direction_label, p.direction_score, p.avg_volatility, p.avg_market_share, p.recent_momentum,
-            p.recent_growth_lag1, p.recent_growth_lag2, p.recent_growth_lag3, p.recent_growth_lag4, p.recent_momentum_lag1, p.recent_momentum_lag2,
-            p.recent_momentum_lag3, p.recent_momentum_lag4, p.rolling_post_mean_3, p.rolling_post_mean_6, p.recent_anomaly_score
+            ELSE 1.0 END AS weight, p.direction_label, p.direction_score, p.avg_volatility, p.avg_market_share, p.recent_volume_lead,
+            p.recent_growth_lag1, p.recent_growth_lag2, p.recent_growth_lag3, p.recent_growth_lag4, p.recent_volume_lead_lag1, p.recent_volume_lead_lag2,
+            p.recent_volume_lead_lag3, p.recent_volume_lead_lag4, p.rolling_post_mean_3, p.rolling_post_mean_6, p.recent_anomaly_score
             FROM hot h JOIN profiles p ON p.cluster = h.mapped_cluster_id"""),
         ("estimate", """SELECT event_id, sum(weight * direction_score) AS ds, sum(weight * avg_volatility) AS vol, count(*) AS n,
             string_agg(theme_id, ',' ORDER BY score DESC, theme_id) AS themes FROM activated GROUP BY 1"""),

@@ -46,8 +46,8 @@ def features_sql(stats: list, wide: str | None = None) -> list:
             FROM base WINDOW w AS (PARTITION BY cluster ORDER BY time_window)"""),
         ("arrayed", f"SELECT *, {arr if wide else '[0.0]'} AS ts FROM rolled"),
         ("themed", f"SELECT *, {summary} FROM arrayed"),
-        ("crossed", """SELECT *, momentum * volume_volatility AS momentum_x_volatility, volume_pct_change_lag1 - volume_pct_change_lag2 AS volume_acceleration,
-            momentum_lag1 - momentum_lag2 AS momentum_acceleration,
+        ("crossed", """SELECT *, volume_lead * volume_volatility AS volume_lead_x_volatility, volume_pct_change_lag1 - volume_pct_change_lag2 AS volume_acceleration,
+            volume_lead_lag1 - volume_lead_lag2 AS volume_lead_acceleration,
             coalesce(theme_entropy - lag(theme_entropy) OVER (PARTITION BY cluster ORDER BY time_window), 0.0) AS theme_entropy_change FROM themed"""),
         ("feats", "SELECT cluster, time_window, post_count, volume_pct_change, CASE WHEN isinf(nxt) THEN NULL ELSE nxt END AS next_volume_pct_change, "
                   + ", ".join(f"{clean(c)} AS {c}" for c in cols) + " FROM crossed"),
@@ -79,8 +79,8 @@ def _columns(name: str, *cols: str):
 _columns("F01_lag_features", *[f"{c}_lag{k}" for c in X.LAGGED for k in range(1, 5)])
 _columns("F03_rolling_means", "rolling_post_mean_3", "rolling_post_mean_6")
 _columns("F04_trend_slope", "trend_slope_4")
-_columns("F07_interactions", "momentum_x_volatility", "volume_acceleration", "momentum_acceleration")
-_columns("F09_sanitised_features", "momentum", "volume_volatility", "market_share", "anomaly_score")
+_columns("F07_interactions", "volume_lead_x_volatility", "volume_acceleration", "volume_lead_acceleration")
+_columns("F09_sanitised_features", "volume_lead", "volume_volatility", "market_share", "anomaly_score")
 
 
 @register("F02_anomaly_fallback", with_(NATION_STATS, final=f"SELECT cluster, time_window, {r6('anomaly_score')} FROM stats"))
@@ -126,8 +126,8 @@ def _labels(spark, sf):
     return out
 
 
-HEUR = """CASE WHEN 0.7 * volume_pct_change + 0.3 * (momentum / greatest(post_count, 1)) > 0.05 THEN 'up'
-WHEN 0.7 * volume_pct_change + 0.3 * (momentum / greatest(post_count, 1)) < -0.05 THEN 'down' ELSE 'flat' END"""
+HEUR = """CASE WHEN 0.7 * volume_pct_change + 0.3 * (volume_lead / greatest(post_count, 1)) > 0.05 THEN 'up'
+WHEN 0.7 * volume_pct_change + 0.3 * (volume_lead / greatest(post_count, 1)) < -0.05 THEN 'down' ELSE 'flat' END"""
 
 
 @register("F12_heuristic_baseline", with_(FRAME, final=f"SELECT cluster, time_window, target, {HEUR} AS prediction FROM frame"))
@@ -171,9 +171,9 @@ def _stack_folds(spark, sf):
 # --- probabilities and metrics over two rule-based members ------------------------------
 
 def member_probs(df):
-    """Two rule-based members; their probabilities follow momentum and reversion."""
+    """Two rule-based members; their probabilities follow volume_lead and reversion."""
     keys = ["cluster", "time_window", "target", *[c for c in ("split", "epsilon") if c in df.columns]]
-    s = F.col("momentum") / (F.col("post_count") + 1)
+    s = F.col("volume_lead") / (F.col("post_count") + 1)
     g = F.greatest(F.least(F.col("volume_pct_change"), F.lit(1.0)), F.lit(-1.0))
     zero = F.lit(0.0)
     parts = []
@@ -188,8 +188,8 @@ def member_probs(df):
 
 
 def members_sql(source: str, extra: str = "") -> list:
-    return [("raw_members", f"""SELECT cluster, time_window, target{extra}, 'trend' AS model, 1 + greatest(-momentum / (post_count + 1), 0) * 4 AS d, 1.2::DOUBLE AS f,
-            1 + greatest(momentum / (post_count + 1), 0) * 4 AS u FROM {source}
+    return [("raw_members", f"""SELECT cluster, time_window, target{extra}, 'trend' AS model, 1 + greatest(-volume_lead / (post_count + 1), 0) * 4 AS d, 1.2::DOUBLE AS f,
+            1 + greatest(volume_lead / (post_count + 1), 0) * 4 AS u FROM {source}
         UNION ALL SELECT cluster, time_window, target{extra}, 'revert', 1 + greatest(greatest(least(volume_pct_change, 1.0), -1.0), 0) * 3, 1.0::DOUBLE,
             1 + greatest(-greatest(least(volume_pct_change, 1.0), -1.0), 0) * 3 FROM {source}"""),
             ("probs", f"""SELECT cluster, time_window, target{extra}, model, d / (d + f + u) AS p_down, f / (d + f + u) AS p_flat, u / (d + f + u) AS p_up FROM raw_members""")]

@@ -39,14 +39,14 @@ def _best(spark, sf):
 
 @register("Q02_topic_table", with_(DOC_BEST, final=f"""
 SELECT 'cluster-' || l.cluster AS id, l.cluster, cluster_label, coalesce(theme_name, '') AS theme_name, post_count AS size,
-{r6('market_share * 100 AS market_share', 'volume_pct_change * 100 AS volume_pct_change', 'volume_volatility', 'momentum', 'anomaly_score')},
+{r6('market_share * 100 AS market_share', 'volume_pct_change * 100 AS volume_pct_change', 'volume_volatility', 'volume_lead', 'anomaly_score')},
 upper(lifecycle_state[1:1]) || lifecycle_state[2:] AS lifecycle, time_window AS latest_window
 FROM latest l LEFT JOIN theme_names n ON n.cluster = l.cluster"""))
 def _table(spark, sf):
     return R.cluster_table(T.snapshots(doc_stats(spark, sf)), H.cluster_theme_names(theme_map(spark, sf)))
 
 
-SERIES = f"'cluster-' || cluster AS cluster_id, cluster_label, time_window, post_count, {r6('market_share * 100 AS market_share', 'momentum', 'volume_volatility AS volatility')}"
+SERIES = f"'cluster-' || cluster AS cluster_id, cluster_label, time_window, post_count, {r6('market_share * 100 AS market_share', 'volume_lead', 'volume_volatility AS volatility')}"
 
 
 @register("Q03_monthly_snapshots", with_(ORDER_STATS, final=f"SELECT {SERIES} FROM stats WHERE cluster <> -1"))
@@ -85,7 +85,7 @@ def _kpis(spark, sf):
     return R.kpis(T.snapshots(nation_stats(spark, sf)))
 
 
-TRENDS = [*MAPPED, ("trends", """SELECT a.event_id, s.cluster, s.cluster_label, s.time_window, s.post_count, s.market_share * 100 AS market_share, s.momentum,
+TRENDS = [*MAPPED, ("trends", """SELECT a.event_id, s.cluster, s.cluster_label, s.time_window, s.post_count, s.market_share * 100 AS market_share, s.volume_lead,
     s.volume_volatility AS volatility FROM (SELECT DISTINCT event_id, mapped_cluster_id FROM activated) a JOIN stats s ON s.cluster = a.mapped_cluster_id""")]
 
 
@@ -94,7 +94,7 @@ def trends(spark, sf):
 
 
 @register("Q09_event_trends", with_(TRENDS, final=f"""
-SELECT event_id, cluster, cluster_label, time_window, post_count, {r6('market_share', 'momentum', 'volatility')} FROM trends"""))
+SELECT event_id, cluster, cluster_label, time_window, post_count, {r6('market_share', 'volume_lead', 'volatility')} FROM trends"""))
 def _trends(spark, sf):
     return trends(spark, sf)
 
@@ -127,7 +127,7 @@ def _anomalous(spark, sf):
 
 
 TOPICS = [-1, 0, 1, 2, 3, 4]
-for _metric in ("post_count", "market_share", "momentum", "volume_volatility"):
+for _metric in ("post_count", "market_share", "volume_lead", "volume_volatility"):
     @register(f"Q14_trend_matrix_{_metric}", with_(ORDER_STATS, final="SELECT strftime(time_window, '%Y-%m') AS time_window, " + (
         ", ".join(f"max(CASE WHEN cluster = {c} THEN {_metric} END) AS \"cluster_{c}\"" for c in TOPICS) if _metric == "post_count" else
         r6(*[f"max(CASE WHEN cluster = {c} THEN {_metric} END) AS \"cluster_{c}\"" for c in TOPICS])) + " FROM stats GROUP BY 1"))
@@ -136,12 +136,12 @@ for _metric in ("post_count", "market_share", "momentum", "volume_volatility"):
 
 
 @register("Q15_topics_by_metric", with_(NATION_BEST, final=f"""
-SELECT cluster, CAST(row_number() OVER (ORDER BY abs(momentum) DESC, cluster) AS INTEGER) AS position, {r6('momentum')} FROM latest"""))
+SELECT cluster, CAST(row_number() OVER (ORDER BY abs(volume_lead) DESC, cluster) AS INTEGER) AS position, {r6('volume_lead')} FROM latest"""))
 def _ranked(spark, sf):
-    table = R.ranked_by(R.cluster_table(T.snapshots(nation_stats(spark, sf))), "momentum")
+    table = R.ranked_by(R.cluster_table(T.snapshots(nation_stats(spark, sf))), "volume_lead")
     # One row per topic of one window; the position shows the order in the check.
-    order = W.partitionBy("latest_window").orderBy(F.abs("momentum").desc(), "cluster")
-    return table.select("cluster", F.row_number().over(order).alias("position"), "momentum")
+    order = W.partitionBy("latest_window").orderBy(F.abs("volume_lead").desc(), "cluster")
+    return table.select("cluster", F.row_number().over(order).alias("position"), "volume_lead")
 
 
 @register("Q16_scenario_volumes", with_(TRENDS, final="""
@@ -162,7 +162,7 @@ def _export(spark, sf):
 
 
 @register("Q18_last_state", with_(NATION_STATS, final=f"""
-SELECT cluster, {r6('arg_max(momentum, time_window) AS momentum', 'arg_max(volume_volatility, time_window) AS volatility')} FROM stats GROUP BY 1"""))
+SELECT cluster, {r6('arg_max(volume_lead, time_window) AS volume_lead', 'arg_max(volume_volatility, time_window) AS volatility')} FROM stats GROUP BY 1"""))
 def _last(spark, sf):
     return R.last_state(T.snapshots(nation_stats(spark, sf)))
 

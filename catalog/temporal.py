@@ -63,7 +63,7 @@ def stats_sql(posts: list, freq: str = "1M", measures: dict | None = None, autho
         ("stats", """SELECT g.cluster, l.cluster_label, g.time_window, post_count, unique_authors,
             total_likes, total_reach, total_shares, total_comments,
             CASE WHEN n > 0 THEN total_likes / n END AS avg_likes, CASE WHEN n > 0 THEN total_reach / n END AS avg_reach,
-            volume_pct_change, engagement_growth, coalesce(sd3, 0.0) AS volume_volatility, n - avg3 AS momentum,
+            volume_pct_change, engagement_growth, coalesce(sd3, 0.0) AS volume_volatility, n - avg3 AS volume_lead,
             (n - mean_n) / CASE WHEN sd_n > 0 THEN sd_n ELSE 1.0 END AS anomaly_score,
             CASE WHEN sum(n) OVER (PARTITION BY g.time_window) > 0 THEN n / sum(n) OVER (PARTITION BY g.time_window) END AS market_share,
             CASE WHEN windows < 2 THEN 'stable' WHEN mean_n = 0 OR rv < mean_n * 0.2 THEN 'dormant' WHEN rg > 0.5 THEN 'emerging'
@@ -74,7 +74,7 @@ def stats_sql(posts: list, freq: str = "1M", measures: dict | None = None, autho
 
 FULL = {"likes": "likes", "reach": "reach", "shares": "shares"}
 DOUBLES = ["total_likes", "total_reach", "total_shares", "total_comments", "avg_likes", "avg_reach", "volume_pct_change",
-           "engagement_growth", "volume_volatility", "momentum", "anomaly_score", "market_share"]
+           "engagement_growth", "volume_volatility", "volume_lead", "anomaly_score", "market_share"]
 STATS_OUT = "cluster, cluster_label, time_window, post_count, unique_authors, lifecycle_state, " + r6(*DOUBLES)
 NATION_STATS = stats_sql(NATION, "1M", FULL)
 ORDER_STATS = stats_sql(ORDERS, "1M", FULL)
@@ -124,7 +124,7 @@ def _metric(name: str, *columns: str):
 _metric("T05_average_engagement", "avg_likes", "avg_reach")
 _metric("T06_relative_changes", "volume_pct_change", "engagement_growth")
 _metric("T07_volume_volatility", "volume_volatility")
-_metric("T08_momentum", "momentum")
+_metric("T08_volume_lead", "volume_lead")
 _metric("T09_anomaly_score", "anomaly_score")
 
 
@@ -163,13 +163,13 @@ for _name, _freq, _posts, _cte, _measures in (
         return T.temporal_stats(posts(spark, sf), freq)
 
 
-SNAP_DOUBLES = ["market_share", "volume_pct_change", "volume_volatility", "momentum", "anomaly_score"]
+SNAP_DOUBLES = ["market_share", "volume_pct_change", "volume_volatility", "volume_lead", "anomaly_score"]
 SNAP_OUT = "time_window, cluster, cluster_label, post_count, lifecycle_state, " + r6(*SNAP_DOUBLES)
 
 
 @register("T15_monthly_snapshots", with_(ORDER_STATS, final=f"SELECT {SNAP_OUT} FROM stats"))
 def _snapshots(spark, sf):
-    return T.snapshots(order_stats(spark, sf))
+    return T.snapshots(order_stats(spark, sf)).orderBy("time_window", "cluster")
 
 
 @register("T16_lifecycle_counts", with_(NATION_STATS, final="""
@@ -199,7 +199,7 @@ def weekly_sql(posts: list) -> list:
         ("wlabels", "SELECT cluster, arg_min(cluster_label, row_id) AS cluster_label FROM keyed GROUP BY 1"),
         ("weekly", """SELECT g.time_window, g.cluster, l.cluster_label, CAST(n AS BIGINT) AS post_count,
             n / nullif(sum(n) OVER (PARTITION BY g.time_window), 0) AS market_share, volume_pct_change, coalesce(sd3, 0.0) AS volume_volatility,
-            n - avg3 AS momentum, CASE WHEN mean_n = 0 OR rv < mean_n * 0.2 THEN 'dormant' WHEN rg > 0.5 THEN 'emerging'
+            n - avg3 AS volume_lead, CASE WHEN mean_n = 0 OR rv < mean_n * 0.2 THEN 'dormant' WHEN rg > 0.5 THEN 'emerging'
                  WHEN rg > 0.1 THEN 'trending' WHEN rg < -0.3 THEN 'declining' ELSE 'stable' END AS lifecycle_state,
             (n - mean_n) / CASE WHEN sd_n > 0 THEN sd_n ELSE 1.0 END AS anomaly_score, '1W' AS window_type
             FROM wg g JOIN wr r ON g.cluster = r.cluster JOIN wlabels l ON g.cluster = l.cluster"""),
@@ -238,7 +238,7 @@ def _weekly_events(spark, sf):
             WINDOW w AS (PARTITION BY cluster ORDER BY time_window),
                    w3 AS (PARTITION BY cluster ORDER BY time_window ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")],
     final=f"""SELECT time_window, cluster, CAST(n AS BIGINT) AS post_count,
-{r6(change('n', 'prev_n') + ' AS volume_pct_change', 'coalesce(sd3, 0.0) AS volume_volatility', 'n - avg3 AS momentum',
+{r6(change('n', 'prev_n') + ' AS volume_pct_change', 'coalesce(sd3, 0.0) AS volume_volatility', 'n - avg3 AS volume_lead',
     'coalesce(n / nullif(sum(n) OVER (PARTITION BY time_window), 0), 0.0) AS market_share')} FROM l"""))
 def _minimal(spark, sf):
     return T.minimal_stats(posts_orders(spark, sf))

@@ -23,7 +23,7 @@ def test_relevant_theme_scores(spark):
 
 STATS = [(1, "2025-01-01", 10, 0.0, 0.0, 1.0), (1, "2025-02-01", 12, 0.2, 2.0, 1.3), (1, "2025-03-01", 15, 0.25, 3.0, 1.5),
          (2, "2025-01-01", 20, 0.0, 0.0, 2.0), (2, "2025-02-01", 17, -0.15, -2.0, 2.3), (2, "2025-03-01", 15, -0.12, -2.5, 2.5)]
-STATS_SCHEMA = "cluster int, time_window string, post_count int, volume_pct_change double, momentum double, volume_volatility double"
+STATS_SCHEMA = "cluster int, time_window string, post_count int, volume_pct_change double, volume_lead double, volume_volatility double"
 
 
 def test_profiles_point_up_and_down(spark):
@@ -36,7 +36,7 @@ def test_profiles_point_up_and_down(spark):
 
 def test_single_window_profile(spark):
     r = cluster_profiles(spark.createDataFrame(STATS[:1], STATS_SCHEMA)).first()
-    assert r.trend_slope == 0.0 and r.n_windows == 1 and r.recent_momentum_lag4 == 0.0
+    assert r.trend_slope == 0.0 and r.n_windows == 1 and r.recent_volume_lead_lag4 == 0.0
 
 
 def profiles(spark, *rows):

@@ -23,12 +23,12 @@ def stats(spark):
             rows.append((c, when, n, n / prev - 1, rnd.random(), n - prev + 0.0, 0.25))
             prev = n
     return spark.createDataFrame(rows, "cluster int, time_window date, post_count int, volume_pct_change double, "
-                                       "volume_volatility double, momentum double, market_share double")
+                                       "volume_volatility double, volume_lead double, market_share double")
 
 
 def test_feature_edges(spark):
     rows = [(0, dt.date(2024, m, 28), n, g, 1.0 * m) for m, (n, g) in enumerate([(5, 0.0), (0, -1.0), (4, float("inf")), (4, 0.0)], 1)]
-    base = spark.createDataFrame(rows, "cluster int, time_window date, post_count int, volume_pct_change double, momentum double")
+    base = spark.createDataFrame(rows, "cluster int, time_window date, post_count int, volume_pct_change double, volume_lead double")
     out = X.feature_frame(base).orderBy("time_window").collect()
     assert [r.next_volume_pct_change for r in out] == [-1.0, None, 0.0, None]
     assert out[3].volume_pct_change_lag1 == 0.0 and out[0].trend_slope_4 == 0.0 and out[1].trend_slope_4 == pytest.approx(-5)

@@ -64,7 +64,7 @@ def test_monthly_snapshots(spark):
         (2, 1, "B", "2025-01-20", "u3", 8.0), (3, 1, "B", "2025-02-20", "u4", 7.0)], POSTS)
     snap = T.snapshots(T.temporal_stats(df))
     assert snap.columns == ["time_window", "cluster", "cluster_label", "post_count", "market_share", "volume_pct_change",
-                            "volume_volatility", "momentum", "lifecycle_state", "anomaly_score"]
+                            "volume_volatility", "volume_lead", "lifecycle_state", "anomaly_score"]
     rows = snap.collect()
     assert [(str(r.time_window), r.cluster) for r in rows] == [
         ("2025-01-31", 0), ("2025-01-31", 1), ("2025-02-28", 0), ("2025-02-28", 1)]
@@ -123,7 +123,7 @@ def test_reports_on_a_tiny_table(spark):
     rows = [("2024-01-31", c, f"L{c}", 5, 0.2, 0.1, 1.0, float(c), "emerging", 2.5 if c == 3 else 0.1) for c in range(5)]
     rows += [("2024-02-29", 0, "L0", 9, 1.0, float("inf"), 2.0, 1.0, "declining", -3.0)]
     snap = spark.createDataFrame(rows, "time_window string, cluster int, cluster_label string, post_count long, market_share double, "
-        "volume_pct_change double, volume_volatility double, momentum double, lifecycle_state string, anomaly_score double"
+        "volume_pct_change double, volume_volatility double, volume_lead double, lifecycle_state string, anomaly_score double"
         ).withColumn("time_window", F.col("time_window").cast("date"))
     assert str(R.best_window(snap).first().latest_window) == "2024-01-31"
     assert str(R.best_window(snap, 9).first().latest_window) == "2024-02-29"
@@ -135,7 +135,7 @@ def test_reports_on_a_tiny_table(spark):
     assert [r.time_window for r in drill] == ["2024-01", "2024-02"]
     matrix = R.metric_matrix(snap, [0, 1], "post_count").orderBy("time_window").collect()
     assert (matrix[1].cluster_0, matrix[1].cluster_1) == (9, None)
-    assert [r.cluster for r in R.ranked_by(R.cluster_table(snap), "momentum", descending=False).collect()] == [0, 1, 2, 3, 4]
+    assert [r.cluster for r in R.ranked_by(R.cluster_table(snap), "volume_lead", descending=False).collect()] == [0, 1, 2, 3, 4]
 
 
 def test_scenario_comparison_fills_missing_windows(spark):

@@ -1,7 +1,7 @@
 """Scoring of incoming event texts against the lexicon, and the heuristic forecast.
 
-All steps take a table of events. Themes are a bounded configuration table, so the
-per-event work is a broadcast lookup; the only shuffle is by (event, theme) on sums.
+All steps take a table of events. Themes are a bounded configuration table, so an event
+is scored against all of them in place.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ FLAT_BAND = 0.05
 PROFILE_FEATURES = {
     "volume_volatility": "avg_volatility",
     "market_share": "avg_market_share",
-    "momentum": "recent_momentum",
+    "volume_lead": "recent_volume_lead",
     **{f"volume_pct_change_lag{k}": f"recent_growth_lag{k}" for k in range(1, 5)},
-    **{f"momentum_lag{k}": f"recent_momentum_lag{k}" for k in range(1, 5)},
+    **{f"volume_lead_lag{k}": f"recent_volume_lead_lag{k}" for k in range(1, 5)},
     "rolling_post_mean_3": "rolling_post_mean_3",
     "rolling_post_mean_6": "rolling_post_mean_6",
     "anomaly_score": "recent_anomaly_score",
@@ -36,47 +36,58 @@ PROFILE_FEATURES = {
 
 def score_events(events: DataFrame, lexicon: Lexicon, stop_words=EVENT_STOP_WORDS) -> DataFrame:
     """(event_id, theme_id, score) for every event and theme: sum of tf * idf over the
-    theme's tokens plus a bonus per multi-word term found inside the normalised text."""
+    theme's tokens plus a bonus per multi-word term found inside the normalised text.
+
+    An event is tokenised once and scored where it lies; nothing is shuffled."""
     spark = events.sparkSession
     require_columns(events, "event_id", "event_text")
-    tokens = events.select("event_id", content_tokens(F.col("event_text"), stop_words).alias("tokens"))
-
     # The lexicon is configuration of checked size, so its terms may pass the driver.
     terms = [tuple(r) for r in lexicon.terms(spark, stop_words).orderBy("theme_id", "term").collect()]
-    known_tokens = sorted({w for _, term in terms for w in term.split()})
-    matched = F.filter("tokens", lambda t: t.isin(known_tokens))
-    by_token = (tokens.select("event_id", F.explode(matched).alias("token"))
-                .join(F.broadcast(lexicon.tokens(spark, stop_words)), "token")
-                .select("event_id", "theme_id", F.col("idf").alias("score")))
-
-    phrases = [(t, p) for t, p in terms if " " in p]
-    parts = [by_token]
-    if phrases:
-        known = F.array(*[F.struct(F.lit(t).alias("theme_id"), F.lit(p).alias("phrase")) for t, p in phrases])
-        text = tokens.select("event_id", F.array_join("tokens", " ").alias("norm"))
-        found = text.select("event_id", F.explode(F.filter(known, lambda p: F.contains(F.col("norm"), p["phrase"]))).alias("hit"))
-        parts.append(found.select("event_id", F.col("hit.theme_id").alias("theme_id"), F.lit(PHRASE_BONUS).alias("score")))
-    parts.append(events.select("event_id", F.explode(lexicon.ids_array()).alias("theme_id"), F.lit(0.0).alias("score")))
-
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
-    return merged.groupBy("event_id", "theme_id").agg(F.sum("score").alias("score"))
+    weights: dict[int, dict[str, float]] = {}
+    for r in lexicon.tokens(spark, stop_words).orderBy("theme_id", "token").collect():
+        weights.setdefault(r.theme_id, {})[r.token] = r.idf
+    ids = [r.theme_id for r in lexicon.names(spark).select("theme_id").distinct().orderBy("theme_id").collect()]
+    known = sorted({w for own in weights.values() for w in own})
+
+    matched = F.filter("tokens", lambda t: t.isin(known)) if known else F.array().cast("array<string>")
+    rows = events.select("event_id", content_tokens(F.col("event_text"), stop_words).alias("tokens")).select(
+        "event_id", matched.alias("matched"), F.array_join("tokens", " ").alias("norm"))
+
+    def score(theme: int) -> Column:
+        total = F.lit(0.0)
+        own = weights.get(theme, {})
+        if own:
+            idf = F.create_map(*[F.lit(x) for pair in own.items() for x in pair])
+            total = F.aggregate("matched", F.lit(0.0), lambda acc, t: acc + F.coalesce(F.try_element_at(idf, t), F.lit(0.0)))
+        for phrase in [p for t, p in terms if t == theme and " " in p]:
+            total = total + F.when(F.contains(F.col("norm"), F.lit(phrase)), PHRASE_BONUS).otherwise(0.0)
+        return total
+
+    per_theme = F.array(*[F.struct(F.lit(t).alias("theme_id"), score(t).alias("score")) for t in ids])
+    return rows.select("event_id", F.explode(per_theme).alias("s")).select("event_id", "s.theme_id", "s.score")
 
 
 def parse_relevance(replies: DataFrame, reply_col: str = "reply") -> DataFrame:
     """(event_id, theme_id, relevance) from JSON replies. Code fences are stripped; if
-    the rest is not JSON the outermost braces are tried; bad entries are skipped."""
+    the rest is not JSON the outermost braces are tried. Entries are read one by one: an
+    entry that is no object or lacks a number is skipped alone. A number as theme id loses
+    its fraction, text has to be a whole number."""
     body = F.trim(F.regexp_replace(F.trim(F.col(reply_col)), r"^```[a-zA-Z]*|\s*```$", ""))
     braces = F.regexp_extract(F.col(reply_col), r"(?s)\{.*\}", 0)
     whole = F.from_json(body, RELEVANCE_REPLY, {"mode": "PERMISSIVE"})
     inner = F.from_json(braces, RELEVANCE_REPLY, {"mode": "PERMISSIVE"})
     items = F.coalesce(whole["theme_relevance"], inner["theme_relevance"])
     rows = replies.select("event_id", F.posexplode(items).alias("pos", "item")).select(
-        "event_id", "pos",
-        F.expr("try_cast(item.theme_id AS int)").alias("theme_id"),
-        F.expr("try_cast(item.relevance AS double)").alias("relevance"))
-    valid = rows.where(F.col("theme_id").isNotNull() & F.col("relevance").isNotNull())
+        "event_id", "pos", F.get_json_object("item", "$.theme_id").alias("id"),
+        F.get_json_object("item", "$.relevance").alias("relevance"),
+        F.col("item").rlike(r'"theme_id"\s*:\s*"').alias("is_text"))
+    whole_number = F.when(F.col("id").rlike(r"^\s*[+-]?[0-9]+\s*$"), F.expr("try_cast(trim(id) AS int)"))
+    any_number = F.expr("try_cast(try_cast(id AS double) AS int)")
+    flag = F.when(F.col("id") == "true", 1).when(F.col("id") == "false", 0)
+    valid = rows.select(
+        "event_id", "pos", F.when(F.col("is_text"), whole_number).otherwise(F.coalesce(flag, any_number)).alias("theme_id"),
+        F.expr("CASE relevance WHEN 'true' THEN 1.0D WHEN 'false' THEN 0.0D ELSE try_cast(trim(relevance) AS double) END").alias("relevance"))
+    valid = valid.where(F.col("theme_id").isNotNull() & F.col("relevance").isNotNull())
     return valid.groupBy("event_id", "theme_id").agg(
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.nanvl(F.max_by("relevance", "pos"), F.lit(0.0)))).alias("relevance"))
 
@@ -149,10 +160,11 @@ def heuristic_confidence(score: Column) -> Column:
 
 
 def risk_thresholds(stats: DataFrame, low: float = 0.33, high: float = 0.66) -> DataFrame:
-    """One row (low_q, high_q): exact linear quantiles of the window volatilities."""
+    """One row (low_q, high_q): exact linear quantiles of the window volatilities, both
+    from one aggregate."""
     vol = number_or_zero(F.col("volume_volatility")) if "volume_volatility" in stats.columns else F.lit(0.0)
-    return stats.select(vol.alias("v")).agg(
-        F.percentile("v", F.lit(low)).alias("low_q"), F.percentile("v", F.lit(high)).alias("high_q"))
+    both = stats.select(vol.alias("v")).agg(F.percentile("v", F.array(F.lit(low), F.lit(high))).alias("q"))
+    return both.select(F.get("q", F.lit(0)).alias("low_q"), F.get("q", F.lit(1)).alias("high_q"))
 
 
 def risk_band(volatility: Column, low_q: Column, high_q: Column) -> Column:
@@ -192,16 +204,15 @@ def heuristic_forecast(events: DataFrame, lexicon: Lexicon, profiles: DataFrame,
                        per_theme: dict | None = None) -> DataFrame:
     """The complete heuristic prediction row per event."""
     scores = score_events(events, lexicon)
+    risk = risk_thresholds(stats).select(F.struct("low_q", "high_q").alias("q")).scalar()
     active = activated_themes(scores, profiles, lexicon, mapping, default, per_theme)
     estimate = estimate_direction(events, active, profiles).join(theme_score_map(scores), "event_id", "left")
-    risk = risk_thresholds(stats)
-    low, high = risk.select("low_q").scalar(), risk.select("high_q").scalar()
-    return estimate.withColumns({
+    return estimate.withColumn("_risk", risk).withColumns({
         "heuristic_predicted_direction": F.col("predicted_direction"),
         "heuristic_predicted_direction_score": F.col("predicted_direction_score"),
         "method": F.lit("heuristic"),
         "confidence": heuristic_confidence(F.col("predicted_direction_score")),
         "activation_threshold": F.lit(float(default)),
-        "risk_low": low,
-        "risk_high": high,
-    }).withColumn("risk_band", risk_band(F.col("predicted_volatility"), F.col("risk_low"), F.col("risk_high")))
+        "risk_low": F.col("_risk.low_q"),
+        "risk_high": F.col("_risk.high_q"),
+    }).withColumn("risk_band", risk_band(F.col("predicted_volatility"), F.col("risk_low"), F.col("risk_high"))).drop("_risk")

@@ -10,12 +10,12 @@ from topictide.functions.numbers import direction, entropy, finite_or, top_two
 from topictide.schemas import require_columns
 
 KEYS = ["cluster", "time_window"]
-LAGGED = ["volume_pct_change", "momentum"]
+LAGGED = ["volume_pct_change", "volume_lead"]
 BASE_FEATURES = [
-    "momentum", "volume_volatility", "market_share", "anomaly_score",
+    "volume_lead", "volume_volatility", "market_share", "anomaly_score",
     "rolling_post_mean_3", "rolling_post_mean_6", "trend_slope_4",
     "theme_active_count", "theme_top1_score", "theme_top2_score", "theme_entropy",
-    "momentum_x_volatility", "volume_acceleration", "momentum_acceleration", "theme_entropy_change",
+    "volume_lead_x_volatility", "volume_acceleration", "volume_lead_acceleration", "theme_entropy_change",
 ]
 
 def _by_time():
@@ -28,7 +28,7 @@ def theme_columns(df: DataFrame) -> list[str]:
 
 
 def lag_features(df: DataFrame, max_lag: int = 4) -> DataFrame:
-    """Lags 1..max_lag of growth and momentum, 0 before a cluster's first window."""
+    """Lags 1..max_lag of growth and volume_lead, 0 before a cluster's first window."""
     return df.withColumns({
         f"{c}_lag{k}": F.coalesce(F.lag(F.col(c), k).over(_by_time()), F.lit(0.0))
         for c in LAGGED for k in range(1, max_lag + 1)})
@@ -78,9 +78,9 @@ def theme_features(df: DataFrame, theme_scores: DataFrame | None = None) -> Data
 def interaction_features(df: DataFrame) -> DataFrame:
     num = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0)
     return df.withColumns({
-        "momentum_x_volatility": num("momentum") * num("volume_volatility"),
+        "volume_lead_x_volatility": num("volume_lead") * num("volume_volatility"),
         "volume_acceleration": num("volume_pct_change_lag1") - num("volume_pct_change_lag2"),
-        "momentum_acceleration": num("momentum_lag1") - num("momentum_lag2"),
+        "volume_lead_acceleration": num("volume_lead_lag1") - num("volume_lead_lag2"),
         "theme_entropy_change": F.coalesce(
             F.col("theme_entropy") - F.lag("theme_entropy").over(_by_time()), F.lit(0.0)),
     })
@@ -117,7 +117,7 @@ def training_frame(stats: DataFrame, theme_scores: DataFrame | None, epsilon: fl
 
 
 def heuristic_direction(epsilon) -> Column:
-    """Baseline forecast from current growth and momentum."""
+    """Baseline forecast from current growth and volume_lead."""
     n = F.greatest(F.coalesce(F.col("post_count").cast("double"), F.lit(1.0)), F.lit(1.0))
-    score = 0.7 * F.col("volume_pct_change") + 0.3 * (F.col("momentum") / n)
+    score = 0.7 * F.col("volume_pct_change") + 0.3 * (F.col("volume_lead") / n)
     return direction(score, epsilon)

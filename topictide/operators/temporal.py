@@ -102,7 +102,7 @@ def lifecycle(growth: Column, recent: Column, overall: Column) -> Column:
 
 def trend_metrics(series: DataFrame, growth_limit: float | None = None, engagement: bool = True,
                   single_window_stable: bool = True) -> DataFrame:
-    """Growth, volatility, momentum, anomaly score and lifecycle per cluster."""
+    """Growth, volatility, volume_lead, anomaly score and lifecycle per cluster."""
     by_time = W.partitionBy("cluster").orderBy("time_window")
     last3 = by_time.rowsBetween(-2, 0)
     whole = W.partitionBy("cluster")
@@ -114,7 +114,7 @@ def trend_metrics(series: DataFrame, growth_limit: float | None = None, engageme
     out = series.withColumns({
         "volume_pct_change": growth,
         "volume_volatility": F.coalesce(F.stddev_samp(n).over(last3), F.lit(0.0)),
-        "momentum": n - F.avg(n).over(last3),
+        "volume_lead": n - F.avg(n).over(last3),
         "_rank": F.row_number().over(by_time),
     })
     if engagement:
@@ -161,7 +161,7 @@ def temporal_stats(posts: DataFrame, freq: str = "1M", per_cluster_anchor: bool
     return with_market_share(labelled).select(
         "cluster", "cluster_label", "time_window", "post_count", "unique_authors",
         *[f"total_{c}" for c in ENGAGEMENT], "avg_likes", "avg_reach", "volume_pct_change",
-        "engagement_growth", "volume_volatility", "momentum", "anomaly_score", "market_share",
+        "engagement_growth", "volume_volatility", "volume_lead", "anomaly_score", "market_share",
         "lifecycle_state")
 
 
@@ -172,7 +172,7 @@ def minimal_stats(posts: DataFrame, freq: str = "1M") -> DataFrame:
     stats = trend_metrics(fill_gaps(counts, freq), engagement=False)
     return with_market_share(stats, when_empty=0.0).select(
         "time_window", "cluster", "post_count", "volume_pct_change", "volume_volatility",
-        "momentum", "market_share")
+        "volume_lead", "market_share")
 
 
 def detect_events(stats: DataFrame, spike_threshold: float = SPIKE_THRESHOLD) -> DataFrame:
@@ -196,7 +196,7 @@ def sentiment_distribution(posts: DataFrame, freq: str = "1M", sentiment_col: st
 def snapshots(stats: DataFrame) -> DataFrame:
     """The ten columns a dashboard reads; absent ones are null."""
     cols = [F.col(c) if c in stats.columns else F.lit(None).cast("double").alias(c) for c in SNAPSHOT_COLUMNS]
-    return stats.where(F.col("time_window").isNotNull()).select(*cols).orderBy("time_window", "cluster")
+    return stats.where(F.col("time_window").isNotNull()).select(*cols)
 
 
 def lifecycle_counts(stats: DataFrame) -> DataFrame:
@@ -238,4 +238,4 @@ def weekly_snapshots(posts: DataFrame, months: int = 12, min_posts: int = 3,
     labelled = metrics.join(first_labels(recent), "cluster")
     return with_market_share(labelled).select(
         "time_window", "cluster", "cluster_label", "post_count", "market_share", "volume_pct_change",
-        "volume_volatility", "momentum", "lifecycle_state", "anomaly_score", F.lit("1W").alias("window_type"))
+        "volume_volatility", "volume_lead", "lifecycle_state", "anomaly_score", F.lit("1W").alias("window_type"))

@@ -25,9 +25,9 @@ def event_features(events: DataFrame, scores: DataFrame, activated: DataFrame, f
         table = table.join(wide.select("event_id", *[F.col(f"`{i}`").alias(f"theme_{i}_score") for i in ids]),
                            "event_id", "left")
     table = table.withColumns({
-        "momentum_x_volatility": F.col("momentum") * F.col("volume_volatility"),
+        "volume_lead_x_volatility": F.col("volume_lead") * F.col("volume_volatility"),
         "volume_acceleration": F.col("volume_pct_change_lag1") - F.col("volume_pct_change_lag2"),
-        "momentum_acceleration": F.col("momentum_lag1") - F.col("momentum_lag2"),
+        "volume_lead_acceleration": F.col("volume_lead_lag1") - F.col("volume_lead_lag2"),
     })
     value = lambda f: F.coalesce(F.nanvl(F.col(f), F.lit(0.0)), F.lit(0.0)) if f in table.columns else F.lit(0.0)
     return table.select("event_id", *[value(f).alias(f) for f in features])

@@ -35,14 +35,14 @@ def cluster_table(snapshots: DataFrame, theme_names: DataFrame | None = None) ->
     return _named(at_best_window(snapshots), theme_names).select(
         F.concat(F.lit("cluster-"), F.col("cluster")).alias("id"), "cluster", "cluster_label", "theme_name",
         F.col("post_count").alias("size"), (F.col("market_share") * 100).alias("market_share"),
-        (F.col("volume_pct_change") * 100).alias("volume_pct_change"), "volume_volatility", "momentum",
+        (F.col("volume_pct_change") * 100).alias("volume_pct_change"), "volume_volatility", "volume_lead",
         F.initcap("lifecycle_state").alias("lifecycle"), "anomaly_score", F.col("time_window").alias("latest_window"))
 
 
 def _series(df: DataFrame) -> list[Column]:
     return [F.concat(F.lit("cluster-"), F.col("cluster")).alias("cluster_id"), F.col("cluster_label"),
             F.col("time_window"), F.col("post_count"), (F.col("market_share") * 100).alias("market_share"),
-            F.col("momentum"), F.col("volume_volatility").alias("volatility")]
+            F.col("volume_lead"), F.col("volume_volatility").alias("volatility")]
 
 
 def monthly_snapshots(snapshots: DataFrame) -> DataFrame:
@@ -60,32 +60,46 @@ def anomaly_events(events: DataFrame, limit: int = 50) -> DataFrame:
         F.col("anomaly_score").alias("sigma"))
 
 
+def _of_best_window(counts: DataFrame, min_clusters: int = MIN_CLUSTERS) -> DataFrame:
+    """Of rows per window and topic count ``_n``, those of the best window. Only the few
+    aggregated rows meet, so the snapshots behind them are read once."""
+    rank = F.struct(F.col("_n") >= min_clusters, "time_window")
+    return counts.withColumn("_best", F.max(rank).over(W.partitionBy(F.lit(0)))).where(rank == F.col("_best")).drop("_best")
+
+
 def lifecycle_distribution(snapshots: DataFrame) -> DataFrame:
-    return at_best_window(snapshots).groupBy(F.initcap("lifecycle_state").alias("state")).agg(
+    states = without_noise(snapshots).groupBy("time_window", F.initcap("lifecycle_state").alias("state")).agg(
         F.count(F.lit(1)).alias("count"))
+    sized = states.withColumn("_n", F.sum("count").over(W.partitionBy("time_window")))
+    return _of_best_window(sized).select("state", "count")
 
 
 def kpis(snapshots: DataFrame) -> DataFrame:
-    return at_best_window(snapshots).agg(
-        F.count(F.lit(1)).alias("active_clusters"),
+    """The figures of the best window; one row of zeros without topics."""
+    by_window = without_noise(snapshots).groupBy("time_window").agg(
+        F.count(F.lit(1)).alias("_n"),
         F.count(F.when(F.col("lifecycle_state") == "emerging", 1)).alias("emerging_count"),
         F.count(F.when(F.col("lifecycle_state") == "declining", 1)).alias("declining_count"),
         F.round(F.avg("volume_volatility"), 3).alias("avg_volatility"),
         F.count(F.when(F.abs("anomaly_score") > 2, 1)).alias("event_spikes"))
+    none = lambda c: F.coalesce(F.max(c), F.lit(0).cast("long")).alias(c)
+    return _of_best_window(by_window).withColumnRenamed("_n", "active_clusters").agg(
+        none("active_clusters"), none("emerging_count"), none("declining_count"), F.max("avg_volatility").alias("avg_volatility"),
+        none("event_spikes"))
 
 
 def cluster_trends(activated: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Trend points of the topics behind each event's activated themes."""
     topics = activated.select("event_id", F.col("mapped_cluster_id").alias("cluster")).distinct()
     points = snapshots.select("cluster", "cluster_label", "time_window", "post_count",
-                              (F.col("market_share") * 100).alias("market_share"), "momentum",
+                              (F.col("market_share") * 100).alias("market_share"), "volume_lead",
                               F.col("volume_volatility").alias("volatility"))
     return topics.join(points, "cluster").select("event_id", *points.columns)
 
 
 def trend_arrays(trends: DataFrame) -> DataFrame:
     """Trend points of an (event, topic) as one array ordered by window."""
-    point = F.struct("time_window", "post_count", "market_share", "momentum", "volatility")
+    point = F.struct("time_window", "post_count", "market_share", "volume_lead", "volatility")
     return trends.groupBy("event_id", "cluster", "cluster_label").agg(
         F.sort_array(F.collect_list(point)).alias("data"))
 
@@ -148,9 +162,9 @@ def scenario_export(predictions: DataFrame) -> DataFrame:
 
 
 def last_state(snapshots: DataFrame) -> DataFrame:
-    """Momentum and volatility of each topic's last window."""
+    """Volume lead and volatility of each topic's last window."""
     return snapshots.groupBy("cluster").agg(
-        F.max_by("momentum", "time_window").alias("momentum"),
+        F.max_by("volume_lead", "time_window").alias("volume_lead"),
         F.max_by("volume_volatility", "time_window").alias("volatility"))
 
 
@@ -161,8 +175,8 @@ def sparkline(snapshots: DataFrame, points: int = 12) -> DataFrame:
 
 
 def lifecycle_share(snapshots: DataFrame) -> DataFrame:
-    dist = lifecycle_distribution(snapshots)
-    return dist.withColumn("share", F.col("count") / dist.agg(F.sum("count")).scalar())
+    total = F.sum("count").over(W.partitionBy(F.lit(0)))  # of the few states
+    return lifecycle_distribution(snapshots).withColumn("share", F.col("count") / total)
 
 
 # --- chart data ---------------------------------------------------------------

@@ -27,17 +27,12 @@ THEME_TERMS = T.StructType([
     T.StructField("term", T.StringType()),
 ])
 
-RELEVANCE_REPLY = T.StructType([
-    T.StructField("theme_relevance", T.ArrayType(T.StructType([
-        T.StructField("theme_id", T.StringType()),
-        T.StructField("relevance", T.StringType()),
-        T.StructField("reason", T.StringType()),
-    ]))),
-])
+# Entries stay JSON text, so that one of another shape spoils no other.
+RELEVANCE_REPLY = T.StructType([T.StructField("theme_relevance", T.ArrayType(T.StringType()))])
 
 SNAPSHOT_COLUMNS = [
     "time_window", "cluster", "cluster_label", "post_count", "market_share",
-    "volume_pct_change", "volume_volatility", "momentum", "lifecycle_state", "anomaly_score",
+    "volume_pct_change", "volume_volatility", "volume_lead", "lifecycle_state", "anomaly_score",
 ]
 
 # Label order decides ties between equal class probabilities.
