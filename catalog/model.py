@@ -373,9 +373,7 @@ def _walk(spark, sf):
 def _importances(spark, sf):
     f = frame(spark, sf)
     member = training.fit_member(f, FEATURES_OUT, "random_forest", QUICK)
-    ranked = training.importances(member)
-    kept = set(V.prune_features(ranked, FEATURES_OUT))
-    return spark.createDataFrame([(k, v, k in kept) for k, v in ranked.items()], "feature string, importance double, kept boolean")
+    return V.with_kept(training.importances(member, spark)).drop("position")
 
 
 @register("M20_saved_model_metrics")

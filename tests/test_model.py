@@ -81,10 +81,16 @@ def test_verdicts(spark):
                    "soft_voting_ensemble": ("ensemble_unstable_vs_cv", "unstable"), "stacking_ensemble": ("ensemble_no_cv_compare", None)}
 
 
-def test_pruning_rules():
-    assert V.prune_features({"a": 0.1, "b": 0.5, "c": 0.0, "d": 0.2}, ["a", "b", "c", "d"]) == ["a", "b", "d"]
-    assert V.prune_features({}, ["a"]) == ["a"] and V.prune_features({"a": 1.0}, ["a"]) == ["a"]
-    assert V.accept_pruned(0.5, 0.49, True, 0.02) and not V.accept_pruned(0.5, 0.49)
+def test_pruning_rules(spark):
+    def kept(*values):
+        rows = [(f, v, i) for i, (f, v) in enumerate(zip("abcde", values))]
+        df = spark.createDataFrame(rows, "feature string, importance double, position int")
+        return [r.feature for r in V.with_kept(df).where("kept").orderBy("position").collect()]
+
+    assert kept(0.1, 0.5, 0.0, 0.2) == ["a", "b", "d"] and kept(1.0) == ["a"] and kept(0.0, 0.0) == ["b"] and kept() == []
+    pairs = spark.createDataFrame([(0.5, 0.49), (0.5, 0.5), (0.5, 0.45)], "full_f1 double, pruned_f1 double")
+    assert [r.accepted for r in V.pruning_outcome(pairs, True, 0.02).collect()] == [True, True, False]
+    assert [r.accepted for r in V.pruning_outcome(pairs).collect()] == [False, True, False]
 
 
 @pytest.mark.parametrize("name", ["logistic", "random_forest", "gradient_boosting"])
@@ -95,7 +101,7 @@ def test_members_give_probabilities(spark, stats, name):
     member = training.fit_member(frame, feats, name, s, calibrate=name == "logistic")
     out = member.predict(frame).collect()
     assert all(sum(r[p] for p in V.PROBS) == pytest.approx(1) and min(r[p] for p in V.PROBS) >= 0 for r in out)
-    assert len(training.importances(member)) == len(feats)
+    assert training.importances(member, spark).count() == len(feats)
 
 
 def test_class_never_seen_gets_zero(spark, stats):

@@ -192,14 +192,19 @@ def overfit_verdict(metrics: DataFrame) -> DataFrame:
     }).withColumns({"verdict": verdict, "temporal_stability": stability})
 
 
-def prune_features(importances: dict[str, float], features: list[str], drop_fraction: float = 0.25) -> list[str]:
-    """Drop the least important quarter, at least one feature."""
-    if not importances:
-        return features
-    ranked = sorted(importances, key=lambda f: (importances[f], features.index(f)))
-    dropped = set(ranked[: max(1, int(len(ranked) * drop_fraction))])
-    return [f for f in features if f not in dropped] or features
-
-
-def accept_pruned(old_f1: float, new_f1: float, force: bool = False, max_drop: float = 0.0) -> bool:
-    return new_f1 >= old_f1 or (force and old_f1 - new_f1 <= max_drop)
+def with_kept(importances: DataFrame, drop_fraction: float = 0.25) -> DataFrame:
+    """Adds ``kept`` to (feature, importance, position): false for the least important
+    share of the features, one at least, unless there is only one. Equal importances
+    go in order of position. Features are few."""
+    every = W.partitionBy(F.lit(0))
+    place = F.row_number().over(every.orderBy("importance", "position"))
+    n = F.count(F.lit(1)).over(every)
+    cut = F.greatest(F.lit(1), F.floor(n * F.lit(drop_fraction)))
+    return importances.withColumn("kept", (place > cut) | (n == 1))
+
+
+def pruning_outcome(comparison: DataFrame, force: bool = False, max_drop: float = 0.0) -> DataFrame:
+    """Adds ``accepted`` to (full_f1, pruned_f1): the smaller model may not lose, or only
+    ``max_drop`` if forced."""
+    lost = F.col("full_f1") - F.col("pruned_f1")
+    return comparison.withColumn("accepted", lost <= (max(max_drop, 0.0) if force else 0.0))
