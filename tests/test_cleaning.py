@@ -60,14 +60,14 @@ def test_non_numeric_engagement_counts_zero(spark):
 
 def test_kth_smallest_matches_brute_force(spark):
     rnd = random.Random(7)
-    data = [("a", float(rnd.choice([0, 0, 0, 1, 2, rnd.random()]))) for _ in range(500)] + [("b", float(i % 3)) for i in range(50)]
-    df = spark.createDataFrame(data, "key string, v double")
-    for ka, kb in ((1, 1), (37, 20), (250, 49), (500, 50)):
-        wanted = spark.createDataFrame([("a", ka), ("b", kb)], "key string, k long")
-        got = {r.key: (r.cutoff, r.at_cutoff) for r in kth_smallest(df, "key", "v", wanted, 2, bins=8).collect()}
-        for key, k in (("a", ka), ("b", kb)):
-            vals = sorted(v for x, v in data if x == key)
-            assert got[key] == (vals[k - 1], k - sum(v < vals[k - 1] for v in vals))
+    data = [("a", float(rnd.choice([0, 0, 0, 1, 2, rnd.random()])), i) for i in range(500)] + [("b", float(i % 3), i) for i in range(50)]
+    data += [("c", 0.0, i) for i in range(300)] + [("d", 1.0, 7)] * 90
+    df = spark.createDataFrame(data, "key string, v double, row long")
+    for ks in ((1, 1, 1, 1), (37, 20, 150, 50), (500, 50, 300, 90)):
+        wanted = spark.createDataFrame(list(zip("abcd", ks)), "key string, k long")
+        for sort_rows in (20, 10_000):
+            got = {r.key: (r.cutoff, r.tie_cutoff) for r in kth_smallest(df, "key", "v", "row", wanted, sort_rows, bins=8).collect()}
+            assert got == {key: sorted((v, r) for x, v, r in data if x == key)[k - 1] for key, k in zip("abcd", ks)}
 
 
 def test_cap_equals_window_on_skewed_authors(spark):

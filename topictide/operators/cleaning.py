@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topictide.functions.numbers import number_or_zero, total
 from topictide.operators.ranking import kth_smallest
-from topictide.runtime import bounded_broadcast, materialize
+from topictide.runtime import materialize
 from topictide.schemas import first_present, require_columns
 
 # Engagement columns looked at when none are named.
@@ -46,29 +44,18 @@ def cap_authors(df: DataFrame, author_col: str = "author", max_share: float = MA
     first, then lowest row_id. Rows without an author are dropped.
 
     Only authors over the cap are ranked, and they by exact cutoffs rather than by a
-    sort of the author's rows; fewer than 2 / max_share authors can be over it."""
+    sort of the author's rows. Fewer than 2 / max_share authors can be over it, which
+    bounds what is broadcast."""
     require_columns(df, "row_id", author_col)
-    bound = math.ceil(2 / max_share) + 1
-    narrow = df.select(F.col(f"`{author_col}`").alias("_author"), "row_id",
-                       (-engagement_score(df, engagement_columns)).alias("_neg"))
-    counts = narrow.groupBy("_author").agg(F.count(F.lit(1)).alias("_n"))
+    author, neg = F.col(f"`{author_col}`"), -engagement_score(df, engagement_columns)
+    narrow = df.select(author.alias("_author"), "row_id", neg.alias("_neg"))
+    counts = materialize(narrow.groupBy("_author").agg(F.count(F.lit(1)).alias("_n")))
     cap = counts.agg(F.greatest(F.lit(1), F.floor(F.sum("_n") * F.lit(max_share))).cast("long"))
-    over = materialize(
-        counts.where(F.col("_author").isNotNull()).withColumn("k", cap.scalar())
-        .where(F.col("_n") > F.col("k")).select("_author", "k"))
-    hot = materialize(narrow.join(bounded_broadcast(over, bound), "_author", "left_semi"))
-
-    by_score = kth_smallest(hot, "_author", "_neg", over, bound)
-    ties = (hot.join(bounded_broadcast(by_score, bound), "_author")
-            .where(F.col("_neg") == F.col("cutoff")).select("_author", "row_id"))
-    by_row = kth_smallest(ties, "_author", "row_id",
-                          by_score.select("_author", F.col("at_cutoff").alias("k")), bound)
-    limits = by_score.select("_author", F.col("cutoff").alias("_score")).join(
-        by_row.select("_author", F.col("cutoff").alias("_row")), "_author")
-
-    joined = (df.where(F.col(f"`{author_col}`").isNotNull())
-              .withColumns({"_author": F.col(f"`{author_col}`"), "_neg": -engagement_score(df, engagement_columns)})
-              .join(bounded_broadcast(limits, bound), "_author", "left"))
+    over = counts.where(F.col("_author").isNotNull()).withColumn("k", cap.scalar()).where(
+        F.col("_n") > F.col("k")).select("_author", "k")
+    limits = kth_smallest(narrow, "_author", "_neg", "row_id", over).select(
+        "_author", F.col("cutoff").alias("_score"), F.col("tie_cutoff").alias("_row"))
+    joined = df.where(author.isNotNull()).withColumns({"_author": author, "_neg": neg}).join(F.broadcast(limits), "_author", "left")
     within = (F.col("_score").isNull() | (F.col("_neg") < F.col("_score"))
               | ((F.col("_neg") == F.col("_score")) & (F.col("row_id") <= F.col("_row"))))
     return joined.where(within).select(*[F.col(f"`{c}`") for c in df.columns])
