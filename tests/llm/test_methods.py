@@ -8,9 +8,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from topictide.llm import bpe, langid, licenses, line_dedup, linkage, ngram_join, quality_rules, queries, toxicity
-from topictide.llm.common import WordHashes, crc_mod
+from topictide.llm.common import WordHashes, crc_mod, may_be_among
 
 SF = "/root/testdata/sf0.01"
 
@@ -113,7 +114,7 @@ def brute_components(texts, percent=75):
 
 @pytest.mark.parametrize("block_rows", [1_000, 7])
 def test_ngram_join_equals_brute_force(spark, docs, monkeypatch, block_rows):
-    monkeypatch.setattr(ngram_join, "link_groups", lambda rows, columns, make: linkage.link_groups(rows, columns, make, block_rows))
+    monkeypatch.setattr(ngram_join, "link_groups", lambda *a: linkage.link_groups(*a, block_rows))
     monkeypatch.setattr(ngram_join, "BUCKET_ENTRIES", 20_000)
     rng = random.Random(8)
     texts = {r.doc_id: r.text for r in docs.where("doc_id < 150").collect()}
@@ -220,6 +221,13 @@ def test_linkage_skips_no_link(spark):
                         forest.join(i, j)
         return link
 
-    links = linkage.link_groups(spark.createDataFrame(rows, "group long, node long, x double"), ["x"], make, block_rows=40)
+    df = spark.createDataFrame(rows, "group long, node long, x double")
+    links = linkage.link_groups(df, df, ["x"], make, block_rows=40)
     parts = Counter(r.component for r in linkage.connected_components(links).collect())
     assert sorted(parts.values()) == [300]
+
+
+def test_bitmap_lets_all_ids_through(spark):
+    ids = spark.range(0, 3_000, 3)
+    df = spark.range(3_000).withColumn("in", may_be_among(ids, "id", F.col("id")))
+    assert df.where("in AND id % 3 = 0").count() == 1_000 and df.where("in").count() < 1_010

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -77,13 +78,9 @@ class WordHashes:
         known, digest = self.known, self.hash
         if len(known) > self.limit:
             known.clear()
-        get = known.get
-        out = [get(w) for w in words]
-        if None in out:
-            for i, h in enumerate(out):
-                if h is None:
-                    out[i] = known[words[i]] = digest(words[i])
-        return np.array(out, dtype=np.uint64)
+        for w in set(words).difference(known):
+            known[w] = digest(w)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
@@ -116,3 +113,45 @@ def sample_by_label(df: DataFrame, id_col: str, label_col: str, rows_per_label:
     if share is None:
         return df.where(F.lit(False))
     return df.where(F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(2**20)) < share)
+
+
+FILTER_BITS = 1 << 26  # 8 MB, whatever it stands for
+
+
+def hash_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of the values' hashes, of fixed size: a value whose bit is not set is not
+    among them. Fuller bitmaps let more through; a join has to follow."""
+    at = (F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1).alias("at")
+    parts = ids.select(at).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts:
+        out[(r.k - 1) * 4096:r.k * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def may_be_among(ids: DataFrame, column: str, value: Column) -> Column:
+    """Whether a value can be among the ids: surely so for those that are."""
+    sent = ids.sparkSession.sparkContext.broadcast(hash_filter(ids, column))
+
+    @F.pandas_udf("boolean")
+    def test(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((sent.value[at >> 3] >> (at & 7)) & 1 == 1)
+
+    return test(F.pmod(F.xxhash64(value), F.lit(FILTER_BITS)))
+
+
+def texts_among(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, column: str) -> DataFrame:
+    """(_id, _text) of the rows whose id can be among ``ids``; the others need not move."""
+    sent = docs.sparkSession.sparkContext.broadcast(hash_filter(ids, column))
+    rows = docs.select(F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS)).alias("_at"), F.col(id_col).alias("_id"),
+                       F.col(text_col).cast("string").cast("binary").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        bits = sent.value
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            yield batch.select(["_id", "_text"]).filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 == 1))
+
+    return rows.mapInArrow(run, f"_id {docs.schema[id_col].dataType.simpleString()}, _text binary")

@@ -39,9 +39,10 @@ class Forest:
         return True
 
 
-def link_groups(rows: DataFrame, columns: list[str], make: Callable[[], Callable], block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b) links, a spanning forest of those inside each group, for rows
-    (group, node, *columns) with distinct long nodes.
+def link_groups(rows: DataFrame, payload: DataFrame, columns: list[str], make: Callable[[], Callable],
+                block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b) links, a spanning forest of those inside each group, for rows (group, node)
+    with long nodes and what is known of a node in ``payload`` (node, *columns).
 
     ``make()`` gives a function (dict of the columns' lists, Forest, sides) that joins the
     positions it finds linked; ``sides`` tells the two blocks of a cell apart, or is None
@@ -49,38 +50,39 @@ def link_groups(rows: DataFrame, columns: list[str], make: Callable[[], Callable
     dealt into blocks by a hash of the node, which connects nearly all that belongs
     together; then the rows are laid anew, large components apart, and every two blocks
     that are not of one component make a cell. Work within a hot group of rows that are all
-    linked so stays near its size."""
+    linked so stays near its size. The payload only moves into the cells."""
     sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.where("_n > 1").withColumn("_blocks", F.ceil(F.col("_n") / block_rows))
-    dealt = rows.join(sizes, "group").withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")))
+    dealt = materialize(rows.select("group", "node").join(sizes, "group").withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks"))))
     first = materialize(_cells(
-        dealt.select(F.struct("group", "_block").alias("_cell"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_component"), "node", *columns),
-        columns, make))
-    large = dealt.where("_blocks > 1")
+        dealt.select(F.struct("group", "_block").alias("_cell"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_component"), "node"),
+        payload, columns, make))
+    large = dealt.where("_blocks > 1").select("group", "node")
     if large.isEmpty():
         return first
     parts = connected_components(first).withColumnRenamed("component", "_component")
     large = large.join(parts, "node", "left").withColumn("_component", F.coalesce("_component", "node"))
     held = large.groupBy("group", "_component").agg(F.count(F.lit(1)).alias("_size"))
     few = held.where(F.col("_size") < block_rows).groupBy("group").agg(F.sum("_size").alias("_few"))
+    pure = F.col("_size") >= block_rows
     held = held.join(few, "group", "left").select(
-        "group", "_component", F.when(F.col("_size") >= block_rows, F.col("_component")).alias("_pure"),
-        F.ceil(F.when(F.col("_size") >= block_rows, F.col("_size")).otherwise(F.col("_few")) / block_rows).alias("_leaves"))
-    laid = materialize(large.drop("_block", "_blocks", "_n").join(held, ["group", "_component"]).withColumn(
-        "_leaf", F.pmod(F.xxhash64(F.when(F.col("_pure").isNull(), F.col("_component")).otherwise(F.col("node"))), F.col("_leaves"))))
-    leaves = laid.select("group", F.struct(F.coalesce("_pure", F.lit(-1)).alias("p"), F.col("_pure").isNotNull().alias("pure"), "_leaf").alias("leaf")).distinct()
-    other = leaves.withColumnRenamed("leaf", "with")
-    pairs = leaves.join(other, "group").where(
-        (F.col("leaf") <= F.col("with")) & ~(F.col("leaf.pure") & F.col("with.pure") & (F.col("leaf.p") == F.col("with.p"))))
-    sides = pairs.select("group", "leaf", "with", F.lit(0).alias("_side")).unionAll(
-        pairs.where("leaf <> with").select("group", F.col("with").alias("leaf"), F.col("leaf").alias("with"), F.lit(1).alias("_side")))
-    laid = laid.withColumn("leaf", F.struct(F.coalesce("_pure", F.lit(-1)).alias("p"), F.col("_pure").isNotNull().alias("pure"), "_leaf"))
-    cells = laid.join(sides, ["group", "leaf"]).select(
-        F.struct("group", F.least("leaf", "with").alias("x"), F.greatest("leaf", "with").alias("y")).alias("_cell"), "_side", "_component", "node", *columns)
-    return first.unionAll(_cells(cells, columns, make))
-
-
-def _cells(rows: DataFrame, columns: list[str], make: Callable[[], Callable]) -> DataFrame:
+        "group", "_component", pure.alias("_pure"),
+        F.ceil(F.when(pure, F.col("_size")).otherwise(F.col("_few")) / block_rows).alias("_leaves"))
+    leaf = F.struct(F.when(F.col("_pure"), F.col("_component")).alias("of"),
+                    F.pmod(F.xxhash64(F.when(F.col("_pure"), F.col("node")).otherwise(F.col("_component"))), F.col("_leaves")).alias("k"))
+    laid = materialize(large.join(held, ["group", "_component"]).select("group", "_component", "node", leaf.alias("leaf")))
+    leaves = laid.select("group", "leaf").distinct()
+    pairs = leaves.join(leaves.withColumnRenamed("leaf", "with"), "group").where(
+        (F.col("leaf") <= F.col("with")) & ~F.coalesce(F.col("leaf.of") == F.col("with.of"), F.lit(False)))
+    sides = pairs.select("group", "leaf", F.struct("leaf", "with").alias("_pair"), F.lit(0).alias("_side")).unionAll(
+        pairs.where("leaf <> with").select("group", F.col("with").alias("leaf"), F.struct("leaf", "with").alias("_pair"), F.lit(1).alias("_side")))
+    sides = sides.select(F.col("group").alias("_g"), F.col("leaf").alias("_l"), "_pair", "_side")
+    cells = laid.join(sides, (F.col("group") == F.col("_g")) & F.col("leaf").eqNullSafe(F.col("_l"))).select(
+        F.struct("group", "_pair").alias("_cell"), "_side", "_component", "node")
+    return first.unionAll(_cells(cells, payload, columns, make))
+
+
+def _cells(rows: DataFrame, payload: DataFrame, columns: list[str], make: Callable[[], Callable]) -> DataFrame:
     """The new links of each cell. Rows of one component count as linked; a cell of two
     sides looks across them only."""
     def run(cell: pa.Table) -> pa.Table:
@@ -104,4 +106,5 @@ def _cells(rows: DataFrame, columns: list[str], make: Callable[[], Callable]) ->
         a, b = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("_cell").applyInArrow(run, "a long, b long")
+    full = rows.join(payload.select("node", *columns), "node").select("_cell", "_side", "_component", "node", *columns)
+    return full.groupBy("_cell").applyInArrow(run, "a long, b long")
