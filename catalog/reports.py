@@ -12,7 +12,7 @@ from catalog.events import MAPPED, activated, risk_sql
 from catalog.temporal import (
     NATION_STATS, ORDER_STATS, ORDER_WEEKLY, STATS_OUT, nation_stats, order_stats, order_weekly)
 from catalog.themes import DOC_STATS, THEME_MAP, doc_stats, theme_map
-from catalog.views import EVENT_THRESHOLDS, LEXICON, event_texts, posts_docs, posts_orders, r6, register, with_
+from catalog.views import DOCS, EVENT_THRESHOLDS, LEXICON, event_texts, posts_docs, posts_orders, r6, register, with_
 from topictide.operators import events as E
 from topictide.operators import temporal as T
 from topictide.operators import themes as H
@@ -182,7 +182,7 @@ def _lifecycle_share(spark, sf):
 
 # --- chart data ---------------------------------------------------------------------
 
-@register("V01_map_sample")
+@register("V01_map_sample", with_(DOCS, final="SELECT row_id, cluster FROM posts ORDER BY md5(row_id || ':42'), row_id LIMIT 20000"))
 def _sample(spark, sf):
     return R.map_sample(posts_docs(spark, sf)).select("row_id", "cluster")
 

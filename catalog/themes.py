@@ -262,15 +262,21 @@ def _wide(spark, sf):
     return H.wide(activations(spark, sf), LEXICON)
 
 
-@register("H13_activation_explained", with_(SCORES, final=f"""
+EXPLAINED = f"""
 SELECT n.theme_id, coalesce(string_agg(DISTINCT v.term, '|' ORDER BY v.term), '') AS matched_terms,
        CAST(count(DISTINCT v.term) AS INTEGER) AS matched_feature_count, any_value(CAST({_THRESH.replace('theme_id', 'n.theme_id')} AS DOUBLE)) AS threshold
-FROM names n LEFT JOIN theme_terms t ON n.theme_id = t.theme_id LEFT JOIN vocabulary v ON t.term = v.term GROUP BY 1"""))
+FROM names n LEFT JOIN theme_terms t ON n.theme_id = t.theme_id LEFT JOIN vocabulary v ON t.term = v.term GROUP BY 1"""
+
+
+@register("H13_activation_explained", with_(SCORES, final=EXPLAINED))
 def _explain(spark, sf):
     return H.explain(tfidf(spark, sf), LEXICON, PER_THEME).withColumn("matched_terms", F.array_join("matched_terms", "|"))
 
 
-@register("H13_activation_explain_json")
+@register("H13_activation_explain_json", with_(SCORES, [("explained", EXPLAINED)], final=f"""
+SELECT '{{' || string_agg('"theme_' || theme_id || '":' || CAST(to_json({{'matched_terms': CASE WHEN matched_terms = '' THEN [] ELSE string_split(matched_terms, '|') END,
+       'matched_feature_count': matched_feature_count, 'threshold': threshold}}) AS VARCHAR), ',' ORDER BY 'theme_' || theme_id) || '}}' AS activation_explain,
+       '{H.REASONING}' AS activation_reasoning FROM explained"""))
 def _explain_json(spark, sf):
     return H.explain_json(H.explain(tfidf(spark, sf), LEXICON, PER_THEME))
 

@@ -183,7 +183,7 @@ def lifecycle_share(snapshots: DataFrame) -> DataFrame:
 
 def map_sample(points: DataFrame, limit: int = 20_000, seed: int = 42) -> DataFrame:
     """All points when they fit, else a seeded sample of ``limit`` of them."""
-    return points.orderBy(F.xxhash64(F.col("row_id"), F.lit(seed)), "row_id").limit(limit)
+    return points.orderBy(F.md5(F.concat_ws(":", F.col("row_id"), F.lit(seed))), "row_id").limit(limit)
 
 
 def activity_cells(stats: DataFrame) -> DataFrame:
