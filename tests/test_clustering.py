@@ -34,6 +34,12 @@ def test_components(spark, pairs):
     assert got == components(pairs, {n for p in pairs for n in p})
 
 
+def test_long_path_in_order_of_ids(spark):
+    edges = spark.range(5_000).selectExpr("id as a", "id + 1 as b")
+    got = connected_components(edges).groupBy("component").count().collect()
+    assert [tuple(r) for r in got] == [(0, 5_001)]
+
+
 def brute(x, radius, k):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     near = d <= radius
