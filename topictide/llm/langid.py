@@ -4,9 +4,11 @@ words are scored by letter trigrams, and a Viterbi path with a switching penalty
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,7 +97,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     log = np.log((n + smoothing) / (n.sum(axis=0) + smoothing * len(grams))) if len(grams) else n
     words_of = sum(scripts.values()) if scripts else np.zeros(len(languages))
     allowed = {s: seen > script_share * words_of for s, seen in scripts.items()}
-    return Model(languages, grams, (log - log.mean(axis=1, keepdims=True)).astype(np.float32),
+    relative = log - log.mean(axis=1, keepdims=True) if languages else log
+    return Model(languages, grams, relative.astype(np.float32),
                  {s: a for s, a in allowed.items() if a.any()})
 
 
@@ -107,16 +110,20 @@ class Scorer:
         self.table = np.zeros((1, len(model.languages)), np.float32)
         self.n_letters = np.zeros(1, np.int64)
 
-    def __call__(self, tokens: list[str]) -> np.ndarray:
+    def __call__(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Rows of the tables for the tokens of a batch of texts."""
         known = self.known
         if len(known) > MEMO_ENTRIES:
             known.clear()
             self.table, self.n_letters = self.table[:1], self.n_letters[:1]
-        out = [known.get(t) for t in tokens]
-        if None in out:
-            self.learn({t for t, i in zip(tokens, out) if i is None})
-            out = [known[t] for t in tokens]
-        return np.array(out, np.int64)
+        fresh: set[str] = set()
+        for tokens in texts:
+            fresh.update(tokens)
+        fresh.difference_update(known)
+        if fresh:
+            self.learn(fresh)
+        row = known.__getitem__
+        return [np.fromiter(map(row, tokens), np.int64, len(tokens)) for tokens in texts]
 
     def learn(self, fresh: set[str]) -> None:
         m, number, sizes, flat, ends, narrowed = self.model, len(self.table), [], [], [], []
@@ -171,6 +178,41 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     return path
 
 
+def portions(texts: list[str | None], target: int = 4 << 20) -> Iterator[list[str | None]]:
+    """Runs of texts of about ``target`` characters, whose words may be held at once."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if size and size + n > target:
+            yield texts[start:i]
+            start, size = i, 0
+        size += n
+    if start < len(texts):
+        yield texts[start:]
+
+
+class Labeller:
+    """Labels texts, one batch after another."""
+
+    def __init__(self, model: Model):
+        self.model, self.score = model, Scorer(model)
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float, list[dict]]]:
+        """(language, share of letters, spans) of each text."""
+        return [self.one(rows) for rows in self.score([t.lower().split() if t else [] for t in texts])]
+
+    def one(self, rows: np.ndarray) -> tuple[str, float, list[dict]]:
+        m, n = self.model, self.score.n_letters[rows]
+        if not m.languages or not n.any():
+            return UNKNOWN, 0.0, []
+        path = viterbi(self.score.table[rows], m.penalty)
+        share = np.bincount(path, weights=n, minlength=len(m.languages)) / n.sum()
+        at = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1], [True]]))
+        spans = [{"lang": m.languages[path[a]], "start": int(a), "stop": int(b)} for a, b in zip(at, at[1:])]
+        top = int(np.argmax(share))
+        return m.languages[top], float(share[top]), spans
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, spans) of every whole text. ``spans`` are runs of words in one
     language (lang, start, stop); the prediction is the language with most letters, the score
@@ -181,25 +223,29 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     schema = f"doc_id {kind}, lang_pred string, score double, spans array<struct<lang:string,start:int,stop:int>>"
 
     def make():
-        m, score = sent.value, Scorer(sent.value)
-
-        def one(text: bytes | None):
-            tokens = text.decode().lower().split() if text else []
-            rows = score(tokens)
-            n = score.n_letters[rows]
-            if not m.languages or not n.any():
-                return UNKNOWN, 0.0, []
-            path = viterbi(score.table[rows], m.penalty)
-            share = np.bincount(path, weights=n, minlength=len(m.languages)) / n.sum()
-            at = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1], [True]]))
-            spans = [{"lang": m.languages[path[a]], "start": int(a), "stop": int(b)} for a, b in zip(at, at[1:])]
-            top = int(np.argmax(share))
-            return m.languages[top], float(share[top]), spans
+        label = Labeller(sent.value)
 
         def run(keys, texts):
-            found = [one(t) for t in texts]
+            found = label([t.decode() if t else None for t in texts])
             return {"doc_id": keys, **{c: [f[i] for f in found] for i, c in enumerate(("lang_pred", "score", "spans"))}}
 
         return run
 
     return map_texts(docs, id_col, text_col, schema, make).withColumnRenamed("doc_id", id_col)
+
+
+def in_known_language(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents whose prediction is a language with a score of at least ``least``, with
+    all their columns; 'und' goes, so null and empty texts do. Rows don't move."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def known(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        label = Labeller(sent.value)
+        for part in parts:
+            kept: list[bool] = []
+            for texts in portions(part.tolist()):
+                kept += [lang != UNKNOWN and score >= least for lang, score, _ in label(texts)]
+            yield pd.Series(kept, dtype=bool)
+
+    return docs.where(known(F.col(text_col).cast("string")))
