@@ -155,7 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = {r["_label"]: r["count"] for r in present.groupBy("_label").count().collect()}
     total = sum(counts.values())
     prior = min(max(counts.get(1, 0) / total, 1e-3), 0.999) if total else 0.5
-    chosen = sample_by_label(known.where("_label = 1"), "_id", "_label", positives).select("_id")
+    # A sample of a size that is a parameter; joined by broadcast, so that texts don't move.
+    chosen = F.broadcast(sample_by_label(known.where("_label = 1"), "_id", "_label", positives).select("_id"))
     rows = materialize(
         texts.join(chosen, "_id", "left_semi").select("_text", F.lit(True).alias("_positive")).unionAll(
             sample_by_label(texts.withColumn("_all", F.lit(0)), "_id", "_all", unlabelled).select("_text", F.lit(False))))
