@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topictide.llm.common import WordHashes, inner_windows, map_texts, mix, window_hashes
+from topictide.llm.common import WordHashes, inner_windows, map_texts, mix, sample_by_label, window_hashes
 
 BLANKS = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
@@ -189,15 +189,16 @@ def base_failed() -> Column:
 
 
 def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality",
-          sample_rows: int = 20_000) -> list[Rule]:
-    """Rules from at most ``sample_rows`` labelled rows, those with the smallest hashes of
-    their id. Rows with a null id or label and rows that fail the base rules teach nothing;
+          rows_per_label: int = 10_000) -> list[Rule]:
+    """Rules from about ``rows_per_label`` labelled rows of each label, chosen by a hash of
+    the id. Rows with a null id or label and rows that fail the base rules teach nothing;
     without labels of both kinds there are no rules."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_label is not null")
-    rows = (stats.where(~base_failed()).join(known.dropDuplicates(["_id"]), F.col(id_col) == F.col("_id"))
-            .select("_label", F.xxhash64("_id").alias("_order"), "_id", *[F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()])
-            .orderBy("_order", "_id").limit(sample_rows).drop("_order", "_id").collect())
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
+    known = sample_by_label(known.where("_label is not null").dropDuplicates(["_id"]), "_id", "_label", rows_per_label)
+    rows = (stats.where(~base_failed()).join(known, F.col(id_col) == F.col("_id"))
+            .select("_label", "_id", *[F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()]).collect())
     if not rows:
         return []
-    data = np.array([[np.nan if v is None else v for v in r] for r in rows], float)
+    rows.sort(key=lambda r: r["_id"])  # the split into rows that grow and prune rules follows the order
+    data = np.array([[np.nan if v is None else v for v in (r[0], *r[2:])] for r in rows], float)
     return learn_rules(np.nan_to_num(data[:, 1:], nan=-1.0), data[:, 0] > 0, list(FEATURES))
