@@ -15,9 +15,21 @@ from topictide.llm.common import ALNUM_LOWER, WordHashes, inner_windows, mix, ro
 from topictide.runtime import materialize
 
 BUCKET_ENTRIES = 2_000_000  # n-grams of a hash bucket, on average
+BLOCK_BYTES = 6 << 20  # of text in a block
 ORDER_SALT = 0xA24BAED4963EE407
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers as their first bytes, then their second ones and so on: those of small and
+    of sorted numbers compress far better apart."""
+    return numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+
+
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T.copy().view(kind).ravel()
+
+
 def word_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(block, n_words, ids, lengths, vocabulary, words): documents as packed words, some
     megabytes of text to a block; words are places in the block's vocabulary of hashes."""
@@ -26,7 +38,7 @@ def word_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         hashes, block = WordHashes(), TaskContext.get().partitionId() << 32
         for whole in batches:
-            for batch in rows_per_batch(whole, "_text"):
+            for batch in rows_per_batch(whole, "_text", BLOCK_BYTES):
                 block += 1
                 known: dict[bytes, int] = {}
                 flat, lengths = [], []
@@ -37,7 +49,7 @@ def word_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 ids = batch.column(0)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([block]), pa.array([len(flat)], pa.int64()), pa.array([ids.to_pylist()], pa.list_(ids.type)),
-                    *(pa.array([x.tobytes()], pa.binary()) for x in (
+                    *(pa.array([packed(x)], pa.binary()) for x in (
                         np.array(lengths, "<u4"), hashes(list(known)).astype("<u8"), np.array(flat, "<u4")))],
                     ["block", "n_words", "ids", "lengths", "vocabulary", "words"])
 
@@ -50,8 +62,8 @@ class Block:
     ``grams`` holds all distinct ones in the order in which they are asked for."""
 
     def __init__(self, lengths: bytes, vocabulary: bytes, words: bytes, order: int, buckets: int):
-        self.lengths = np.frombuffer(lengths, "<u4").astype(np.int64)
-        flat = np.frombuffer(vocabulary, "<u8")[np.frombuffer(words, "<u4")]
+        self.lengths = unpacked(lengths, "<u4").astype(np.int64)
+        flat = unpacked(vocabulary, "<u8")[unpacked(words, "<u4")]
         self.ends, every = [], []
         for k in range(1, order + 1):
             starts = inner_windows(self.lengths, k)
@@ -64,7 +76,7 @@ class Block:
         self.grams, self.times, self.bucket = grams[by_bucket], times[by_bucket], bucket[by_bucket]
         moved = np.empty(len(grams), np.int64)
         moved[by_bucket] = np.arange(len(grams))
-        self.place = np.split(moved[place], np.cumsum([len(e) for e in every])[:-1])
+        self.place = np.split(moved[place].astype(np.int32), np.cumsum([len(e) for e in every])[:-1])
 
 
 def ngram_counts(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
@@ -81,15 +93,15 @@ def ngram_counts(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
                 spans = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([batch.column(0)[i].as_py()] * len(spans), pa.int64()), pa.array([int(b.bucket[x]) for x, _ in spans], pa.int64()),
-                    pa.array([b.grams[x:y].astype("<u8").tobytes() for x, y in spans], pa.binary()),
-                    pa.array([b.times[x:y].astype("<u4").tobytes() for x, y in spans], pa.binary())], ["block", "bucket", "grams", "times"])
+                    pa.array([packed(b.grams[x:y].astype("<u8")) for x, y in spans], pa.binary()),
+                    pa.array([packed(b.times[x:y].astype("<u4")) for x, y in spans], pa.binary())], ["block", "bucket", "grams", "times"])
 
     def add(part: pa.Table) -> pa.Table:
-        grams = [np.frombuffer(g, "<u8") for g in part.column("grams").to_pylist()]
-        times = np.concatenate([np.frombuffer(t, "<u4") for t in part.column("times").to_pylist()])
+        grams = [unpacked(g, "<u8") for g in part.column("grams").to_pylist()]
+        times = np.concatenate([unpacked(t, "<u4") for t in part.column("times").to_pylist()])
         _, place = np.unique(np.concatenate(grams), return_inverse=True)
         total = np.bincount(place, weights=times).astype(np.int64)[place]
-        counts = [c.astype("<u8" if len(total) and total.max() >= 2**32 else "<u4").tobytes()
+        counts = [packed(c.astype("<u8" if len(total) and total.max() >= 2**32 else "<u4"))
                   for c in np.split(total, np.cumsum([len(g) for g in grams])[:-1])]
         return pa.table({"block": part.column("block"), "bucket": part.column("bucket"), "counts": pa.array(counts, pa.binary()),
                          "n": pa.array([len(g) for g in grams], pa.int64())})
@@ -125,7 +137,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     def rate_block(own: pa.Table, i: int, answered: pa.Table) -> pa.Table:
         b = Block(*(own.column(c)[i].as_py() for c in ("lengths", "vocabulary", "words")), order, buckets)
         by_bucket = sorted(zip(*(answered.column(c).to_pylist() for c in ("bucket", "counts", "n"))))
-        counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(c, "<u8" if len(c) == 8 * n else "<u4").astype(np.int64) for _, c, n in by_bucket)])
+        counts = np.concatenate([np.zeros(0, np.int64), *(unpacked(c, "<u8" if len(c) == 8 * n else "<u4").astype(np.int64) for _, c, n in by_bucket)])
         n_words = int(b.lengths.sum())
         doc = np.repeat(np.arange(len(b.lengths)), b.lengths)
         inside = np.arange(n_words) - np.repeat(np.cumsum(b.lengths) - b.lengths, b.lengths)
@@ -133,7 +145,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         for place, ends in zip(b.place, b.ends):
             c = counts[place]
             if leave_out and len(place):
-                key = place * len(b.lengths) + doc[ends]
+                key = place.astype(np.int64) * len(b.lengths) + doc[ends]
                 _, which, times = np.unique(key, return_inverse=True, return_counts=True)
                 c = c - times[which]
             full = np.zeros(n_words, np.int64)
