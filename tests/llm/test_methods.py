@@ -33,7 +33,10 @@ def test_bpe_equals_the_library():
         assert own.encode(t) == np.array(lib.encode_ordinary(t), "<u4").tobytes(), t[:80]
 
 
-def test_line_dedup_equals_brute_force(spark, docs):
+@pytest.mark.parametrize("few", [256, 3])
+def test_line_dedup_equals_brute_force(spark, docs, monkeypatch, few):
+    monkeypatch.setattr(line_dedup, "RUN_ROWS", few)
+    monkeypatch.setattr(line_dedup, "FEW_LINES", min(few, 16))
     rows = docs.limit(400).union(spark.createDataFrame(
         [(10_000 + i, f"alpha beta gamma delta epsilon zeta eta theta iota kappa {i:03d}\nkeep {i}", "en", "x", 1) for i in range(40)], docs.schema))
     rows = rows.cache()
@@ -83,7 +86,7 @@ def test_close_simhashes_finds_every_pair(spark):
     values = np.unique(np.concatenate([base, *(base ^ (1 << rng.integers(0, 63)) ^ (1 << rng.integers(0, 63)) for _ in range(9))]))
     df = spark.createDataFrame([(int(v),) for v in values], "simhash long")
     for blocks in (4, 6):
-        found = line_dedup.connected_components(line_dedup.close_simhashes(df, 3, blocks))
+        found = line_dedup.connected_components(line_dedup.close_simhashes(df, 3, blocks).where("run IS NULL"))
         got = {r.node: r.component for r in found.collect()}
         forest = linkage.Forest(len(values))
         for i in range(len(values)):
