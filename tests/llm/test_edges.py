@@ -71,6 +71,8 @@ def test_empty_table(spark, empty, name):
 def test_defined_results(spark, docs):
     found = operators(spark, docs)
     tokens = {r.doc_id: r for r in found["bpe"]().collect()}
+    both = {r.doc_id: r for r in bpe.round_trip(docs, path(), public_tokenizers.PATTERN).collect()}
+    assert both == tokens
     assert bytes(tokens[0].ids) == b"" and bytes(tokens[1].decoded) == b""
     assert all(bytes(tokens[i].decoded) == t.encode() for i, t in enumerate(TEXTS) if t)
     lang = {r.doc_id: r for r in found["lang"]().collect()}

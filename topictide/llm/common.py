@@ -16,7 +16,7 @@ ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ALNUM_LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
                     for b in range(256))
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-MEMO_ENTRIES = 400_000  # entries a worker's look-up table may hold before it starts anew
+MEMO_ENTRIES = 300_000  # entries a worker's look-up table may hold before it starts anew
 
 
 def crc_mod(column: str | Column, n: int) -> Column:
@@ -69,7 +69,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, remembered up to a bound."""
 
-    def __init__(self, limit: int = MEMO_ENTRIES):
+    def __init__(self, limit: int = MEMO_ENTRIES // 2):
         from xxhash import xxh3_64_intdigest
 
         self.hash, self.limit, self.known = xxh3_64_intdigest, limit, {}

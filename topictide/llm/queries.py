@@ -72,8 +72,7 @@ def op1_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
 
 def bpe_round_trip(docs: DataFrame) -> DataFrame:
     """(doc_id, ids, decoded): every whole text as token ids and back."""
-    path = public_tokenizers.path(RANKS)
-    return bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    return bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
 @query()
