@@ -88,7 +88,7 @@ def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Every document without the lines that an earlier document or line has."""
-    return line_dedup.dedup_lines(table(spark, sf, "documents")).select("doc_id", "text", "removed_lines")
+    return line_dedup.dedup_similar_lines(table(spark, sf, "documents")).select("doc_id", "text", "removed_lines")
 
 
 # --- 4: language ID --------------------------------------------------------------
