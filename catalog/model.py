@@ -341,14 +341,13 @@ def _verdicts(spark, sf):
 
 # --- trained models: no SQL equivalent --------------------------------------------------
 
-QUICK = training.Settings(models=("logistic", "random_forest"), epsilons=(0.05,), splits=2, trees=20, calibrate=False)
+SETTINGS = training.Settings()
 
 
 def _member(name: str, calibrate: bool):
     def query(spark, sf):
         f = materialize(V.holdout_split(frame(spark, sf)))
-        s = training.Settings(trees=20, boosting_rounds=5)
-        member = training.fit_member(f.where("split = 'train'"), FEATURES_OUT, name, s, calibrate)
+        member = training.fit_member(f.where("split = 'train'"), FEATURES_OUT, name, SETTINGS, calibrate)
         return member.predict(f.where("split = 'test'").select("cluster", "time_window", "target", *FEATURES_OUT)).select(
             "cluster", "time_window", "target", *V.PROBS)
     return query
@@ -361,18 +360,18 @@ register("M06_calibrated_probabilities")(_member("logistic", True))
 
 
 def bundle(spark, sf):
-    return training.train_direction_model(nation_stats(spark, sf), None, QUICK)
+    return training.train_direction_model(nation_stats(spark, sf), None, SETTINGS)
 
 
 @register("M14_walk_forward_metrics")
 def _walk(spark, sf):
-    return training.walk_forward(materialize(feats(spark, sf)), FEATURES_OUT, [0.05], QUICK)
+    return training.walk_forward(materialize(feats(spark, sf)), FEATURES_OUT, list(SETTINGS.epsilons), SETTINGS)
 
 
 @register("M17_feature_importances")
 def _importances(spark, sf):
     f = frame(spark, sf)
-    member = training.fit_member(f, FEATURES_OUT, "random_forest", QUICK)
+    member = training.fit_member(f, FEATURES_OUT, "random_forest", SETTINGS)
     return V.with_kept(training.importances(member, spark)).drop("position")
 
 
