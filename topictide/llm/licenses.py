@@ -1,5 +1,6 @@
-"""License scans: winnowed fingerprints of templates in an inverted index pick candidates,
-and a banded alignment tells how much of a template stands in a text, and where."""
+"""License scans: an inverted index of the templates' words picks the places where enough of
+a template's words stand close together, and a banded alignment at each of them tells how
+much of the template stands in the text, and where."""
 
 from __future__ import annotations
 
@@ -8,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from topictide.llm.common import ALNUM_LOWER, WordHashes, inner_windows, map_texts, window_hashes
+from topictide.llm.common import ALNUM_LOWER, WordHashes, map_texts
 
 # Notices as they are commonly given.
 TEMPLATES = {
@@ -64,61 +65,79 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(ALNUM_LOWER).split() if text else []
 
 
-def winnow(grams: np.ndarray, lengths: np.ndarray, window: int) -> np.ndarray:
-    """Places of the grams, laid text after text, that are smallest in one of the windows of
-    ``window`` grams; a text with fewer is one window."""
-    if not len(grams):
-        return np.empty(0, np.int64)
-    starts = inner_windows(lengths, window)
-    least = np.full(len(grams), True) if not len(starts) else np.zeros(len(grams), bool)
-    if len(starts):
-        low = grams[starts]
-        for k in range(1, window):
-            low = np.minimum(low, grams[starts + k])
-        for k in range(window):
-            least[starts[grams[starts + k] == low] + k] = True
-    ends = np.cumsum(lengths)
-    for n, end in zip(lengths[lengths < window].tolist(), ends[lengths < window].tolist()):
-        part = grams[end - n:end]
-        if n:
-            least[end - n:end] = part == part.min()
-    return np.flatnonzero(least)
-
-
 @dataclass
 class Index:
-    """Templates as word hashes, and their winnowed fingerprints as postings (sorted
-    fingerprints, template, place). Its size is that of the templates."""
+    """Templates as word hashes, and which word stands how often in which template (rows as
+    ``words``, a last one for all others). Its size is that of the templates."""
 
     names: list[str]
     templates: list[np.ndarray]
-    fingerprints: np.ndarray
-    of: np.ndarray
-    place: np.ndarray
-    n_prints: np.ndarray
-    gram: int
-    window: int
-
-
-def build_index(templates: dict[str, list[str]] = TEMPLATES, gram: int = 3, window: int = 3) -> Index:
-    """Any ``gram + window - 1`` words in a row of a template that a text repeats give a
-    fingerprint they share. Templates of fewer words than a gram are refused."""
-    hashes, names, bodies, prints, of, places = WordHashes(), [], [], [], [], []
+    words: np.ndarray
+    counts: np.ndarray
+
+
+def build_index(templates: dict[str, list[str]] = TEMPLATES) -> Index:
+    """Templates without words are refused."""
+    hashes, names, bodies = WordHashes(), [], []
     for name, texts in templates.items():
         for text in texts:
             h = hashes(words_of(text.encode()))
-            if len(h) < gram:
-                raise ValueError(f"template of {name} has fewer than {gram} words")
-            grams = window_hashes(h, gram)
-            at = winnow(grams, np.array([len(grams)]), window)
-            prints.append(grams[at])
-            of.append(np.full(len(at), len(names)))
-            places.append(at)
+            if not len(h):
+                raise ValueError(f"template of {name} has no words")
             names.append(name)
             bodies.append(h)
-    flat, of, places = (np.concatenate(x) for x in (prints, of, places))
-    order = np.argsort(flat, kind="stable")
-    return Index(names, bodies, flat[order], of[order], places[order], np.bincount(of), gram, window)
+    words = np.unique(np.concatenate(bodies))
+    counts = np.zeros((len(words) + 1, len(bodies)), np.int64)
+    for t, h in enumerate(bodies):
+        np.add.at(counts[:, t], np.searchsorted(words, h), 1)
+    return Index(names, bodies, words, counts)
+
+
+def candidates(index: Index, flat: np.ndarray, n: np.ndarray, least: float, band: int) -> dict[int, list[tuple[int, int]]]:
+    """By text the (template, shift) whose alignment can match ``least`` of the template:
+    within the band stand as many of its words, each counted as often as it has it. Texts
+    lie one after another, ``n`` words each."""
+    vocabulary = len(index.words)
+    at = np.searchsorted(index.words, flat)
+    at[at == vocabulary] = 0
+    # Before each text ``band`` places stand for shifts below 0.
+    size = n + band
+    first = np.cumsum(size) - size
+    ids = np.full(int(size.sum()), vocabulary)
+    ids[np.repeat(first + band - (np.cumsum(n) - n), n) + np.arange(len(flat))] = np.where(index.words[at] == flat, at, vocabulary)
+    known = np.flatnonzero(ids < vocabulary)
+    found: dict[int, list[tuple[int, int]]] = {}
+    if not len(known):
+        return found
+    for t, body in enumerate(index.templates):
+        need = int(np.ceil(least * len(body) - 1e-9))
+        places = known[index.counts[ids[known], t] > 0]  # of words the template has
+        if len(places) < need:
+            continue
+        # A window of shift p - first - band reaches from p - band to p + len(body) + band.
+        reach = len(body) + 2 * band
+        dense = places[:len(places) - need + 1][places[need - 1:] - places[:len(places) - need + 1] <= reach]
+        last = places[need - 1:][places[need - 1:] - places[:len(places) - need + 1] <= reach]
+        if not len(dense):
+            continue
+        # The window of p holds places from dense to last.
+        change = np.zeros(len(ids) + 1, np.int64)
+        lo, hi = np.maximum(last - len(body) - band, 0), np.minimum(dense + band, len(ids) - 1)
+        np.add.at(change, lo, 1)
+        np.add.at(change, hi + 1, -1)
+        starts = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+        doc = np.searchsorted(first, starts, "right") - 1
+        for part in np.array_split(np.arange(len(starts)), len(starts) * (reach + 1) // 4_000_000 + 1):
+            begin = np.maximum(starts[part] - band, first[doc[part]])
+            end = np.minimum(starts[part] + len(body) + band + 1, first[doc[part]] + size[doc[part]])
+            window = begin[:, None] + np.arange(reach + 1)[None, :]
+            held = np.where(window < end[:, None], ids[np.minimum(window, len(ids) - 1)], vocabulary)
+            total = np.zeros(len(part), np.int64)
+            for w in np.flatnonzero(index.counts[:, t]).tolist():
+                total += np.minimum((held == w).sum(axis=1), index.counts[w, t])
+            for p, d in zip(starts[part][total >= need].tolist(), doc[part][total >= need].tolist()):
+                found.setdefault(d, []).append((t, p - int(first[d]) - band))
+    return found
 
 
 def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
@@ -156,29 +175,18 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tupl
     return matched, start, stop
 
 
-def matches_of(index: Index, text: np.ndarray, prints: list[tuple[int, int, int]], least: float, band: int) -> list[dict]:
-    """Matches of a text from its (template, template place, text place) fingerprints."""
-    found = []
-    groups: dict[int, list] = {}
-    for template, place, at in prints:
-        groups.setdefault(template, []).append((at - place, at))
-    for template, hits in groups.items():
+def matches_of(index: Index, text: np.ndarray, places: list[tuple[int, int]], least: float, band: int) -> list[dict]:
+    """Matches of a text from its (template, shift) candidates."""
+    found = set()
+    for template, shift in places:
         body = index.templates[template]
-        hits.sort()
-        i = 0
-        while i < len(hits):
-            shift, j = hits[i][0], i
-            while j < len(hits) and hits[j][0] - shift <= band:
-                j += 1
-            middle = hits[(i + j - 1) // 2][0]
-            i = j
-            lo = max(middle - band, 0)
-            part = text[lo:middle + len(body) + band + 1]
-            matched, start, stop = align(body, part, middle - lo, band)
-            if matched >= least * len(body):
-                found.append((matched, matched / len(body), index.names[template], start + lo, stop + lo))
+        lo = max(shift - band, 0)
+        part = text[lo:max(shift + len(body) + band + 1, lo)]
+        matched, start, stop = align(body, part, shift - lo, band)
+        if matched >= least * len(body):
+            found.add((matched, matched / len(body), index.names[template], start + lo, stop + lo))
     kept: list[dict] = []
-    for matched, coverage, name, start, stop in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[3])):
+    for matched, coverage, name, start, stop in sorted(found, key=lambda f: (-f[0], -f[1], f[4] - f[3], f[2], f[3])):
         if all(min(stop, k["stop"]) - max(start, k["start"]) <= 0.5 * (stop - start) for k in kept):
             kept.append({"license": name, "coverage": coverage, "matched": matched, "start": start, "stop": stop})
     return sorted(kept, key=lambda k: (k["start"], k["license"]))
@@ -188,11 +196,11 @@ def scan(docs: DataFrame, index: Index | None = None, id_col: str = "doc_id", te
          band: int = 6) -> DataFrame:
     """(id, license, coverage, matched_words, start, stop): a row for every notice found.
 
-    A text is a candidate where one of its winnowed fingerprints is a template's; it is
+    A text is a candidate wherever enough of a template's words stand within reach; it is
     aligned there with a band of ``band`` words, and reported if at least ``least`` of the
     template's words match in order. Coverage is that share; the span is in words. Of
     matches over the same words the one with most matched words stays, then the larger
-    share, then the first name. Null and empty texts and texts without notices give no
+    share, then the shorter span, then the first name. Null and empty texts and texts without notices give no
     rows; repeated rows give theirs again. The index has the size of the templates, which
     are a parameter, and is sent to all tasks."""
     sent = docs.sparkSession.sparkContext.broadcast(index or build_index())
@@ -201,28 +209,15 @@ def scan(docs: DataFrame, index: Index | None = None, id_col: str = "doc_id", te
 
     def make():
         known, hashes = sent.value, WordHashes()
-        unique = np.unique(known.fingerprints)
 
         def run(keys, texts):
             words = [words_of(t) for t in texts]
             n = np.array([len(w) for w in words], np.int64)
             flat = hashes([w for ws in words for w in ws])
-            starts = inner_windows(n, known.gram)
-            grams = window_hashes(flat, known.gram)[starts] if len(starts) else np.empty(0, np.uint64)
-            at = winnow(grams, np.maximum(n - known.gram + 1, 0), known.window)
-            where = np.searchsorted(unique, grams[at])
-            where[where == len(unique)] = 0
-            at = at[unique[where] == grams[at]]
             first = np.cumsum(n) - n
-            by_doc: dict[int, list] = {}
-            for place, print_ in zip(starts[at].tolist(), grams[at]):
-                d = int(np.searchsorted(first, place, "right")) - 1
-                lo, hi = np.searchsorted(known.fingerprints, print_, "left"), np.searchsorted(known.fingerprints, print_, "right")
-                by_doc.setdefault(d, []).extend(
-                    (int(known.of[k]), int(known.place[k]), place - int(first[d])) for k in range(lo, hi))
             out: dict[str, list] = {c: [] for c in ("doc_id", "license", "coverage", "matched_words", "start", "stop")}
-            for d, prints in by_doc.items():
-                for m in matches_of(known, flat[first[d]:first[d] + n[d]], prints, least, band):
+            for d, places in candidates(known, flat, n, least, band).items():
+                for m in matches_of(known, flat[first[d]:first[d] + n[d]], places, least, band):
                     for c, v in zip(out, (keys[d], m["license"], m["coverage"], m["matched"], m["start"], m["stop"])):
                         out[c].append(v)
             return out
