@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topictide.llm import bpe, chat, decontamination, langid, licenses, line_dedup, lm_scoring, ngram_join, quality_rules, toxicity
+from topictide.llm import (bpe, chat, compression, decontamination, langid, licenses, line_dedup, lm_scoring, ngram_join,
+                           quality_rules, toxicity)
 from topictide.llm.common import crc_mod
 from topictide.runtime import materialize
 
@@ -248,3 +249,15 @@ def op10_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
         [(-7, 0, "user", PLANTED_TURN), (-7, 1, "assistant", PLANTED_TURN)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
     return chat.read_back(chat.format_conversations(rows))
+
+
+# --- 11: quality classifier ------------------------------------------------------
+
+@query()
+def op11_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """The quality of every document; labels of the fold held out are never looked at."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    fold = F.coalesce(crc_mod("doc_id", 3), F.lit(-1))
+    model = compression.train(docs.where(fold != 1), labels.where(fold != 1))
+    return compression.score(docs, model).select(
+        "doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "difference")
