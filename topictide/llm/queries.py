@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topictide.llm import (bpe, chat, compression, decontamination, langid, licenses, line_dedup, lm_scoring, ngram_join,
+from topictide.llm import (bpe, chat, collocations, compression, decontamination, langid, licenses, line_dedup, lm_scoring, ngram_join,
                            quality_rules, spelling, toxicity)
 from topictide.llm.common import crc_mod
 from topictide.runtime import materialize
@@ -304,3 +304,38 @@ FROM forms JOIN (SELECT paths.word, root FROM paths JOIN forms ON forms.word = r
 def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
     """Every frequent word of the documents, its near words and the form it is a variant of."""
     return spelling.spelling_groups(table(spark, sf, "documents"))
+
+
+# --- 13: phrase collocations -------------------------------------------------------
+
+_OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(
+          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+size AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+f AS (
+  SELECT lang, p, count(*) AS f
+  FROM (SELECT lang, w[i:i + k - 1] AS p
+        FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k))
+  GROUP BY lang, p HAVING count(*) >= 100),
+parts AS (
+  SELECT DISTINCT long.lang, long.f AS f_long, long.p[i:j] AS p
+  FROM (SELECT lang, p, f, unnest(range(1, len(p) + 1)) AS i FROM f) long, (SELECT unnest(range(1, 6)) AS j)
+  WHERE j >= i AND j <= len(long.p) AND j - i + 1 < len(long.p)),
+cuts AS (
+  SELECT c.lang, c.p, c.f AS a, x.f AS l, y.f AS r, c.k,
+         1000::HUGEINT * c.f::HUGEINT * s.n::HUGEINT // (x.f::HUGEINT * y.f::HUGEINT) AS score, s.n
+  FROM (SELECT lang, p, f, unnest(range(1, len(p))) AS k FROM f WHERE len(p) > 1) c
+  JOIN f x ON x.lang = c.lang AND x.p = c.p[1:c.k] JOIN f y ON y.lang = c.lang AND y.p = c.p[c.k + 1:] JOIN size s ON s.lang = c.lang),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+kept AS (SELECT * FROM worst WHERE NOT EXISTS (
+  SELECT 1 FROM parts WHERE parts.lang = worst.lang AND parts.p = worst.p AND 100 * f_long >= 100 * a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM kept)
+SELECT lang, rank, array_to_string(p, ' ') AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000"""
+
+
+@query(_OP13)
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    """The 2 000 phrases of each language that stand out most from their parts."""
+    return collocations.collocations(table(spark, sf, "documents"))
