@@ -46,6 +46,34 @@ def _density(spark, sf):
     return D.density_clusters(embeddings_planted(spark, sf), [4.0, 2.0, 1.5], 8, 20)
 
 
+@register("C02_hierarchical_clusters", with_(PLANTED, final="SELECT row_id, min(row_id) OVER (PARTITION BY label) AS cluster FROM points"))
+def _hierarchical(spark, sf):
+    return D.hierarchical_clusters(embeddings_planted(spark, sf), 8, 20).select("row_id", "cluster")
+
+
+# Merges up to a height: core points less the components that they make at that radius.
+LEVELS = [1.2, 1.4, 1.6, 2.0, 3.4]
+LEVEL_SQL = [
+    ("levels", f"SELECT unnest({LEVELS}::DOUBLE[]) AS height"),
+    ("apart", "SELECT a.row_id AS a, b.row_id AS b, list_distance(a.embedding, b.embedding) AS d FROM points a JOIN points b ON true"),
+    ("cores", "SELECT height, a AS node FROM apart JOIN levels ON d <= height GROUP BY ALL HAVING count(*) >= 8"),
+    ("links", """SELECT x.height, x.node AS a, y.node AS b FROM apart JOIN cores x ON x.node = a JOIN cores y ON y.node = b AND y.height = x.height
+        WHERE d <= x.height"""),
+    ("reach(height, node, root)", """/* RECURSIVE_STEP */ SELECT height, node, node FROM cores
+        UNION SELECT l.height, l.b, r.root FROM reach r JOIN links l ON l.a = r.node AND l.height = r.height"""),
+    ("parts", "SELECT height, node, min(root) AS part FROM reach GROUP BY ALL"),
+]
+
+
+@register("C02_merge_levels", with_(PLANTED, LEVEL_SQL, final="""
+SELECT levels.height, count(node) - count(DISTINCT part) AS merges FROM levels LEFT JOIN parts ON parts.height = levels.height GROUP BY ALL"""))
+def _levels(spark, sf):
+    found = D.merge_levels(embeddings_planted(spark, sf), 8)
+    up_to = F.explode(F.array(*[F.lit(h) for h in LEVELS])).alias("level")
+    return found.select("height", up_to).groupBy(F.col("level").alias("height")).agg(
+        F.sum((F.col("height") <= F.col("level")).cast("long")).alias("merges"))
+
+
 @register("C01_reduced_embeddings")
 def _reduced(spark, sf):
     fitted = P.fit_reduction(embeddings_planted(spark, sf), 16)

@@ -1,38 +1,40 @@
-"""Density clustering (DBSCAN* levels of HDBSCAN*) on Spark.
+"""Density clustering (DBSCAN* and HDBSCAN*) on Spark.
 
 Exact neighbourhoods without pairs of rows ever leaving a task:
 
 1. equal vectors collapse to one weighted point;
-2. points are binned by their coordinates along a few high-variance directions, with
-   bins as wide as the radius, so neighbours share a bin or sit in adjacent ones;
-3. a bin pair is cut into fixed-size blocks, and each task compares two blocks with
-   numpy: it returns per-point nearest distances, then only the block's minimum
-   spanning forest. The union of these forests holds a minimum spanning forest of
-   the whole graph, so all levels can be read from it.
-
-A dense bin is thus spread over many tasks of bounded memory.
+2. a metric index deals the points to blocks and names the pairs of blocks that may hold
+   neighbours (``metric_index``);
+3. a task compares the two blocks of a pair with numpy and returns, per point, its nearest
+   distances, then only minimum spanning forests of mutual reachability distances. The union
+   of these forests holds a minimum spanning forest of the whole graph, so all levels can be
+   read from it (``merge_tree``).
+
+A dense region is thus spread over many tasks of bounded memory.
 """
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from topictide.operators import merge_tree, metric_index
 from topictide.operators.graph import connected_components
+from topictide.operators.metric_index import BLOCK_ROWS, Index, block_pairs, distances, meeting, unpack
 from topictide.runtime import materialize
 from topictide.schemas import NOISE_CLUSTER
 
 # The block kernels travel with the job, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK_ROWS = 2_000
-BIN_AXES = 2
+HELD_EDGES = 300_000  # that a task thins out at once
 
 
 def unique_points(points: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -44,123 +46,183 @@ def unique_points(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     return groups, members
 
 
-def _axes(points: DataFrame, n_axes: int) -> list[int]:
-    """Coordinates with the largest variance: one row of statistics per dimension."""
-    stats = points.select(F.posexplode("embedding").alias("dim", "x")).groupBy("dim").agg(F.var_pop("x").alias("v"))
-    return [r.dim for r in stats.orderBy(F.col("v").desc(), "dim").limit(n_axes).collect()]
-
-
-def block_pairs(points: DataFrame, radius: float, block_rows: int = BLOCK_ROWS, n_axes: int = BIN_AXES) -> DataFrame:
-    """Rows (task, own, side, point, embedding, weight): every two points within the radius
-    meet in exactly one task as left and right side, or inside one block."""
-    axes = _axes(points, n_axes)
-    bins = [F.floor(F.element_at("embedding", a + 1) / F.lit(float(radius))).cast("long") for a in axes]
-    binned = points.withColumn("bin", F.array(*bins))
-    sizes = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    counted = sizes.select("bin", F.ceil(F.col("n") / F.lit(block_rows)).cast("int").alias("blocks"))
-    # Pseudo-random, repeatable block of a point within its bin.
-    placed = binned.join(counted, "bin").withColumn(
-        "block", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int"))
-
-    # Neighbouring bins that exist, each pair of bins once (own bin included).
-    offsets = [[]]
-    for _ in axes:
-        offsets = [o + [d] for o in offsets for d in (-1, 0, 1)]
-    half = [o for o in offsets if o >= [0] * len(axes)]
-    shift = F.explode(F.array(*[F.array(*[F.lit(d).cast("long") for d in o]) for o in half]))
-    links = (counted.select("bin", "blocks", shift.alias("d"))
-             .withColumn("other", F.zip_with("bin", "d", lambda a, b: a + b))
-             .join(counted.select(F.col("bin").alias("other"), F.col("blocks").alias("other_blocks")), "other"))
-    pairs = (links.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
-             .where((F.col("bin") != F.col("other")) | (F.col("i") <= F.col("j")))
-             .withColumn("task", F.xxhash64("bin", "other", "i", "j")))
-    pairs = pairs.withColumn("own", (F.col("bin") == F.col("other")) & (F.col("i") == F.col("j")))
-    sides = pairs.select("task", "own", "bin", F.col("i").alias("block"), F.lit(0).alias("side")).unionByName(
-        pairs.where("NOT own").select(
-            "task", "own", F.col("other").alias("bin"), F.col("j").alias("block"), F.lit(1).alias("side")))
-    return placed.select("bin", "block", "point", "embedding", "weight").join(sides, ["bin", "block"])
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All distances; those lost to cancellation are recomputed from differences."""
-    size = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
-    sq = size - 2.0 * (a @ b.T)
-    i, j = np.nonzero(sq <= 1e-6 * size)
-    for k in range(0, len(i), 4096):
-        x, y = i[k:k + 4096], j[k:k + 4096]
-        sq[x, y] = ((a[x] - b[y]) ** 2).sum(1)
-    return np.sqrt(np.maximum(sq, 0.0))
-
-
-def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
-    left = pdf[pdf.side == 0]
-    same = bool(pdf.own.iloc[0])
-    return left, (left if same else pdf[pdf.side == 1]), same
-
-
-def nearest_distances(points: DataFrame, blocks: DataFrame, radius: float, min_samples: int) -> DataFrame:
-    """(point, core): distance to the ``min_samples``-th neighbour, the point itself and
-    its copies counted; null when fewer lie within the radius."""
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, same = _sides(pdf)
-        d = _distances(np.stack(left.embedding), np.stack(right.embedding))
-        out = []
-        for ids, dist, weights in ((left.point, d, right.weight), (right.point, d.T, left.weight)):
-            w = weights.to_numpy()
-            if same:
-                dist = dist.copy()
-                np.fill_diagonal(dist, np.inf)
-            order = np.argsort(dist, axis=1, kind="stable")[:, :min_samples]
-            top = np.take_along_axis(dist, order, axis=1)
-            rows, cols = np.nonzero(top <= radius)
-            out.append(pd.DataFrame({"point": ids.to_numpy()[rows], "d": top[rows, cols],
-                                     "w": w[order[rows, cols]]}))
-            if same:
-                break
-        return pd.concat(out)
-
-    near = blocks.groupBy("task").applyInPandas(nearest, "point long, d double, w long")
-    own = points.select("point", F.lit(0.0).alias("d"), F.col("weight").alias("w"))
-    by_d = W.partitionBy("point").orderBy("d").rowsBetween(W.unboundedPreceding, 0)
-    ranked = near.unionByName(own).withColumn("seen", F.sum("w").over(by_d))
-    return ranked.groupBy("point").agg(
-        F.min(F.when(F.col("seen") >= min_samples, F.col("d"))).alias("core"))
-
-
-def spanning_edges(blocks: DataFrame, cores: DataFrame, radius: float) -> DataFrame:
-    """(a, b, w): per task the minimum spanning forest of mutual reachability distances
-    up to the radius, between core points."""
-    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, same = _sides(pdf)
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": [], "w": []})
-        d = _distances(np.stack(left.embedding), np.stack(right.embedding))
-        reach = np.maximum(d, np.maximum(left.core.to_numpy()[:, None], right.core.to_numpy()[None, :]))
-        keep = reach <= radius
-        if same:
-            keep &= np.triu(np.ones_like(keep), 1).astype(bool)
-        i, j = np.nonzero(keep)
-        w = reach[i, j]
-        a, b = left.point.to_numpy()[i], right.point.to_numpy()[j]
-        root = {p: p for p in np.unique(np.concatenate([a, b]))}
-
-        def find(p):
-            while root[p] != p:
-                root[p] = root[root[p]]
-                p = root[p]
-            return p
-
-        kept = []
-        for k in np.argsort(w, kind="stable"):
-            x, y = find(a[k]), find(b[k])
-            if x != y:
-                root[x] = y
-                kept.append(k)
-        return pd.DataFrame({"a": a[kept], "b": b[kept], "w": w[kept]})
-
-    known = blocks.join(cores.where(F.col("core") <= radius), "point")
-    return known.groupBy("task").applyInPandas(forest, "a long, b long, w double")
+def _numbers(packed: bytes, kind: str = "<i8") -> np.ndarray:
+    return np.frombuffer(packed, kind)
+
+
+def _reached(d: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+    """Per row the distance within which others weigh ``k`` together; infinite where they don't."""
+    order = np.argpartition(d, min(k, d.shape[1] - 1), axis=1)[:, :k] if d.shape[1] > k else np.tile(np.arange(d.shape[1]), (len(d), 1))
+    near = np.take_along_axis(d, order, axis=1)
+    by_distance = np.argsort(near, axis=1, kind="stable")
+    near, order = np.take_along_axis(near, by_distance, axis=1), np.take_along_axis(order, by_distance, axis=1)
+    enough = np.cumsum(weights[order], axis=1) >= k
+    return np.where(enough.any(axis=1), near[np.arange(len(d)), enough.argmax(axis=1)], np.inf)
+
+
+def reach_bounds(index: Index, min_samples: int) -> DataFrame:
+    """(block, reach, most, sure): for each point a distance within which it surely has its
+    ``min_samples``-th neighbour, from its own block and the sampled centres; the largest of
+    a block."""
+    sent = index.blocks.sparkSession.sparkContext.broadcast((index.centres, index.centre_weights, np.array(index.centre_points)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, weights, names = sent.value
+        for batch in batches:
+            for block, points, own, vectors in zip(*(batch.column(c).to_pylist() for c in ("block", "points", "weights", "vectors"))):
+                points, own = _numbers(points), _numbers(own)
+                x = unpack(vectors, len(points))
+                to_own, to_centres = distances(x, x), distances(x, centres)
+                to_own[np.arange(len(x)), np.arange(len(x))] = 0.0
+                to_centres[points[:, None] == names[None, :]] = np.inf  # the point itself is counted apart
+                found = np.minimum(_reached(to_own, own, min_samples), _reached(
+                    np.column_stack([np.zeros(len(x)), to_centres]), np.concatenate([[0], weights]), min_samples))
+                found = np.where(own >= min_samples, 0.0, found)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([found.tobytes()], pa.binary()), pa.array([float(found.max())])],
+                                                 ["block", "reach", "most"])
+
+    return materialize(index.blocks.select("block", "points", "weights", "vectors").mapInArrow(run, "block long, reach binary, most double"))
+
+
+def nearest_distances(index: Index, min_samples: int, radius: float | None = None) -> DataFrame:
+    """(id, core): distance to the ``min_samples``-th neighbour, the point itself and
+    its copies counted; null when fewer lie within the radius. Without a radius every point
+    is looked at as far as its bound reaches."""
+    spark = index.blocks.sparkSession
+    if radius is None:
+        bounds = reach_bounds(index, min_samples)
+        most = np.zeros(index.n_blocks)
+        for r in bounds.select("block", "most").collect():
+            most[r.block] = r.most
+        known = spark.sparkContext.broadcast(most)
+        pairs = block_pairs(index, lambda a, b, least: least <= np.maximum(known.value[a], known.value[b]))
+        met = meeting(index, pairs, bounds.select("block", "reach"))
+    else:
+        met = meeting(index, block_pairs(index, lambda a, b, least: least <= radius))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one, other = batch.column("left")[i].as_py(), batch.column("right")[i].as_py()
+                same = batch.column("a")[i].as_py() == batch.column("b")[i].as_py()
+                sides = [(_numbers(s["ids"]), _numbers(s["weights"]), s) for s in (one, other)]
+                d = distances(*(unpack(s["vectors"], len(ids)) for ids, _, s in sides))
+                if same:
+                    np.fill_diagonal(d, np.inf)
+                for dist, (ids, _, s), (_, weights, _) in ((d, sides[0], sides[1]), (d.T, sides[1], sides[0])):
+                    limit = np.full(len(ids), radius) if radius is not None else _numbers(s["reach"], "<f8")
+                    k = min(min_samples, dist.shape[1])
+                    order = np.argpartition(dist, k - 1, axis=1)[:, :k]
+                    top = np.take_along_axis(dist, order, axis=1)
+                    rows, cols = np.nonzero((top <= limit[:, None] * (1 + 1e-12)) & np.isfinite(top))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(top[rows, cols]), pa.array(weights[order[rows, cols]])], ["id", "d", "w"])
+                    if same:
+                        break
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, weights in zip(batch.column("ids").to_pylist(), batch.column("weights").to_pylist()):
+                ids, weights = _numbers(ids), _numbers(weights)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.zeros(len(ids))), pa.array(weights)], ["id", "d", "w"])
+
+    kind = "id long, d double, w long"
+    found = met.mapInArrow(near, kind).unionByName(index.blocks.select("ids", "weights").mapInArrow(own, kind))
+    by_d = W.partitionBy("id").orderBy("d").rowsBetween(W.unboundedPreceding, 0)
+    ranked = found.withColumn("seen", F.sum("w").over(by_d))
+    return ranked.groupBy("id").agg(F.min(F.when(F.col("seen") >= min_samples, F.col("d"))).alias("core"))
+
+
+def packed_cores(index: Index, cores: DataFrame) -> DataFrame:
+    """(block, cores, least, most): the cores of a block's points in its order, null as infinite."""
+    place = F.col("id").bitwiseAND(F.lit((1 << 32) - 1))
+    listed = cores.groupBy(F.shiftright("id", 32).alias("block")).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct(place.alias("at"), F.coalesce("core", F.lit(float("inf"))).alias("core")))), lambda s: s["core"]).alias("cores"))
+    return materialize(listed.withColumns({"least": F.array_min("cores"), "most": F.array_max("cores")}))
+
+
+def _spanning(reach: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimum spanning forest between the rows and columns of finite distances (of one
+    set with itself, if ``same``), by Prim's rule with a vector step per point."""
+    n, m = reach.shape
+    full = reach if same else np.block([[np.full((n, n), np.inf), reach], [reach.T, np.full((m, m), np.inf)]])
+    size = len(full)
+    best, via, out = np.full(size, np.inf), np.zeros(size, int), np.ones(size, bool)
+    a, b, w = [], [], []
+    at = 0
+    for _ in range(size - 1):
+        out[at] = False
+        best[at] = np.inf
+        nearer = out & (full[at] < best)
+        best[nearer], via[nearer] = full[at][nearer], at
+        at = int(best.argmin())
+        if best[at] == np.inf:  # a new tree
+            at = int(out.argmax())
+            continue
+        a.append(via[at])
+        b.append(at)
+        w.append(best[at])
+    a, b = np.array(a, int), np.array(b, int)
+    return (a, b, np.array(w)) if same else (np.minimum(a, b), np.maximum(a, b) - n, np.array(w))
+
+
+def spanning_edges(index: Index, cores: DataFrame, pairs: DataFrame, radius: float | None = None) -> DataFrame:
+    """(a, size_a, b, size_b, w): minimum spanning forests of the mutual reachability of the
+    paired blocks' core points, up to the radius. A task keeps one forest of all its pairs."""
+    met = meeting(index, pairs, cores.select("block", "cores"))
+    limit = np.inf if radius is None else radius
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def thinned() -> tuple:
+            a, size_a, b, size_b, w = (np.concatenate(x) for x in zip(*held))
+            kept = merge_tree.forest(a, b, np.lexsort((b, a, w)))
+            return a[kept], size_a[kept], b[kept], size_b[kept], w[kept]
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one, other = batch.column("left")[i].as_py(), batch.column("right")[i].as_py()
+                same = batch.column("a")[i].as_py() == batch.column("b")[i].as_py()
+                sides = []
+                for s in (one, other):
+                    ids, own = _numbers(s["ids"]), np.array(s["cores"], float)
+                    core = own <= (limit if np.isfinite(limit) else np.finfo(float).max)
+                    sides.append((ids[core], _numbers(s["weights"])[core], own[core], unpack(s["vectors"], len(ids))[core]))
+                (ids, size, core, x), (ids_b, size_b, core_b, y) = sides
+                if not len(ids) or not len(ids_b):
+                    continue
+                reach = np.maximum(distances(x, y), np.maximum(core[:, None], core_b[None, :]))
+                reach[reach > limit] = np.inf
+                if same:
+                    np.fill_diagonal(reach, np.inf)
+                p, q, w = _spanning(reach, same)
+                held.append((ids[p], size[p], ids_b[q], size_b[q], w))
+                if sum(len(h[0]) for h in held) > HELD_EDGES:
+                    held[:] = [thinned()]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in thinned()], ["a", "size_a", "b", "size_b", "w"])
+
+    return materialize(met.mapInArrow(run, "a long, size_a long, b long, size_b long, w double"))
+
+
+def named_points(index: Index) -> DataFrame:
+    """(id, point, weight) of all points of the index."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in zip(*(batch.column(c).to_pylist() for c in ("ids", "points", "weights"))):
+                yield pa.RecordBatch.from_arrays([pa.array(_numbers(p)) for p in packed], ["id", "point", "weight"])
+
+    return index.blocks.select("ids", "points", "weights").mapInArrow(run, "id long, point long, weight long")
+
+
+def _at_radius(index: Index, radius: float, min_samples: int) -> tuple[DataFrame, DataFrame]:
+    """Cores and spanning edges of all points up to a radius, by point."""
+    cores = materialize(nearest_distances(index, min_samples, radius))
+    edges = spanning_edges(index, packed_cores(index, cores), block_pairs(index, lambda a, b, least: least <= radius), radius)
+    names = materialize(named_points(index))
+    own = names.select("id", "point")
+    edges = edges.join(own.toDF("a", "pa"), "a").join(own.toDF("b", "pb"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"), "w")
+    return materialize(cores.join(own, "id").select("point", "core")), materialize(edges)
 
 
 def flat_clusters(points: DataFrame, radius: float, min_samples: int = 8, min_cluster_size: int = 1,
@@ -169,10 +231,11 @@ def flat_clusters(points: DataFrame, radius: float, min_samples: int = 8, min_cl
     -1 for noise. Core points have ``min_samples`` points, themselves included, within
     the radius; clusters are their connected components."""
     groups, members = unique_points(points)
-    blocks = block_pairs(groups, radius, block_rows)
-    cores = materialize(nearest_distances(groups, blocks, radius, min_samples))
-    edges = spanning_edges(blocks, cores, radius).select("a", "b")
-    linked = connected_components(edges)
+    index = metric_index.build(groups, block_rows)
+    if index is None:
+        return members.select("row_id", F.lit(NOISE_CLUSTER).cast("long").alias("cluster"))
+    cores, edges = _at_radius(index, radius, min_samples)
+    linked = connected_components(edges.select("a", "b"))
     core_points = cores.where(F.col("core") <= radius).select("point")
     named = core_points.join(linked.withColumnRenamed("node", "point"), "point", "left").select(
         "point", F.coalesce("component", "point").alias("component"))
@@ -188,9 +251,118 @@ def _label(members: DataFrame, named: DataFrame, min_cluster_size: int) -> DataF
         "row_id", F.coalesce("cluster", F.lit(NOISE_CLUSTER).cast("long")).alias("cluster"))
 
 
+# --- all heights ------------------------------------------------------------------------
+
+def spanning_tree(index: Index, min_samples: int) -> DataFrame:
+    """(a, size_a, b, size_b, w): edges that hold a minimum spanning tree of the mutual
+    reachability of all points.
+
+    Every point has a way to every other over its centre: the edge to it, then the minimum
+    spanning tree of the centres. Two blocks no nearer than the longest step on that way
+    can't add an edge, so only the others are compared."""
+    spark = index.blocks.sparkSession
+    found = materialize(nearest_distances(index, min_samples))
+    cores = packed_cores(index, found)
+    own = {r.point: r.core for r in named_points(index).join(F.broadcast(
+        spark.createDataFrame([(int(p),) for p in index.centre_points], "point long")), "point").join(found, "id").select("point", "core").collect()}
+    core = np.array([own[p] if own[p] is not None else np.inf for p in index.centre_points])
+    steps = np.maximum(distances(index.centres, index.centres), np.maximum(core[:, None], core[None, :]))
+    worst = np.zeros_like(steps)  # the longest step between two centres
+    reached = [0]
+    np.fill_diagonal(steps, np.inf)
+    for a, b, w in zip(*_spanning(steps, True)):
+        worst[b, reached] = worst[reached, b] = np.maximum(worst[a, reached], w)
+        reached.append(int(b))
+    np.fill_diagonal(steps, core)
+    known = {r.block: r for r in cores.select("block", "least", "most").collect()}
+    least_core = np.array([known[b].least if b in known else np.inf for b in range(index.n_blocks)])
+    most_core = np.array([known[b].most if b in known else 0.0 for b in range(index.n_blocks)])
+    centre = index.summary.centre
+    to_centre = np.maximum(np.maximum(index.summary.radius, most_core), core[centre])
+    sent = spark.sparkContext.broadcast((worst, centre, to_centre * (1 + 1e-9), least_core))
+
+    def needed(a: int, b: np.ndarray, least: np.ndarray) -> np.ndarray:
+        worst, centre, to_centre, cores = sent.value
+        way = np.maximum(np.maximum(to_centre[a], to_centre[b]), worst[centre[a]][centre[b]])
+        return (np.maximum(least, np.maximum(cores[a], cores[b])) <= way) | (b == a)
+
+    compared = spanning_edges(index, cores, block_pairs(index, needed))
+    return compared.unionByName(_ways(index, cores, core, worst))
+
+
+def _ways(index: Index, cores: DataFrame, centre_cores: np.ndarray, worst: np.ndarray) -> DataFrame:
+    """The edges that the ways over centres take: each point to the centre of its block, and
+    the minimum spanning tree of the centres."""
+    spark = index.blocks.sparkSession
+    ids = {r.point: (r.id, r.weight) for r in named_points(index).join(F.broadcast(
+        spark.createDataFrame([(int(p),) for p in index.centre_points], "point long")), "point").collect()}
+    centre_ids = np.array([ids[p][0] for p in index.centre_points])
+    centre_sizes = np.array([ids[p][1] for p in index.centre_points])
+    sent = spark.sparkContext.broadcast((index.centres, centre_ids, centre_sizes, centre_cores, index.summary.centre))
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, names, sizes, own_cores, centre = sent.value
+        for batch in batches:
+            for block, ids, weights, vectors, cores in zip(*(batch.column(c).to_pylist() for c in ("block", "ids", "weights", "vectors", "cores"))):
+                ids, weights, c = _numbers(ids), _numbers(weights), centre[block]
+                x = unpack(vectors, len(ids))
+                w = np.maximum(np.maximum(distances(x, centres[c:c + 1])[:, 0], own_cores[c]), np.array(cores, float))
+                some = (ids != names[c]) & np.isfinite(w)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(weights[some]), pa.array(np.full(some.sum(), names[c])),
+                                                  pa.array(np.full(some.sum(), sizes[c])), pa.array(w[some])], ["a", "size_a", "b", "size_b", "w"])
+
+    kind = "a long, size_a long, b long, size_b long, w double"
+    out = index.blocks.join(cores.select("block", "cores"), "block").mapInArrow(links, kind)
+    steps = np.maximum(distances(index.centres, index.centres), np.maximum(centre_cores[:, None], centre_cores[None, :]))
+    np.fill_diagonal(steps, np.inf)
+    tree = [(int(centre_ids[a]), int(centre_sizes[a]), int(centre_ids[b]), int(centre_sizes[b]), float(w)) for a, b, w in zip(*_spanning(steps, True))]
+    return out.unionByName(spark.createDataFrame(tree, kind))
+
+
+def merge_levels(points: DataFrame, min_samples: int = 8, block_rows: int = BLOCK_ROWS, task_edges: int = merge_tree.TASK_EDGES) -> DataFrame:
+    """(height, smaller, larger): every merge of two groups of rows in the hierarchy, at all
+    heights; copies of a vector are one from the start. No rows for less than two vectors, or
+    less than ``min_samples`` rows."""
+    index = metric_index.build(unique_points(points)[0], block_rows)
+    if index is None:
+        return points.sparkSession.createDataFrame([], "height double, smaller long, larger long")
+    return merge_tree.merge_heights(spanning_tree(index, min_samples), task_edges)
+
+
+def hierarchical_clusters(points: DataFrame, min_samples: int = 8, min_cluster_size: int = 35, block_rows: int = BLOCK_ROWS,
+                          task_edges: int = merge_tree.TASK_EDGES) -> DataFrame:
+    """Variable-density clusters from the merges at every height: (row_id, cluster), a
+    cluster named by its smallest row_id, -1 for noise.
+
+    Groups that reach ``min_cluster_size`` form a tree, and the most stable ones that don't
+    overlap are chosen (excess of mass, the root excluded). Less than ``min_samples`` rows,
+    or a tree that never splits, are all noise. Ties between merges go by place in the index."""
+    groups, members = unique_points(points)
+    index = metric_index.build(groups, block_rows)
+    if index is None:
+        return members.select("row_id", F.lit(NOISE_CLUSTER).cast("long").alias("cluster"))
+    found, clusters = merge_tree.condensed_tree(spanning_tree(index, min_samples), min_cluster_size, task_edges)
+    names = materialize(named_points(index))
+    # Copies alone may be a cluster from the start.
+    found = materialize(found.join(names, F.col("node") == F.col("id")).select(
+        "point", "weight", "cluster", F.when(F.col("weight") >= min_cluster_size, F.lit(0.0)).otherwise(F.col("t")).alias("t")))
+    picks = merge_tree.chosen_clusters(merge_tree.stabilities(found, clusters))
+    named = found.where("t IS NOT NULL").join(picks.where("pick IS NOT NULL"), "cluster").select("point", F.col("pick").alias("component"))
+    return _by_smallest_row(members.join(named, "point", "left"))
+
+
+def _by_smallest_row(placed: DataFrame) -> DataFrame:
+    names = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("row_id").alias("cluster"))
+    return placed.join(names, "component", "left").select(
+        "row_id", F.coalesce("cluster", F.lit(NOISE_CLUSTER).cast("long")).alias("cluster"))
+
+
+# --- a grid of radii ----------------------------------------------------------------------
+
 def density_clusters(points: DataFrame, radii: list[float], min_samples: int = 8,
                      min_cluster_size: int = 35, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Variable-density clusters: (row_id, cluster), numbered 0.. by smallest row, -1 noise.
+    """Variable-density clusters from a grid of radii: (row_id, cluster), a cluster named by
+    its smallest row_id, -1 for noise.
 
     The levels of the hierarchy are the given radii. Components that reach
     ``min_cluster_size`` form a tree; the most stable non-overlapping ones are chosen
@@ -198,9 +370,10 @@ def density_clusters(points: DataFrame, radii: list[float], min_samples: int = 8
     nodes per level and is walked with joins, one level at a time."""
     levels = sorted({float(r) for r in radii}, reverse=True)
     groups, members = unique_points(points)
-    blocks = block_pairs(groups, levels[0], block_rows)
-    cores = materialize(nearest_distances(groups, blocks, levels[0], min_samples))
-    edges = materialize(spanning_edges(blocks, cores, levels[0]))
+    index = metric_index.build(groups, block_rows)
+    if index is None:
+        return members.select("row_id", F.lit(NOISE_CLUSTER).cast("long").alias("cluster"))
+    cores, edges = _at_radius(index, levels[0], min_samples)
 
     # Component of every point at every level that is dense enough, from fine to coarse.
     at_level = []
