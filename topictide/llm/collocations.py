@@ -26,9 +26,9 @@ from topictide.runtime import materialize
 BREAK = b"\xff"
 PIECES = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 255 if chr(b) in ".,;:!?\n\v\f\r" else b for b in range(256))
 SLICE_BYTES = 4 << 20  # of a text that are split into words at once
-BLOCK_WORDS = 2_000_000
-BLOCK_VOCABULARY = 200_000
-HELD_WORDS = 6_000_000  # in the unfinished blocks of a task
+BLOCK_WORDS = 1_000_000
+BLOCK_VOCABULARY = 150_000
+HELD_WORDS = 3_000_000  # in the unfinished blocks of a task
 TILE = 256  # ranks on a side
 DENSE_HITS = TILE * TILE // 16  # from so many hits on a tile is counted by direct addressing
 DENSE_TILES = 64  # counted at once
