@@ -25,10 +25,10 @@ from topictide.runtime import materialize
 # Lower-cased words of all bytes but blanks; what ends a piece becomes a byte that UTF-8 has not.
 BREAK = b"\xff"
 PIECES = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 255 if chr(b) in ".,;:!?\n\v\f\r" else b for b in range(256))
-SLICE_BYTES = 4 << 20  # of a text that are split into words at once
-BLOCK_WORDS = 1_000_000
-BLOCK_VOCABULARY = 150_000
-HELD_WORDS = 3_000_000  # in the unfinished blocks of a task
+SLICE_BYTES = 2 << 20  # of a text that are split into words at once
+BLOCK_WORDS = 500_000
+BLOCK_VOCABULARY = 80_000
+HELD_WORDS = 1_500_000  # in the unfinished blocks of a task
 TILE = 256  # ranks on a side
 DENSE_HITS = TILE * TILE // 16  # from so many hits on a tile is counted by direct addressing
 DENSE_TILES = 64  # counted at once
@@ -144,14 +144,21 @@ def word_counts(rows: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             for lang, vocabulary, counts in zip(*(c.to_pylist() for c in batch.columns)):
                 words, n = vocabulary.split(b" ") if vocabulary else [], unpacked(counts, "<u4")
-                for i in range(0, len(words), 50_000):
-                    own = words[i:i + 50_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(own), pa.string()), pa.array([w.decode("utf-8", "replace") for w in own], pa.string()),
-                         pa.array(word_keys(own).astype(np.int64)), pa.array(n[i:i + len(own)].astype(np.int64))], ["lang", "word", "key", "n"])
+                for i in range(0, len(words), 20_000):
+                    own = words[i:i + 20_000]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([lang] * len(own), pa.string()), pa.array(own, pa.binary()), pa.array(n[i:i + len(own)].astype(np.int64))], ["lang", "word", "n"])
 
-    counted = rows.select("lang", "vocabulary", "counts").mapInArrow(run, "lang string, word string, key long, n long")
-    return counted.groupBy("lang", "key").agg(F.first("word").alias("word"), F.sum("n").alias("n")).where(F.col("n") >= least)
+    def keyed(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            words = batch.column("word").to_pylist()
+            yield pa.RecordBatch.from_arrays([
+                batch.column("lang"), pa.array(word_keys(words).astype(np.int64)),
+                pa.array([w.decode("utf-8", "replace") for w in words], pa.string()), batch.column("n")], ["lang", "key", "word", "n"])
+
+    counted = rows.select("lang", "vocabulary", "counts").mapInArrow(run, "lang string, word binary, n long")
+    return counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).mapInArrow(
+        keyed, "lang string, key long, word string, n long")
 
 
 # --- the frequent phrases of a level ---------------------------------------------------
