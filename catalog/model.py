@@ -10,6 +10,7 @@ from catalog.views import EVENT_THRESHOLDS, LEXICON, event_texts, r6, register,
 from topictide.operators import evaluation as V
 from topictide.operators import features as X
 from topictide.operators import themes as H
+from topictide.operators import trees as forests
 from topictide.operators.profiles import cluster_profiles
 from topictide.plans import forecast, training
 from topictide.runtime import materialize, scratch_path
@@ -339,7 +340,7 @@ def _verdicts(spark, sf):
     return V.overfit_verdict(gaps)
 
 
-# --- trained models: no SQL equivalent --------------------------------------------------
+# --- trained models: SQL checks what any right model must give ---------------------------
 
 SETTINGS = training.Settings()
 
@@ -359,6 +360,48 @@ register("M05_boosted_tree_probabilities")(_member("gradient_boosting", False))
 register("M06_calibrated_probabilities")(_member("logistic", True))
 
 
+# Every test row gets shares of the three classes, whatever the model says.
+@register("M09_probability_rows", with_(SPLIT, final="""
+SELECT cluster, time_window, target, model, true AS shares FROM split_frame, (SELECT unnest(['random_forest', 'gradient_boosting']) AS model)
+WHERE split = 'test'"""))
+def _probability_rows(spark, sf):
+    f = materialize(V.holdout_split(frame(spark, sf)))
+    train, test = f.where("split = 'train'"), f.where("split = 'test'")
+    fitted = training.in_parallel([lambda m=m: training.fit_member(train, FEATURES_OUT, m, SETTINGS) for m in ("random_forest", "gradient_boosting")],
+                                  SETTINGS, spark)
+    shares = (F.abs(F.col("p_down") + F.col("p_flat") + F.col("p_up") - 1) < 1e-9) & (F.least(*V.PROBS) >= 0)
+    return training.member_rows(fitted, test, SETTINGS).select("cluster", "time_window", "target", "model", shares.alias("shares"))
+
+
+# A binary tree of at most 80 leaves, each of at least 8 sampled rows.
+@register("M04_forest_leaves", "SELECT CAST(unnest(range(300)) AS INTEGER) AS tree, true AS limited, true AS binary")
+def _leaves(spark, sf):
+    member = training.fit_member(frame(spark, sf), FEATURES_OUT, "random_forest", SETTINGS, False)
+    inner, leaf = F.sum(F.col("feature").isNotNull().cast("int")), F.sum(F.col("feature").isNull().cast("int"))
+    return forests.table(member.model, spark).groupBy("tree").agg((leaf <= 80).alias("limited"), (leaf == inner + 1).alias("binary"))
+
+
+WALK = [*FEATS, ("walk", " UNION ALL ".join(f"""
+    SELECT {e}::DOUBLE AS epsilon, f.fold, t.* FROM (SELECT *, {target_sql(e)} AS target FROM feats WHERE next_volume_pct_change IS NOT NULL) t
+    JOIN folds f ON f.time_window = t.time_window AND f.role = 'test'""" for e in EPS))]
+_WALK_FOLDS = [("frame", f"SELECT *, {target_sql(0.05)} AS target FROM feats WHERE next_volume_pct_change IS NOT NULL"), *TIMES,
+               ("folds", folds_sql(5, "6 + fold * (step + 1)", "greatest(1, (n - 6) // 5)"))]
+_HEUR_AT = HEUR.replace("0.05", "epsilon")
+
+
+def walked(spark, sf):
+    return training.walk_forward_predictions(materialize(feats(spark, sf)), FEATURES_OUT, list(SETTINGS.epsilons), SETTINGS)
+
+
+# The heuristic's row can be recomputed; every model answers for the same rows.
+@register("M14_walk_forward_rows", with_(FEATS, _WALK_FOLDS, WALK[-1:], final=f"""
+SELECT epsilon, fold, model, count(*) AS n, sum(CAST(model = 'heuristic' AND target = {_HEUR_AT} AS BIGINT))::BIGINT AS heuristic_hits
+FROM walk, (SELECT unnest(['logistic', 'random_forest', 'gradient_boosting', 'soft_voting_ensemble', 'heuristic']) AS model) GROUP BY ALL"""))
+def _walk_rows(spark, sf):
+    hit = ((F.col("model") == "heuristic") & (F.col("target") == F.col("prediction"))).cast("long")
+    return walked(spark, sf).groupBy("epsilon", "fold", "model").agg(F.count(F.lit(1)).alias("n"), F.sum(hit).alias("heuristic_hits"))
+
+
 def bundle(spark, sf):
     return training.train_direction_model(nation_stats(spark, sf), None, SETTINGS)
 
@@ -384,7 +427,9 @@ def _saved(spark, sf):
 
 @register("E13_trained_forecast")
 def _trained(spark, sf):
-    stats = doc_stats(spark, sf)
+    stats = materialize(doc_stats(spark, sf))
+    wide = materialize(H.wide(activations(spark, sf), LEXICON))
+    model = training.train_direction_model(stats, wide, SETTINGS)
     return forecast.trained_forecast(
-        event_texts(spark, sf), LEXICON, cluster_profiles(stats), stats, bundle(spark, sf), theme_map(spark, sf),
+        event_texts(spark, sf), LEXICON, cluster_profiles(stats), stats, model, theme_map(spark, sf),
         per_theme=EVENT_THRESHOLDS).select("event_id", "predicted_direction", "method", "confidence", "risk_band", "model_name")

@@ -144,6 +144,16 @@ def _events(spark, sf):
     return T.detect_events(nation_stats(spark, sf))
 
 
+@register("T19_sample_posts", with_(NATION_STATS, keyed_sql("1M"), final="""
+SELECT cluster, time_window, event_type, CAST(position AS INTEGER) AS position, row_id, round(engagement + 1e-9, 6) + 0.0 AS engagement FROM (
+  SELECT k.cluster, k.time_window, CASE WHEN s.anomaly_score > 0 THEN 'spike' ELSE 'drop' END AS event_type, k.row_id,
+         coalesce(k.likes, 0) + coalesce(k.shares, 0) AS engagement,
+         row_number() OVER (PARTITION BY k.cluster, k.time_window ORDER BY coalesce(k.likes, 0) + coalesce(k.shares, 0) DESC, k.row_id) AS position
+  FROM keyed k JOIN stats s ON s.cluster = k.cluster AND s.time_window = k.time_window WHERE abs(s.anomaly_score) > 2.0) WHERE position <= 10"""))
+def _samples(spark, sf):
+    return T.sample_posts(T.detect_events(nation_stats(spark, sf)), posts_nation(spark, sf))
+
+
 _R4 = "round(coalesce(avg(CASE WHEN sentiment IS NULL THEN NULL WHEN lower(sentiment) = '{0}' THEN 1.0 ELSE 0.0 END), 0.0), 4) + 0.0 AS {0}"
 
 

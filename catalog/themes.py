@@ -21,8 +21,8 @@ LETTERS = r"length(regexp_replace({t}, '[^\p{{L}}]', '', 'g'))"
 
 def noise_sql(t: str) -> str:
     v, a = VOWELS.format(t=t), LETTERS.format(t=t)
-    return (f"({t} IN ('http', 'https', 'ftp', 'www') OR regexp_matches({t}, '^[0-9]+$') OR (length({t}) >= 8 AND ("
-            f"regexp_matches({t}, '^[0-9a-f]{{8,}}$') OR regexp_matches({t}, '^[0-9][a-z0-9]{{7,}}$') OR "
+    return (f"({t} IN ('http', 'https', 'ftp', 'www') OR regexp_matches({t}, '^\\p{{Nd}}+$') OR (length({t}) >= 8 AND ("
+            f"regexp_matches({t}, '^[0-9a-f]{{8,}}$') OR regexp_matches({t}, '^\\p{{Nd}}[a-z0-9]{{7,}}$') OR "
             rf"(regexp_matches({t}, '\p{{Nd}}') AND regexp_matches({t}, '\p{{L}}')) OR "
             f"coalesce(CAST({v} AS DOUBLE) / nullif({a}, 0) < 0.30, false))))")
 
@@ -276,7 +276,7 @@ def _explain(spark, sf):
 @register("H13_activation_explain_json", with_(SCORES, [("explained", EXPLAINED)], final=f"""
 SELECT '{{' || string_agg('"theme_' || theme_id || '":' || CAST(to_json({{'matched_terms': CASE WHEN matched_terms = '' THEN [] ELSE string_split(matched_terms, '|') END,
        'matched_feature_count': matched_feature_count, 'threshold': threshold}}) AS VARCHAR), ',' ORDER BY 'theme_' || theme_id) || '}}' AS activation_explain,
-       '{H.REASONING}' AS activation_reasoning FROM explained"""))
+       '{H.REASONING.replace(chr(39), chr(39) * 2)}' AS activation_reasoning FROM explained"""))
 def _explain_json(spark, sf):
     return H.explain_json(H.explain(tfidf(spark, sf), LEXICON, PER_THEME))
 

@@ -63,11 +63,11 @@ def is_noise_token(t: Column) -> Column:
     letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
     long_noise = (
         t.rlike("^[0-9a-f]{8,}$")
-        | t.rlike("^[0-9][a-z0-9]{7,}$")
+        | t.rlike(r"^\p{Nd}[a-z0-9]{7,}$")
         | (t.rlike(r"\p{Nd}") & t.rlike(r"\p{L}"))
         | F.coalesce(vowels / F.when(letters > 0, letters) < F.lit(MIN_VOWEL_SHARE), F.lit(False))
     )
-    return t.isin(URL_SCHEMES) | t.rlike("^[0-9]+$") | ((F.length(t) >= LONG_TOKEN) & long_noise)
+    return t.isin(URL_SCHEMES) | t.rlike(r"^\p{Nd}+$") | ((F.length(t) >= LONG_TOKEN) & long_noise)
 
 
 def strip_noise_tokens(text: Column) -> Column:

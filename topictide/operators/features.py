@@ -10,6 +10,7 @@ from topictide.functions.numbers import direction, entropy, finite_or, top_two
 from topictide.schemas import require_columns
 
 KEYS = ["cluster", "time_window"]
+# The names of the model's features, in its order.
 LAGGED = ["volume_pct_change", "volume_lead"]
 BASE_FEATURES = [
     "volume_lead", "volume_volatility", "market_share", "anomaly_score",

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from topictide.functions.numbers import relative_change
+from topictide.functions.numbers import relative_change, total
 from topictide.functions.windows import QUARTER, window_label, window_name, windows_until
 from topictide.runtime import bounded_broadcast
 from topictide.schemas import NOISE_CLUSTER, SNAPSHOT_COLUMNS, require_columns
@@ -180,6 +180,24 @@ def detect_events(stats: DataFrame, spike_threshold: float = SPIKE_THRESHOLD) ->
         "event_type", F.when(F.col("anomaly_score") > 0, "spike").otherwise("drop"))
 
 
+def sample_posts(events: DataFrame, posts: DataFrame, freq: str = "1M", per_event: int = 10, parts: int = 64) -> DataFrame:
+    """The most engaging posts of each event, ``per_event`` at most: (cluster, time_window,
+    event_type, position, row_id, engagement). Ties go by row_id.
+
+    Posts outside the events' windows leave first. The rest is ranked in ``parts`` of a
+    (cluster, window) by row, where a limit per part applies before anything moves, then over
+    what the parts keep: no task sees all posts of a hot topic."""
+    keys = ["cluster", "time_window"]
+    keyed = with_window(valid_timestamps(require_columns(posts, "row_id", "cluster")), freq)
+    value = total([F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("likes", "shares", "comments") if c in posts.columns] or [F.lit(0.0)])
+    rows = keyed.join(events.select(*keys, "event_type"), keys).select(
+        *keys, "event_type", "row_id", value.alias("engagement"), F.pmod(F.xxhash64("row_id"), F.lit(parts)).alias("_part"))
+    best = [F.desc("engagement"), F.asc("row_id")]
+    first = rows.withColumn("_place", F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*best))).where(F.col("_place") <= per_event)
+    return first.withColumn("position", F.row_number().over(W.partitionBy(*keys).orderBy(*best))).where(
+        F.col("position") <= per_event).drop("_part", "_place")
+
+
 def sentiment_distribution(posts: DataFrame, freq: str = "1M", sentiment_col: str = "sentiment") -> DataFrame:
     """Shares of positive / neutral / negative among rows that carry a sentiment."""
     keyed = with_window(valid_timestamps(posts), freq)

@@ -22,7 +22,7 @@ DOC = ["cluster", "time_window"]
 CHUNK_ROWS = 1_000_000
 PART_ROWS = 10_000
 GLOBAL_THRESHOLD = 0.03
-REASONING = "TF-IDF weighted lexicon matching with stopword filtering and configurable thresholds."
+REASONING = "Share of the theme's terms in the weighted terms of the topic's posts; active from the theme's threshold on."
 
 
 def windowed_posts(posts: DataFrame, freq: str = "1M") -> DataFrame:
@@ -70,7 +70,7 @@ def window_targets(posts: DataFrame, freq: str = "1M") -> DataFrame:
 def resolve_targets(mode: str, stats: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
     """Rows to score: all windows, or only the windows with an event."""
     if mode not in ("windows", "events"):
-        raise ValueError(f"Unsupported mode: {mode}")
+        raise ValueError(f"Targets come from windows or events, not from {mode!r}")
     chosen = stats if mode == "windows" else events
     return require_columns(chosen, *DOC).where(F.col("time_window").isNotNull())
 

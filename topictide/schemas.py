@@ -44,7 +44,7 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     """Fail before any job starts when a required column is absent."""
     missing = [n for n in names if n not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"The table lacks {', '.join(missing)}")
     return df
 
 
