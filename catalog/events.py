@@ -11,6 +11,7 @@ from catalog.views import (
 from topictide.functions.text import EVENT_STOP_WORDS
 from topictide.operators import events as E
 from topictide.operators.profiles import cluster_profiles
+from topictide.runtime import materialize
 
 # --- profiles ---------------------------------------------------------------------
 
@@ -147,9 +148,10 @@ def activated_sql(mapped: bool) -> list:
     ]
 
 
-def activated(spark, sf, mapped: bool = True):
-    return E.activated_themes(event_scores(spark, sf), cluster_profiles(doc_stats(spark, sf)), LEXICON,
-                              theme_map(spark, sf) if mapped else None, per_theme=EVENT_THRESHOLDS)
+def activated(spark, sf, mapped: bool = True, stats=None):
+    stats = materialize(doc_stats(spark, sf)) if stats is None else stats
+    return E.activated_themes(event_scores(spark, sf), cluster_profiles(stats), LEXICON,
+                              theme_map(spark, sf, stats) if mapped else None, per_theme=EVENT_THRESHOLDS)
 
 
 ACTIVE_OUT = "event_id, theme_id, theme_name, CAST(mapped_cluster_id AS INTEGER) AS mapped_cluster_id, direction_label, " + r6("score", "threshold", "direction_score")
@@ -168,8 +170,8 @@ def _weights(spark, sf):
 
 
 def estimates(spark, sf):
-    stats = doc_stats(spark, sf)
-    est = E.estimate_direction(event_texts(spark, sf), activated(spark, sf), cluster_profiles(stats))
+    stats = materialize(doc_stats(spark, sf))
+    est = E.estimate_direction(event_texts(spark, sf), activated(spark, sf, stats=stats), cluster_profiles(stats))
     return est.withColumn("activated_themes", F.array_join(F.transform("activated_themes", lambda t: t["theme_id"].cast("string")), ","))
 
 
@@ -230,8 +232,8 @@ SELECT f.event_id, predicted_direction, predicted_direction AS heuristic_predict
 CASE WHEN predicted_volatility <= low_q THEN 'low' WHEN predicted_volatility >= high_q THEN 'high' ELSE 'medium' END AS risk_band,
 ts.best_theme FROM forecast f CROSS JOIN risk JOIN (SELECT event_id AS eid, CAST(arg_max(theme_id, score * 1000 - theme_id / 1000.0) AS INTEGER) AS best_theme FROM event_scores GROUP BY 1) ts ON ts.eid = f.event_id"""))
 def _forecast(spark, sf):
-    stats = doc_stats(spark, sf)
-    out = E.heuristic_forecast(event_texts(spark, sf), LEXICON, cluster_profiles(stats), stats, theme_map(spark, sf), per_theme=EVENT_THRESHOLDS)
+    stats = materialize(doc_stats(spark, sf))  # read by profiles, risk bands, targets and labels
+    out = E.heuristic_forecast(event_texts(spark, sf), LEXICON, cluster_profiles(stats), stats, theme_map(spark, sf, stats), per_theme=EVENT_THRESHOLDS)
     best = F.array_max(F.transform(F.map_entries("theme_scores"), lambda e: F.struct(
         (e["value"] * 1000 - e["key"].cast("int") / F.lit(1000.0)).alias("s"), e["key"].cast("int").alias("k"))))
     return out.select("event_id", "predicted_direction", "heuristic_predicted_direction", "activated_theme_count", "method",

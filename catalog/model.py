@@ -428,8 +428,8 @@ def _saved(spark, sf):
 @register("E13_trained_forecast")
 def _trained(spark, sf):
     stats = materialize(doc_stats(spark, sf))
-    wide = materialize(H.wide(activations(spark, sf), LEXICON))
+    wide = materialize(H.wide(activations(spark, sf, stats), LEXICON))
     model = training.train_direction_model(stats, wide, SETTINGS)
     return forecast.trained_forecast(
-        event_texts(spark, sf), LEXICON, cluster_profiles(stats), stats, model, theme_map(spark, sf),
+        event_texts(spark, sf), LEXICON, cluster_profiles(stats), stats, model, theme_map(spark, sf, stats),
         per_theme=EVENT_THRESHOLDS).select("event_id", "predicted_direction", "method", "confidence", "risk_band", "model_name")

@@ -18,6 +18,7 @@ from topictide.operators import temporal as T
 from topictide.operators import themes as H
 from topictide.operators.profiles import cluster_profiles
 from topictide.plans import reports as R
+from topictide.runtime import materialize
 
 
 def best_sql(stats: str = "stats") -> list:
@@ -43,7 +44,8 @@ SELECT 'cluster-' || l.cluster AS id, l.cluster, cluster_label, coalesce(theme_n
 upper(lifecycle_state[1:1]) || lifecycle_state[2:] AS lifecycle, time_window AS latest_window
 FROM latest l LEFT JOIN theme_names n ON n.cluster = l.cluster"""))
 def _table(spark, sf):
-    return R.cluster_table(T.snapshots(doc_stats(spark, sf)), H.cluster_theme_names(theme_map(spark, sf)))
+    stats = materialize(doc_stats(spark, sf))
+    return R.cluster_table(T.snapshots(stats), H.cluster_theme_names(theme_map(spark, sf, stats)))
 
 
 SERIES = f"'cluster-' || cluster AS cluster_id, cluster_label, time_window, post_count, {r6('market_share * 100 AS market_share', 'volume_lead', 'volume_volatility AS volatility')}"
@@ -90,7 +92,8 @@ TRENDS = [*MAPPED, ("trends", """SELECT a.event_id, s.cluster, s.cluster_label,
 
 
 def trends(spark, sf):
-    return R.cluster_trends(activated(spark, sf), T.snapshots(doc_stats(spark, sf)))
+    stats = materialize(doc_stats(spark, sf))
+    return R.cluster_trends(activated(spark, sf, stats=stats), T.snapshots(stats))
 
 
 @register("Q09_event_trends", with_(TRENDS, final=f"""
@@ -156,8 +159,8 @@ format('{:.4f}', predicted_volatility) AS predicted_volatility,
 CASE WHEN predicted_volatility <= low_q THEN 'low' WHEN predicted_volatility >= high_q THEN 'high' ELSE 'medium' END AS risk_band,
 'heuristic' AS method, activated_theme_count AS activated_themes FROM forecast f JOIN event_texts e ON e.event_id = f.event_id CROSS JOIN risk"""))
 def _export(spark, sf):
-    stats = doc_stats(spark, sf)
-    out = E.heuristic_forecast(event_texts(spark, sf), LEXICON, cluster_profiles(stats), stats, theme_map(spark, sf), per_theme=EVENT_THRESHOLDS)
+    stats = materialize(doc_stats(spark, sf))
+    out = E.heuristic_forecast(event_texts(spark, sf), LEXICON, cluster_profiles(stats), stats, theme_map(spark, sf, stats), per_theme=EVENT_THRESHOLDS)
     return R.scenario_export(out).withColumn("event_text", F.md5("event_text"))
 
 

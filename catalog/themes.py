@@ -12,6 +12,7 @@ from topictide.functions import text as X
 from topictide.operators import labels as L
 from topictide.operators import temporal as T
 from topictide.operators import themes as H
+from topictide.runtime import materialize
 
 # --- labels -----------------------------------------------------------------------
 
@@ -140,11 +141,14 @@ def _term_docs(spark, sf):
         "theme_id", "term", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
-@register("H04_topic_documents", with_(DOCS, keyed_sql("1M"), final="""
-SELECT cluster, time_window, row_id // 300 AS part, md5(string_agg(coalesce(text, ''), ' ' ORDER BY row_id)) AS document_md5,
-       CAST(count(*) AS BIGINT) AS source_posts, any_value(cluster_label) AS cluster_label FROM keyed GROUP BY 1, 2, 3"""))
+PLACED = [("placed", "SELECT *, row_number() OVER (PARTITION BY cluster, time_window ORDER BY row_id) - 1 AS position FROM keyed")]
+
+
+@register("H04_topic_documents", with_(DOCS, keyed_sql("1M"), PLACED, final="""
+SELECT cluster, time_window, position // 3 AS part, md5(string_agg(coalesce(text, ''), ' ' ORDER BY row_id)) AS document_md5,
+       CAST(count(*) AS BIGINT) AS source_posts, any_value(cluster_label) AS cluster_label FROM placed GROUP BY 1, 2, 3"""))
 def _documents(spark, sf):
-    return H.documents(posts_docs(spark, sf), part_rows=300).select(
+    return H.documents(posts_docs(spark, sf), part_rows=3).select(
         "cluster", "time_window", "part", F.md5("document").alias("document_md5"), "source_posts", "cluster_label")
 
 
@@ -170,8 +174,8 @@ def _fallback(spark, sf):
     return H.window_targets(posts_docs(spark, sf))
 
 
-@register("H07_targets_with_documents", with_(DOC_STATS, TARGETS, [
-    ("docs", "SELECT cluster, time_window, row_id // 10000 AS part, string_agg(coalesce(text, ''), ' ' ORDER BY row_id) AS document, count(*) AS n FROM keyed GROUP BY 1, 2, 3")],
+@register("H07_targets_with_documents", with_(DOC_STATS, TARGETS, PLACED, [
+    ("docs", "SELECT cluster, time_window, position // 10000 AS part, string_agg(coalesce(text, ''), ' ' ORDER BY row_id) AS document, count(*) AS n FROM placed GROUP BY 1, 2, 3")],
     final=f"""SELECT t.cluster, t.time_window, t.cluster_label, coalesce(part, 0) AS part, md5(coalesce(document, '')) AS document_md5,
     md5(array_to_string({tokens_sql('document', X.DOCUMENT_STOP_WORDS)}, ' ')) AS normalized_md5,
     CAST(coalesce(n, 0) AS BIGINT) AS source_posts FROM targets t LEFT JOIN docs d ON t.cluster = d.cluster AND t.time_window = d.time_window"""))
@@ -217,8 +221,8 @@ SCORES = [
 ]
 
 
-def tfidf(spark, sf) -> H.Tfidf:
-    return H.Tfidf(posts_docs(spark, sf), doc_stats(spark, sf))
+def tfidf(spark, sf, stats=None) -> H.Tfidf:
+    return H.Tfidf(posts_docs(spark, sf), doc_stats(spark, sf) if stats is None else stats)
 
 
 @register("H09_vocabulary", with_(TFIDF, final=f"SELECT term, df, total, {r6('idf')} FROM vocabulary"))
@@ -231,17 +235,17 @@ def _tfidf(spark, sf):
     return tfidf(spark, sf).weights()
 
 
-def theme_scores(spark, sf):
-    return tfidf(spark, sf).theme_scores(LEXICON)
+def theme_scores(spark, sf, stats=None):
+    return tfidf(spark, sf, stats).theme_scores(LEXICON)
 
 
-def activations(spark, sf):
-    return H.activate(theme_scores(spark, sf), LEXICON, PER_THEME)
+def activations(spark, sf, stats=None):
+    return H.activate(theme_scores(spark, sf, stats), LEXICON, PER_THEME)
 
 
-def labelled_scores(spark, sf):
-    labels = doc_stats(spark, sf).select("cluster", "time_window", "cluster_label")
-    return theme_scores(spark, sf).join(labels, ["cluster", "time_window"])
+def labelled_scores(spark, sf, stats=None):
+    stats = materialize(doc_stats(spark, sf)) if stats is None else stats
+    return theme_scores(spark, sf, stats).join(stats.select("cluster", "time_window", "cluster_label"), ["cluster", "time_window"])
 
 
 @register("H10_theme_scores", with_(SCORES, final=f"SELECT cluster, time_window, theme_id, {r6('score')} FROM scores"))
@@ -299,8 +303,8 @@ THEME_MAP = [
 ]
 
 
-def theme_map(spark, sf):
-    return H.theme_cluster_map(labelled_scores(spark, sf), LEXICON)
+def theme_map(spark, sf, stats=None):
+    return H.theme_cluster_map(labelled_scores(spark, sf, stats), LEXICON)
 
 
 @register("H15_theme_topic_map", with_(THEME_MAP, final=f"""

@@ -6,13 +6,17 @@ is scored against all of them in place.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from topictide.functions.numbers import direction, entropy, number_or_zero, top_two
 from topictide.functions.text import EVENT_STOP_WORDS, content_tokens
+from topictide.operators.ranking import kth_smallest
 from topictide.operators.themes import thresholds_column
+from topictide.runtime import materialize
 from topictide.schemas import RELEVANCE_REPLY, require_columns
 from topictide.sources.lexicon import Lexicon
 
@@ -160,11 +164,23 @@ def heuristic_confidence(score: Column) -> Column:
 
 
 def risk_thresholds(stats: DataFrame, low: float = 0.33, high: float = 0.66) -> DataFrame:
-    """One row (low_q, high_q): exact linear quantiles of the window volatilities, both
-    from one aggregate."""
+    """One row (low_q, high_q): exact linear quantiles of the window volatilities; null
+    without windows. The values around them are found by histogram passes (``kth_smallest``),
+    so no task holds all values."""
+    spark = stats.sparkSession
     vol = number_or_zero(F.col("volume_volatility")) if "volume_volatility" in stats.columns else F.lit(0.0)
-    both = stats.select(vol.alias("v")).agg(F.percentile("v", F.array(F.lit(low), F.lit(high))).alias("q"))
-    return both.select(F.get("q", F.lit(0)).alias("low_q"), F.get("q", F.lit(1)).alias("high_q"))
+    values = materialize(stats.select(vol.alias("v")))
+    n, schema = values.count(), "low_q double, high_q double"
+    if not n:
+        return spark.createDataFrame([(None, None)], schema)
+    at = [q * (n - 1) for q in (low, high)]
+    places = sorted({int(f(p)) + 1 for p in at for f in (math.floor, math.ceil)})
+    # A copy of the values for each of at most four places.
+    copies = values.select(F.explode(F.array(*[F.lit(k) for k in places])).alias("k_"), "v", F.lit(0).alias("_tie"))
+    wanted = spark.createDataFrame([(k, k) for k in places], "k_ int, k int")
+    found = {r["k_"]: r["cutoff"] for r in kth_smallest(copies, "k_", "v", "_tie", wanted).collect()}
+    below, above = ([found[int(f(p)) + 1] for p in at] for f in (math.floor, math.ceil))
+    return spark.createDataFrame([tuple(float(a + (b - a) * (p - math.floor(p))) for a, b, p in zip(below, above, at))], schema)
 
 
 def risk_band(volatility: Column, low_q: Column, high_q: Column) -> Column:

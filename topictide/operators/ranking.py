@@ -54,3 +54,30 @@ def kth_smallest(df: DataFrame, key: str, value: str, tie: str, wanted: DataFram
     ordered = left.groupBy(key, value, tie, "k").agg(F.count(F.lit(1)).alias("_c")).withColumn("_run", F.sum("_c").over(upto))
     return ordered.where((F.col("_run") >= F.col("k")) & (F.col("_run") - F.col("_c") < F.col("k"))).select(
         key, F.col(value).alias("cutoff"), F.col(tie).alias("tie_cutoff"))
+
+
+def most_frequent(rows: DataFrame, count: str, name: str, most: int) -> DataFrame:
+    """The ``most`` rows with the highest counts, ties at the last count in order of name.
+
+    A histogram of exact counts tells the lowest count that still belongs to them, so only
+    rows of that count are ordered; the histogram has one row per distinct count, and those
+    are at most the square root of twice the sum of all counts."""
+    sizes = rows.groupBy(count).agg(F.count(F.lit(1)).alias("_c"))
+    upto = W.orderBy(F.desc("_from")).rowsBetween(W.unboundedPreceding, 0)
+    # Counts in classes of a sixteenth of an octave: few rows, whatever the table.
+    octave = F.floor(F.log2(F.col(count).cast("double")) * 16)
+    classes = sizes.groupBy(octave.alias("_from")).agg(F.sum("_c").alias("_n")).withColumn("_run", F.sum("_n").over(upto))
+    edge = classes.where(F.col("_run") - F.col("_n") < most).agg(F.min("_from").alias("_edge"), F.max("_run").alias("_all")).first()
+    if edge["_edge"] is None or edge["_all"] <= most:
+        return rows
+    # Within the last class the same by single counts, then by name among the last count.
+    inner = sizes.where(octave == edge["_edge"]).orderBy(F.desc(count)).collect()
+    above = rows.where(octave > edge["_edge"]).count()
+    last = None
+    for r in inner:
+        last = r[count]
+        if above + r["_c"] >= most:
+            break
+        above += r["_c"]
+    tied = rows.where(F.col(count) == last).orderBy(name).limit(most - above)
+    return rows.where(F.col(count) > last).unionByName(tied)

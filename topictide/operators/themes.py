@@ -13,13 +13,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from topictide.functions.text import DOCUMENT_STOP_WORDS, bigrams, content_tokens, normalized
+from topictide.operators.positions import in_ranges, positioned
+from topictide.operators.ranking import most_frequent
 from topictide.operators.temporal import valid_timestamps, with_window
 from topictide.runtime import bounded_broadcast, materialize
 from topictide.schemas import require_columns
 from topictide.sources.lexicon import Lexicon
 
 DOC = ["cluster", "time_window"]
-CHUNK_ROWS = 1_000_000
 PART_ROWS = 10_000
 GLOBAL_THRESHOLD = 0.03
 REASONING = "Share of the theme's terms in the weighted terms of the topic's posts; active from the theme's threshold on."
@@ -33,9 +34,9 @@ def windowed_posts(posts: DataFrame, freq: str = "1M") -> DataFrame:
 def documents(posts: DataFrame, freq: str = "1M", part_rows: int = PART_ROWS) -> DataFrame:
     """Post texts joined by spaces in row order, as numbered parts.
 
-    One part covers ``part_rows`` consecutive row ids, which bounds what one task
+    A part has ``part_rows`` posts, the last one the rest, which bounds what one task
     collects; a document is its parts in order, joined by a space."""
-    keyed = windowed_posts(posts, freq).withColumn("part", F.floor(F.col("row_id") / part_rows))
+    keyed = positioned(windowed_posts(posts, freq), DOC, "row_id").withColumn("part", F.floor(F.col("position") / part_rows))
     parts = keyed.groupBy(*DOC, "part").agg(
         F.sort_array(F.collect_list(F.struct("row_id", F.coalesce("text", F.lit("")).alias("t")))).alias("_posts"),
         F.count(F.lit(1)).alias("source_posts"))
@@ -90,7 +91,7 @@ def attach_documents(targets: DataFrame, posts: DataFrame, freq: str = "1M",
 
 
 def document_terms(posts: DataFrame, freq: str = "1M", ngrams: tuple[int, int] = (1, 2),
-                   stop_words=DOCUMENT_STOP_WORDS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                   stop_words=DOCUMENT_STOP_WORDS, chunk_rows: int | None = None) -> DataFrame:
     """(cluster, time_window, term, tf) of the 1- and 2-grams of each document."""
     if not (1 <= ngrams[0] <= ngrams[1] <= 2):
         raise ValueError("n-grams of one and two tokens are supported")
@@ -107,28 +108,27 @@ def document_terms(posts: DataFrame, freq: str = "1M", ngrams: tuple[int, int] =
     return terms.groupBy(*DOC, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _pairs_between_posts(tokens: DataFrame, chunk_rows: int) -> DataFrame:
-    """Last token of a post with the first token of the next non-empty post."""
-    ends = tokens.where(F.size("tokens") > 0).select(
-        *DOC, "row_id", F.floor(F.col("row_id") / chunk_rows).alias("_chunk"),
-        F.element_at("tokens", 1).alias("_first"), F.element_at("tokens", -1).alias("_last"))
+def _pairs_between_posts(tokens: DataFrame, chunk_rows: int | None) -> DataFrame:
+    """Last token of a post with the first token of the next non-empty post: within ranges
+    of posts, then from the last post of a range to the first one of the next."""
+    ends = in_ranges(tokens.where(F.size("tokens") > 0).select(
+        *DOC, "row_id", F.element_at("tokens", 1).alias("_first"), F.element_at("tokens", -1).alias("_last")), DOC, "row_id", chunk_rows)
     pair = F.concat(F.col("_before"), F.lit(" "), F.col("_first")).alias("term")
-    in_chunk = W.partitionBy(*DOC, "_chunk").orderBy("row_id")
-    within = ends.withColumn("_before", F.lag("_last").over(in_chunk))
-    borders = ends.groupBy(*DOC, "_chunk").agg(
-        F.min_by("_first", "row_id").alias("_first"), F.max_by("_last", "row_id").alias("_last"))
-    between = borders.withColumn("_before", F.lag("_last").over(W.partitionBy(*DOC).orderBy("_chunk")))
+    within = ends.withColumn("_before", F.lag("_last").over(W.partitionBy(*DOC, "_range").orderBy("_at")))
+    borders = ends.groupBy(*DOC, "_range").agg(F.min_by("_first", "_at").alias("_first"), F.max_by("_last", "_at").alias("_last"))
+    between = borders.withColumn("_before", F.lag("_last").over(W.partitionBy(*DOC).orderBy("_range")))
     return (within.where("_before IS NOT NULL").select(*DOC, pair)
             .unionByName(between.where("_before IS NOT NULL").select(*DOC, pair)))
 
 
 def vocabulary(terms: DataFrame, n_docs, min_df: int = 2, max_df: float = 0.9,
                max_features: int = 50_000) -> DataFrame:
-    """(term, df, total, idf) of the most frequent terms within the df limits."""
+    """(term, df, total, idf) of the most frequent terms within the df limits. Ties at the
+    last count go by term."""
     counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    kept = counts.withColumn("_n", n_docs).where(
-        (F.col("df") >= min_df) & (F.col("df") <= F.col("_n") * max_df))
-    return kept.orderBy(F.col("total").desc(), "term").limit(max_features).select(
+    kept = materialize(counts.withColumn("_n", n_docs).where(
+        (F.col("df") >= min_df) & (F.col("df") <= F.col("_n") * max_df)))
+    return most_frequent(kept, "total", "term", max_features).select(
         "term", "df", "total", (F.ln((F.col("_n") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from topictide.functions.numbers import finite_or
 from topictide.operators.temporal import without_noise
+from topictide.runtime import materialize
 
 MIN_CLUSTERS = 5
 
@@ -20,7 +21,7 @@ def best_window(snapshots: DataFrame, min_clusters: int = MIN_CLUSTERS) -> DataF
 
 
 def at_best_window(snapshots: DataFrame, min_clusters: int = MIN_CLUSTERS) -> DataFrame:
-    topics = without_noise(snapshots)
+    topics = materialize(without_noise(snapshots))  # read for the window and for its rows
     return topics.where(F.col("time_window") == best_window(topics, min_clusters).scalar())
 
 
