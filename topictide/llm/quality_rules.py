@@ -191,14 +191,17 @@ def base_failed() -> Column:
 def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality",
           rows_per_label: int = 10_000) -> list[Rule]:
     """Rules from about ``rows_per_label`` labelled rows of each label, chosen by a hash of
-    the id. Rows with a null id or label and rows that fail the base rules teach nothing;
-    without labels of both kinds there are no rules."""
+    the id. Rows with a null id or label and rows that fail the base rules teach nothing; a
+    label 1 outweighs other labels of the same id; without labels of both kinds there are
+    no rules."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
-    known = sample_by_label(known.where("_label is not null").dropDuplicates(["_id"]), "_id", "_label", rows_per_label)
+    known = known.where("_id is not null and _label is not null").groupBy("_id").agg(F.max("_label").alias("_label"))
+    known = sample_by_label(known, "_id", "_label", rows_per_label)
     rows = (stats.where(~base_failed()).join(known, F.col(id_col) == F.col("_id"))
             .select("_label", "_id", *[F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()]).collect())
     if not rows:
         return []
-    rows.sort(key=lambda r: r["_id"])  # the split into rows that grow and prune rules follows the order
+    # The split into rows that grow and prune rules follows the order.
+    rows.sort(key=lambda r: (r["_id"], r["_label"], [-2.0 if v is None else v for v in r[2:]]))
     data = np.array([[np.nan if v is None else v for v in (r[0], *r[2:])] for r in rows], float)
     return learn_rules(np.nan_to_num(data[:, 1:], nan=-1.0), data[:, 0] > 0, list(FEATURES))

@@ -150,8 +150,8 @@ def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 WINDOW_WORDS = 10
 
 
-def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return decontamination.search(decontamination.build_index(docs), benchmark, WINDOW_WORDS)
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    return decontamination.search(decontamination.build_index(docs, id_col), benchmark, WINDOW_WORDS)
 
 
 _OP7 = r"""
