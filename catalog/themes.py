@@ -12,6 +12,7 @@ from topictide.functions import text as X
 from topictide.operators import labels as L
 from topictide.operators import temporal as T
 from topictide.operators import themes as H
+from topictide.operators import topic_merge as M
 from topictide.runtime import materialize
 
 # --- labels -----------------------------------------------------------------------
@@ -60,6 +61,74 @@ def _labels(spark, sf):
     return L.cluster_labels(posts_docs(spark, sf))
 
 
+# Twelve topics, three of each language: those of a language say the same.
+CLASS_VOCABULARY = 400
+CLASS_POSTS = [("class_posts", "SELECT doc_id AS row_id, text, CAST(list_position(['de', 'en', 'es', 'fr'], lang) * 3 + doc_id % 3 AS INTEGER) AS cluster FROM documents")]
+
+
+def class_weights_sql(posts: str, name: str) -> list:
+    """CTEs that end in ``name``: unit vectors of the topics of ``posts``."""
+    return [
+        (f"{name}_tf", f"""SELECT cluster, term, count(*) AS tf FROM (SELECT cluster, unnest({tokens_sql('text', X.ENGLISH_STOP_WORDS, X.WORD_PATTERN)}) AS term
+            FROM {posts}) GROUP BY 1, 2"""),
+        (f"{name}_terms", f"SELECT term, sum(tf) AS total FROM {name}_tf GROUP BY 1 ORDER BY total DESC, term LIMIT {CLASS_VOCABULARY}"),
+        (f"{name}_words", f"SELECT cluster, sum(tf) AS words FROM {name}_tf JOIN {name}_terms USING (term) GROUP BY 1"),
+        (f"{name}_raw", f"""SELECT cluster, term, tf::DOUBLE / words * ln(1.0 + (SELECT avg(words) FROM {name}_words) / total) AS w
+            FROM {name}_tf JOIN {name}_terms USING (term) JOIN {name}_words USING (cluster)"""),
+        (name, f"SELECT cluster, term, w / sqrt(sum(w * w) OVER (PARTITION BY cluster)) AS weight FROM {name}_raw")]
+
+
+MERGED = [
+    *CLASS_POSTS, *class_weights_sql("class_posts", "cw"),
+    ("alike", "SELECT a.cluster AS a, b.cluster AS b FROM cw a JOIN cw b USING (term) GROUP BY 1, 2 HAVING sum(a.weight * b.weight) >= 0.85 OR a.cluster = b.cluster"),
+    ("reach(cluster, topic)", "/* RECURSIVE_STEP */ SELECT a, b FROM alike UNION SELECT r.cluster, alike.b FROM reach r JOIN alike ON alike.a = r.topic"),
+    ("merged", "SELECT cluster, min(topic) AS topic FROM reach GROUP BY 1"),
+    ("merged_posts", "SELECT p.row_id, p.text, m.topic AS cluster FROM class_posts p JOIN merged m USING (cluster)"),
+    *class_weights_sql("merged_posts", "mw")]
+
+
+def class_posts(spark, sf):
+    lang = F.array_position(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), F.col("lang"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text", (lang * 3 + F.col("doc_id") % 3).cast("int").alias("cluster"))
+
+
+def class_weights(posts):
+    return materialize(M.class_weights(M.topic_term_counts(posts), CLASS_VOCABULARY))
+
+
+def merged_posts(spark, sf):
+    posts = class_posts(spark, sf)
+    names = M.merged_topics(class_weights(posts))
+    return posts.join(names, "cluster").select("row_id", "text", F.col("topic").alias("cluster"))
+
+
+@register("C10_class_weights", with_(CLASS_POSTS, class_weights_sql("class_posts", "cw"), final=f"SELECT cluster, term, {r6('weight')} FROM cw"))
+def _class_weights(spark, sf):
+    return class_weights(class_posts(spark, sf))
+
+
+@register("C10_merged_topics", with_(MERGED, final="SELECT cluster, topic FROM merged"))
+def _merged(spark, sf):
+    return M.merged_topics(class_weights(class_posts(spark, sf)))
+
+
+@register("C10_topic_terms", with_(MERGED, final=f"""SELECT cluster, term, CAST(position AS INTEGER) AS position, {r6('weight')} FROM (
+SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(weight, 9) DESC, term) AS position FROM mw) WHERE position <= 8"""))
+def _topic_terms(spark, sf):
+    return M.top_terms(class_weights(merged_posts(spark, sf))).select("cluster", "term", "position", "weight")
+
+
+@register("C10_representative_posts", with_(MERGED, [
+    ("post_tf", f"""SELECT row_id, cluster, term, count(*) AS tf FROM (SELECT row_id, cluster, unnest({tokens_sql('text', X.ENGLISH_STOP_WORDS, X.WORD_PATTERN)}) AS term
+        FROM merged_posts) GROUP BY ALL"""),
+    ("post_like", "SELECT row_id, cluster, sum(tf * weight) / sqrt(sum(tf * tf)) AS similarity FROM post_tf JOIN mw USING (cluster, term) GROUP BY 1, 2")],
+    final=f"""SELECT cluster, CAST(position AS INTEGER) AS position, row_id, {r6('similarity')} FROM (
+SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(similarity, 9) DESC, row_id) AS position FROM post_like) WHERE position <= 5"""))
+def _representatives(spark, sf):
+    posts = merged_posts(spark, sf)
+    return M.representative_posts(posts, class_weights(posts))
+
+
 @register("C05_topic_sizes", with_(ORDERS, final=f"""
 SELECT cluster, CAST(count(*) AS BIGINT) AS cluster_size, {r6('count(*) / (SELECT count(*) FROM posts)::DOUBLE AS share')} FROM posts GROUP BY 1"""))
 def _sizes(spark, sf):
