@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.views import PLANTED, embeddings_planted, register, table, with_
 from topictide.operators import density as D
 from topictide.operators import projection as P
+from topictide.runtime import materialize
 
 RAW = [("points", "SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings")]
 
@@ -81,6 +82,32 @@ def _reduced(spark, sf):
         "row_id", F.size("reduced").alias("dims"), F.get("reduced", F.lit(0)).alias("first"), F.lit(fitted.retained).alias("retained"))
 
 
+# What principal components must be: as many as asked for, centred, uncorrelated, falling.
+@register("C01_reduction_properties", """SELECT count(*) AS n, 16::BIGINT AS dims, true AS centred, true AS uncorrelated, true AS falling,
+true AS shares FROM embeddings""")
+def _properties(spark, sf):
+    points = embeddings_planted(spark, sf)
+    fitted = P.fit_reduction(points, 16)
+    x = lambda i: F.get("reduced", F.lit(i))
+    out = fitted.transform(points).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size("reduced")).cast("long").alias("dims"), *[F.abs(F.avg(x(i))).alias(f"m{i}") for i in range(16)],
+        *[F.var_samp(x(i)).alias(f"v{i}") for i in range(16)], *[F.abs(F.corr(x(i), x(i + 1))).alias(f"r{i}") for i in range(15)])
+    v = [F.col(f"v{i}") for i in range(16)]
+    return out.select(
+        "n", "dims", (F.greatest(*[f"m{i}" for i in range(16)]) < 1e-9).alias("centred"),
+        (F.greatest(*[f"r{i}" for i in range(15)]) < 1e-4).alias("uncorrelated"),
+        F.expr(" and ".join(f"v{i} >= v{i + 1}" for i in range(15))).alias("falling"),
+        (F.abs(v[0] / v[15] - F.lit(fitted.variance[0] / fitted.variance[15])) < 1e-6).alias("shares"))
+
+
+# The planted labels are apart, so the silhouette of as many clusters is clearly above 0.
+@register("C04_centroid_quality", "SELECT count(*) AS n, 10::BIGINT AS clusters, true AS separated FROM embeddings")
+def _quality(spark, sf):
+    found = materialize(P.centroid_clusters(embeddings_planted(spark, sf), 10).select("row_id", "embedding", "cluster"))
+    value = P.silhouette(found)
+    return found.agg(F.count(F.lit(1)).alias("n"), F.lit(10).cast("long").alias("clusters"), F.lit(-1.0 <= value <= 1.0 and value > 0.1).alias("separated"))
+
+
 @register("C03_map_coordinates")
 def _coordinates(spark, sf):
     return P.map_coordinates(embeddings_planted(spark, sf)).select("row_id", "proj_x", "proj_y")

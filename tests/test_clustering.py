@@ -92,3 +92,21 @@ def test_projection(spark):
 def test_centroid_clusters(spark):
     out = P.centroid_clusters(planted(spark), 3)
     assert out.groupBy("cluster").agg(F.countDistinct("label").alias("n")).where("n > 1").count() == 0
+
+
+@pytest.mark.parametrize("rows, dims, k", [(300, 40, 5), (60, 200, 12), (500, 7, 7)])
+def test_reduction_equals_the_full_decomposition(spark, rows, dims, k):
+    rng = np.random.default_rng(rows)
+    x = rng.normal(0, 1, (rows, dims)) * np.linspace(3, 0.5, dims) + rng.normal(0, 5, dims)
+    fitted = P.fit_reduction(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, embedding array<double>").repartition(4), k)
+    s = np.linalg.svd(x - x.mean(axis=0), compute_uv=False) ** 2
+    np.testing.assert_allclose(fitted.variance, (s / s.sum())[:k], atol=1e-6)
+    assert abs(fitted.retained - s[:k].sum() / s.sum()) < 1e-6
+    np.testing.assert_allclose(fitted.components.T @ fitted.components, np.eye(k), atol=1e-8)
+
+
+def test_silhouette(spark):
+    pts = planted(spark)
+    good = P.silhouette(pts.withColumnRenamed("label", "cluster"))
+    bad = P.silhouette(pts.withColumn("cluster", (F.col("row_id") % 3).cast("int")))
+    assert good > 0.9 > 0.2 > bad
