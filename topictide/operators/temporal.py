@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from topictide.functions.numbers import relative_change, total
 from topictide.functions.windows import QUARTER, window_label, window_name, windows_until
-from topictide.runtime import bounded_broadcast
+from topictide.runtime import materialize
 from topictide.schemas import NOISE_CLUSTER, SNAPSHOT_COLUMNS, require_columns
 
 ENGAGEMENT = ["likes", "reach", "shares", "comments"]
@@ -48,13 +48,12 @@ def first_labels(posts: DataFrame) -> DataFrame:
 
 def with_window(posts: DataFrame, freq: str, per_cluster_anchor: bool = True) -> DataFrame:
     """Add ``time_window``. Three-month bins start at each cluster's first month,
-    or with ``per_cluster_anchor=False`` at the first month of all posts. Clusters are
-    counted first, so that hot ones are joined by broadcast and not moved."""
+    or with ``per_cluster_anchor=False`` at the first month of all posts."""
     if window_name(freq) != QUARTER:
         return posts.withColumn("time_window", window_label(F.col("timestamp"), freq))
     if per_cluster_anchor:
         anchors = posts.groupBy("cluster").agg(F.min("timestamp").alias("_anchor"))
-        anchored = posts.join(bounded_broadcast(anchors, anchors.count()), "cluster")
+        anchored = posts.join(anchors, "cluster")
     else:
         anchored = posts.withColumn("_anchor", posts.agg(F.min("timestamp")).scalar())
     return anchored.withColumn(
@@ -74,6 +73,21 @@ def window_aggregates(posts: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("post_count"), authors.alias("unique_authors"), *sums)
 
 
+def quarter_aggregates(posts: DataFrame) -> DataFrame:
+    """``window_aggregates`` for three-month bins from each cluster's first month. Posts are
+    reduced to (cluster, month, author) once; anchors and bins come from that table."""
+    by = ["cluster", "_month", *(["author"] if "author" in posts.columns else [])]
+    present = [c for c in ENGAGEMENT if c in posts.columns]
+    months = materialize(posts.withColumn("_month", window_label(F.col("timestamp"), "1M")).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"total_{c}") for c in present]))
+    anchors = months.groupBy("cluster").agg(F.min("_month").alias("_anchor"))
+    placed = months.join(anchors, "cluster").withColumn("time_window", window_label(F.col("_month"), QUARTER, F.col("_anchor")))
+    authors = F.countDistinct("author") if "author" in posts.columns else F.sum("_n")
+    return placed.groupBy("cluster", "time_window").agg(
+        F.sum("_n").alias("post_count"), authors.alias("unique_authors"),
+        *[(F.sum(f"total_{c}") if c in present else F.lit(0.0)).alias(f"total_{c}") for c in ENGAGEMENT])
+
+
 def fill_gaps(agg: DataFrame, freq: str) -> DataFrame:
     """One row per window from a cluster's first to its last; added rows hold 0.
 
@@ -156,7 +170,9 @@ def with_market_share(stats: DataFrame, when_empty: float | None = None) -> Data
 def temporal_stats(posts: DataFrame, freq: str = "1M", per_cluster_anchor: bool = True) -> DataFrame:
     """The full per-cluster, per-window table, noise cluster included."""
     posts = valid_timestamps(require_columns(posts, "cluster"))
-    series = fill_gaps(window_aggregates(with_window(posts, freq, per_cluster_anchor)), freq)
+    by_cluster = window_name(freq) == QUARTER and per_cluster_anchor
+    observed = quarter_aggregates(posts) if by_cluster else window_aggregates(with_window(posts, freq, per_cluster_anchor))
+    series = fill_gaps(observed, freq)
     labelled = trend_metrics(series).join(first_labels(posts), "cluster")
     return with_market_share(labelled).select(
         "cluster", "cluster_label", "time_window", "post_count", "unique_authors",
@@ -247,13 +263,17 @@ def weekly_density(weekly: DataFrame, min_posts: int = 3, min_density: float = 0
 
 def weekly_snapshots(posts: DataFrame, months: int = 12, min_posts: int = 3,
                      min_density: float = 0.5) -> DataFrame:
-    """Weekly metrics of the recent months for densely posted clusters only."""
-    recent = without_noise(recent_posts(posts, months))
-    weekly = weekly_counts(recent)
+    """Weekly metrics of the recent months for densely posted clusters only. The posts are
+    reduced to (cluster, week, label) once; counts, density and labels come from that table."""
+    recent = with_window(without_noise(recent_posts(posts, months)), "1W")
+    label = F.col("cluster_label") if "cluster_label" in posts.columns else F.col("cluster").cast("string")
+    weeks = materialize(recent.groupBy("cluster", "time_window", label.alias("cluster_label")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("row_id" if "row_id" in posts.columns else F.lit(0)).alias("row_id")))
+    weekly = fill_gaps(weeks.groupBy("cluster", "time_window").agg(F.sum("_n").alias("post_count")), "1W")
     dense = weekly_density(weekly, min_posts, min_density).where("is_dense")
     kept = weekly.join(dense, "cluster", "left_semi")
     metrics = trend_metrics(kept, growth_limit=10.0, engagement=False, single_window_stable=False)
-    labelled = metrics.join(first_labels(recent), "cluster")
+    labelled = metrics.join(first_labels(weeks), "cluster")
     return with_market_share(labelled).select(
         "time_window", "cluster", "cluster_label", "post_count", "market_share", "volume_pct_change",
         "volume_volatility", "volume_lead", "lifecycle_state", "anomaly_score", F.lit("1W").alias("window_type"))
