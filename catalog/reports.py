@@ -147,6 +147,28 @@ def _ranked(spark, sf):
     return table.select("cluster", F.row_number().over(order).alias("position"), "volume_lead")
 
 
+@register("Q15_drill_down", with_(NATION_STATS, final=f"""
+SELECT 'cluster-' || cluster AS cluster_id, cluster_label, strftime(time_window, '%Y-%m') AS time_window, post_count,
+{r6('market_share * 100 AS market_share', 'volume_lead', 'volume_volatility AS volatility')} FROM stats WHERE cluster = 3"""))
+def _drill(spark, sf):
+    return R.drill_down(T.snapshots(nation_stats(spark, sf)), 3)
+
+
+@register("Q15_topic_comparison", with_(NATION_STATS, final="""
+SELECT strftime(time_window, '%Y-%m') AS time_window, max(post_count) FILTER (cluster = 2) AS cluster_2, max(post_count) FILTER (cluster = 7) AS cluster_7,
+       max(post_count) FILTER (cluster = 11) AS cluster_11 FROM stats GROUP BY stats.time_window"""))
+def _comparison(spark, sf):
+    return R.compare_topics(T.snapshots(nation_stats(spark, sf)), [2, 7, 11])
+
+
+@register("Q16_scenario_comparison", with_(TRENDS, final="""
+SELECT time_window, CAST(coalesce(sum(post_count) FILTER (event_id = 2), 0) AS BIGINT) AS scenario_2,
+       CAST(coalesce(sum(post_count) FILTER (event_id = 12), 0) AS BIGINT) AS scenario_12,
+       CAST(coalesce(sum(post_count) FILTER (event_id = 26), 0) AS BIGINT) AS scenario_26 FROM trends WHERE event_id IN (2, 12, 26) GROUP BY 1"""))
+def _side_by_side(spark, sf):
+    return R.scenario_comparison(trends(spark, sf), [2, 12, 26])
+
+
 @register("Q16_scenario_volumes", with_(TRENDS, final="""
 SELECT event_id, time_window, CAST(sum(post_count) AS BIGINT) AS post_count FROM trends GROUP BY 1, 2"""))
 def _scenarios(spark, sf):

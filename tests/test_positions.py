@@ -40,3 +40,13 @@ def test_most_frequent(spark, most):
     rows = [(f"t{i:03d}", r.choice([1, 2, 2, 3, 40, 41, r.randint(1, 5_000)])) for i in range(200)]
     got = {tuple(x) for x in most_frequent(spark.createDataFrame(rows, "term string, n long"), "n", "term", most).collect()}
     assert got == set(sorted(rows, key=lambda x: (-x[1], x[0]))[:most])
+
+
+def test_map_sample_is_the_rows_with_the_smallest_hashes(spark):
+    import hashlib
+
+    from topictide.plans import reports as R
+
+    points = spark.range(3000).selectExpr("id as row_id", "id % 3 as cluster")
+    got = {r.row_id for r in R.map_sample(points, 400).collect()}
+    assert got == set(sorted(range(3000), key=lambda i: (hashlib.md5(f"{i}:42".encode()).hexdigest(), i))[:400])

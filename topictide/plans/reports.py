@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from topictide.functions.numbers import finite_or
+from topictide.operators.ranking import kth_smallest
 from topictide.operators.temporal import without_noise
 from topictide.runtime import materialize
 
@@ -122,10 +123,10 @@ def top_anomalous(clusters: DataFrame, n: int = 5) -> DataFrame:
     return clusters.orderBy(F.abs("anomaly_score").desc(), "cluster").limit(n)
 
 
-def metric_matrix(snapshots: DataFrame, clusters: list[int], metric: str, monthly: bool = True) -> DataFrame:
-    """Rows are windows, columns the chosen clusters."""
+def metric_matrix(snapshots: DataFrame, clusters: list[int], metric: str, monthly: bool = True, of_all_windows: bool = False) -> DataFrame:
+    """Rows are windows of the chosen clusters, or of all, columns the chosen ones."""
     label = F.date_format("time_window", "yyyy-MM") if monthly else F.col("time_window").cast("string")
-    chosen = snapshots.where(F.col("cluster").isin(clusters))
+    chosen = snapshots if of_all_windows else snapshots.where(F.col("cluster").isin(clusters))
     grid = chosen.groupBy("time_window").pivot("cluster", clusters).agg(F.first(metric))
     return grid.select(label.alias("time_window"), *[F.col(f"`{c}`").alias(f"cluster_{c}") for c in clusters])
 
@@ -141,6 +142,14 @@ def drill_down(snapshots: DataFrame, cluster: int) -> DataFrame:
         "time_window", F.date_format("time_window", "yyyy-MM")).orderBy("time_window")
 
 
+def compare_topics(snapshots: DataFrame, clusters: list[int]) -> DataFrame:
+    """Posts of up to three topics side by side, a row for every window of any topic; null
+    where a topic has none."""
+    if not 1 <= len(clusters) <= 3:
+        raise ValueError("one to three topics can be compared")
+    return metric_matrix(without_noise(snapshots), clusters, "post_count", of_all_windows=True)
+
+
 def scenario_volumes(trends: DataFrame) -> DataFrame:
     """Posts of all activated topics per scenario and window."""
     return trends.groupBy("event_id", "time_window").agg(F.sum("post_count").alias("post_count"))
@@ -183,8 +192,14 @@ def lifecycle_share(snapshots: DataFrame) -> DataFrame:
 # --- chart data ---------------------------------------------------------------
 
 def map_sample(points: DataFrame, limit: int = 20_000, seed: int = 42) -> DataFrame:
-    """All points when they fit, else a seeded sample of ``limit`` of them."""
-    return points.orderBy(F.md5(F.concat_ws(":", F.col("row_id"), F.lit(seed))), "row_id").limit(limit)
+    """All points when they fit, else a seeded sample of ``limit`` of them: those with the
+    smallest hashes, up to a cutoff that histogram passes find, so nothing is sorted whole."""
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("row_id"), F.lit(seed))), 1, 15), 16, 10).cast("long")
+    places = materialize(points.select("row_id", hashed.alias("_place"), F.lit(0).alias("_all")))
+    if places.count() <= limit:
+        return points
+    last = kth_smallest(places, "_all", "_place", "row_id", points.sparkSession.createDataFrame([(0, limit)], "_all int, k int")).first()
+    return points.where((hashed < last.cutoff) | ((hashed == last.cutoff) & (F.col("row_id") <= last.tie_cutoff)))
 
 
 def activity_cells(stats: DataFrame) -> DataFrame:

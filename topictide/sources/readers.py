@@ -22,12 +22,13 @@ CLUSTER_COLUMNS = ["row_id", "timestamp", "text", "cluster", "proj_x", "proj_y",
                    "likes", "reach", "shares", "comments", "author", "Author", "sentiment", "Sentiment"]
 
 
-def read_posts_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Posts CSV with quoted multi-line text. The schema names the file's columns and
-    must hold ``row_id``, which joins posts to embeddings."""
+def read_posts_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    """Posts CSV. The schema names the file's columns and must hold ``row_id``, which joins
+    posts to embeddings. Quoted texts over several lines need ``multi_line``, which makes a
+    file one task; without it large files are split."""
     if "row_id" not in schema.fieldNames():
         raise ValueError("the CSV schema needs a row_id column")
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
+    return (spark.read.schema(schema).option("header", True).option("multiLine", multi_line)
             .option("escape", '"').option("enforceSchema", False).csv(path))
 
 
