@@ -217,9 +217,10 @@ def theme_summary(scores: DataFrame) -> DataFrame:
 
 def heuristic_forecast(events: DataFrame, lexicon: Lexicon, profiles: DataFrame, stats: DataFrame,
                        mapping: DataFrame | None = None, default: float = ACTIVATION_THRESHOLD,
-                       per_theme: dict | None = None) -> DataFrame:
-    """The complete heuristic prediction row per event."""
-    scores = score_events(events, lexicon)
+                       per_theme: dict | None = None, scores: DataFrame | None = None) -> DataFrame:
+    """The complete heuristic prediction row per event. The scores, far smaller than the
+    texts and read several times, are written once, unless they are given."""
+    scores = materialize(score_events(events, lexicon)) if scores is None else scores
     risk = risk_thresholds(stats).select(F.struct("low_q", "high_q").alias("q")).scalar()
     active = activated_themes(scores, profiles, lexicon, mapping, default, per_theme)
     estimate = estimate_direction(events, active, profiles).join(theme_score_map(scores), "event_id", "left")

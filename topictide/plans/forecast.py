@@ -10,6 +10,7 @@ from topictide.operators.events import (
     ACTIVATION_THRESHOLD, activated_themes, heuristic_forecast, profile_features, risk_band, score_events,
     theme_summary)
 from topictide.plans.training import Bundle
+from topictide.runtime import materialize
 from topictide.schemas import DIRECTIONS
 from topictide.sources.lexicon import Lexicon
 
@@ -37,12 +38,12 @@ def trained_forecast(events: DataFrame, lexicon: Lexicon, profiles: DataFrame, s
                      mapping: DataFrame | None = None, default: float = ACTIVATION_THRESHOLD,
                      per_theme: dict | None = None) -> DataFrame:
     """Heuristic row with direction, confidence and class probabilities of the model."""
-    scores = score_events(events, lexicon)
+    scores = materialize(score_events(events, lexicon))
     active = activated_themes(scores, profiles, lexicon, mapping, default, per_theme)
     served = bundle.predict(event_features(events, scores, active, bundle.features)).select(
         "event_id", F.col("prediction").alias("_direction"), confidence().alias("_confidence"),
         F.map_from_arrays(F.array(*[F.lit(d) for d in DIRECTIONS]), F.array(*PROBS)).alias("class_probabilities"))
-    base = heuristic_forecast(events, lexicon, profiles, stats, mapping, default, per_theme)
+    base = heuristic_forecast(events, lexicon, profiles, stats, mapping, default, per_theme, scores)
     low, high = F.lit(bundle.risk_bands["low"]), F.lit(bundle.risk_bands["high"])
     return base.join(served, "event_id").withColumns({
         "predicted_direction": F.col("_direction"),
