@@ -234,3 +234,17 @@ def test_bitmap_lets_all_ids_through(spark):
     ids = spark.range(0, 3_000, 3)
     df = spark.range(3_000).withColumn("in", may_be_among(ids, "id", F.col("id")))
     assert df.where("in AND id % 3 = 0").count() == 1_000 and df.where("in").count() < 1_010
+
+
+def test_scripts_without_blanks_weigh_by_their_letters(spark):
+    rng = random.Random(5)
+    english = ["the", "house", "water", "and", "reading", "small", "garden", "with"]
+    chinese = "我们今天在学校里学习新的语言并且写了很多字"
+    rows = [(i, " ".join(rng.choice(english) for _ in range(30)), "en") for i in range(60)]
+    rows += [(100 + i, "。".join("".join(rng.choice(chinese) for _ in range(12)) for _ in range(4)), "zh") for i in range(60)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    sentence = "".join(rng.choice(chinese) for _ in range(40))
+    mixed = [(1, f"the small house {sentence} with water", None), (2, sentence, None), (3, "reading the garden", None), (4, f"water{sentence}", None)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(mixed, "doc_id long, text string, lang string"), model).collect()}
+    assert [got[i].lang_pred for i in (1, 2, 3, 4)] == ["zh", "zh", "en", "zh"] and 0.5 < got[1].score < 1
+    assert langid.parts("water") == ["water"] and langid.parts("été") == ["été"] and langid.parts("ab我们c") == ["ab", "我", "们", "c"]

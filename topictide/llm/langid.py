@@ -3,6 +3,7 @@ words are scored by letter trigrams, and a Viterbi path with a switching penalty
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,8 +26,13 @@ SCRIPTS = [
     ("Hangul", 0x1100, 0x11FF), ("Ethiopic", 0x1200, 0x137F), ("Khmer", 0x1780, 0x17FF), ("Latin", 0x1E00, 0x1EFF),
     ("Greek", 0x1F00, 0x1FFF), ("Kana", 0x3040, 0x30FF), ("Han", 0x3400, 0x9FFF), ("Hangul", 0xAC00, 0xD7AF),
 ]
+# Scripts that are written without blanks between words.
+WITHOUT_BLANKS = ("Thai", "Lao", "Tibetan", "Myanmar", "Khmer", "Kana", "Han")
 UNKNOWN = "und"
 
+_UNSPACED = "".join(f"{chr(a)}-{chr(b)}" for name, a, b in SCRIPTS if name in WITHOUT_BLANKS)
+UNSPACED, PARTS = re.compile(f"[{_UNSPACED}]"), re.compile(f"[{_UNSPACED}]|[^{_UNSPACED}]+")
+
 
 def script_of(letter: str) -> str:
     code = ord(letter)
@@ -42,6 +48,11 @@ def letters(token: str) -> str:
     return token if token.isalpha() else "".join([c for c in token if c.isalpha()])
 
 
+def parts(word: str) -> list[str]:
+    """What speaks for a language on its own: a word, or in scripts without blanks each letter."""
+    return [word] if word.isascii() or not UNSPACED.search(word) else PARTS.findall(word)
+
+
 @dataclass
 class Model:
     """Languages, log-likelihoods of trigrams relative to the languages' mean, and the
@@ -71,11 +82,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for lang, seen in words.items():
             found: Counter = Counter()
             for token, n in seen.items():
-                word = letters(token)
-                if word:
-                    found["script " + script_of(word[0])] += n
-                    for g in trigrams(word):
-                        found[g] += n
+                for part in parts(letters(token)):
+                    if part:
+                        found["script " + script_of(part[0])] += n
+                        for g in trigrams(part):
+                            found[g] += n
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())],
                 ["lang", "gram", "n"])
@@ -126,7 +137,7 @@ class Scorer:
         return [np.fromiter(map(row, tokens), np.int64, len(tokens)) for tokens in texts]
 
     def learn(self, fresh: set[str]) -> None:
-        m, number, sizes, flat, ends, narrowed = self.model, len(self.table), [], [], [], []
+        m, number, sizes, flat, ends, narrowed, first = self.model, len(self.table), [], [], [], [], []
         for token in fresh:
             word = letters(token)
             if not word:
@@ -134,10 +145,12 @@ class Scorer:
                 continue
             self.known[token] = number
             number += 1
-            flat += [i for i in map(m.grams.get, trigrams(word)) if i is not None]
-            ends.append(len(flat))
             sizes.append(len(word))
-            narrowed.append(m.scripts.get(script_of(word[0])))
+            first.append(len(ends))
+            for part in parts(word):
+                flat += [i for i in map(m.grams.get, trigrams(part)) if i is not None]
+                ends.append(len(flat))
+                narrowed.append(m.scripts.get(script_of(part[0])))
         if not sizes:
             return
         upto = np.concatenate([np.zeros((1, self.table.shape[1])), np.cumsum(m.scores[np.array(flat, np.int64)], axis=0, dtype=np.float64)])
@@ -147,6 +160,8 @@ class Scorer:
         for i, allowed in enumerate(narrowed):
             if allowed is not None:
                 scores[i, ~allowed] += m.excluded
+        if len(scores) > len(first):
+            scores = np.add.reduceat(scores, first, axis=0)  # a token says what its parts say
         self.table = np.concatenate([self.table, scores.astype(np.float32)])
         self.n_letters = np.concatenate([self.n_letters, np.array(sizes, np.int64)])
 
