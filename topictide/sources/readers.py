@@ -36,13 +36,19 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EMBEDDINGS).parquet(path)
 
 
+# What Spark calls a path that holds no parquet table.
+NO_TABLE = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
+
+
 def read_clusters(spark: SparkSession, parquet_path: str, csv_path: str | None = None,
-                  csv_schema: T.StructType | None = None) -> DataFrame:
-    """Clustered posts from parquet, or from the CSV when the parquet cannot be opened."""
+                  csv_schema: T.StructType | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """Clustered posts from parquet, or from the CSV where there is no parquet table. A
+    declared ``schema`` saves reading footers; other errors are not hidden."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
     try:
-        return spark.read.parquet(parquet_path)
-    except AnalysisException:
-        if csv_path is None:
+        return reader.parquet(parquet_path)
+    except AnalysisException as e:
+        if csv_path is None or e.getCondition() not in NO_TABLE:
             raise
         return read_posts_csv(spark, csv_path, csv_schema)
 
