@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +154,22 @@ def test_choice_by_level_equals_choice_in_one_task(spark):
     tree = spark.createDataFrame([(i, p, float(rng.random() * 5)) for i, p in enumerate(parent)], "cluster long, parent long, own double")
     small, large = (sorted(tuple(r) for r in T.chosen_clusters(tree, limit).select("cluster", "pick").collect()) for limit in (1_000, 1))
     assert small == large and len({p for _, p in small}) > 3
+
+
+def test_a_block_moves_once_for_each_group(spark):
+    """Where all blocks have to meet, rows dealt are blocks times groups, not pairs of blocks."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (1_200, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = X.build(D.unique_points(frame(spark, x))[0], 8)
+    assert index.n_blocks > 4 * X.GROUPS
+
+    def seen(blocks, pairs):
+        return pa.table({"blocks": [len(blocks)], "a": [[p[0] for p in pairs]], "b": [[p[1] for p in pairs]]})
+
+    needed = lambda a, b, least: least <= 1.2
+    tiles = X.meeting(index, needed, seen, "blocks long, a array<long>, b array<long>").collect()
+    met = [p for t in tiles for p in zip(t.a, t.b)]
+    assert len(met) == len(set(met)) and set(met) == {(r.a, r.b) for r in X.block_pairs(index, needed).collect()}
+    assert len(met) > index.n_blocks ** 2 / 4  # nothing is far enough to be left out
+    assert sum(t.blocks for t in tiles) <= index.n_blocks * (X.GROUPS + 1)

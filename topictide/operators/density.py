@@ -5,8 +5,9 @@ Exact neighbourhoods without pairs of rows ever leaving a task:
 1. equal vectors collapse to one weighted point;
 2. a metric index deals the points to blocks and names the pairs of blocks that may hold
    neighbours (``metric_index``);
-3. a task compares the two blocks of a pair with numpy and returns, per point, its nearest
-   distances, then only minimum spanning forests of mutual reachability distances. The union
+3. a task takes the pairs between two groups of blocks, compares them with numpy and returns,
+   per point, its nearest distances of all these pairs, then only the minimum spanning forest
+   of the mutual reachability distances. The union
    of these forests holds a minimum spanning forest of the whole graph, so all levels can be
    read from it (``merge_tree``).
 
@@ -16,7 +17,7 @@ A dense region is thus spread over many tasks of bounded memory.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from topictide.operators import merge_tree, metric_index
 from topictide.operators.graph import connected_components
-from topictide.operators.metric_index import BLOCK_ROWS, Index, block_pairs, distances, meeting, unpack
+from topictide.operators.metric_index import BLOCK_ROWS, Block, Index, distances, meeting, unpack
 from topictide.runtime import materialize
 from topictide.schemas import NOISE_CLUSTER
 
@@ -95,29 +96,42 @@ def nearest_distances(index: Index, min_samples: int, radius: float | None = Non
         for r in bounds.select("block", "most").collect():
             most[r.block] = r.most
         known = spark.sparkContext.broadcast(most)
-        pairs = block_pairs(index, lambda a, b, least: least <= np.maximum(known.value[a], known.value[b]))
-        met = meeting(index, pairs, bounds.select("block", "reach"))
+        needed, extra = lambda a, b, least: least <= np.maximum(known.value[a], known.value[b]), bounds.select("block", "reach")
     else:
-        met = meeting(index, block_pairs(index, lambda a, b, least: least <= radius))
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one, other = batch.column("left")[i].as_py(), batch.column("right")[i].as_py()
-                same = batch.column("a")[i].as_py() == batch.column("b")[i].as_py()
-                sides = [(_numbers(s["ids"]), _numbers(s["weights"]), s) for s in (one, other)]
-                d = distances(*(unpack(s["vectors"], len(ids)) for ids, _, s in sides))
-                if same:
-                    np.fill_diagonal(d, np.inf)
-                for dist, (ids, _, s), (_, weights, _) in ((d, sides[0], sides[1]), (d.T, sides[1], sides[0])):
-                    limit = np.full(len(ids), radius) if radius is not None else _numbers(s["reach"], "<f8")
-                    k = min(min_samples, dist.shape[1])
-                    order = np.argpartition(dist, k - 1, axis=1)[:, :k]
-                    top = np.take_along_axis(dist, order, axis=1)
-                    rows, cols = np.nonzero((top <= limit[:, None] * (1 + 1e-12)) & np.isfinite(top))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(top[rows, cols]), pa.array(weights[order[rows, cols]])], ["id", "d", "w"])
-                    if same:
-                        break
+        needed, extra = lambda a, b, least: least <= radius, None
+
+    def near(blocks: dict[int, Block], pairs: list[tuple[int, int]]) -> pa.Table:
+        nearest = {name: (np.full((len(b.ids), min_samples), np.inf), np.zeros((len(b.ids), min_samples), np.int64)) for name, b in blocks.items()}
+        limits = {name: np.full(len(b.ids), radius) if radius is not None else _numbers(b.extra["reach"].as_buffer(), "<f8") for name, b in blocks.items()}
+
+        def taken(name: int, d: np.ndarray, weights: np.ndarray) -> None:
+            """Puts what is nearer into the nearest ones of a block's points."""
+            held, heavy = nearest[name]
+            limit, least = limits[name] * (1 + 1e-12), d.min(axis=1)
+            rows = np.flatnonzero((least <= limit) & (least < held[:, -1]))
+            if not len(rows):
+                return
+            d, k = d[rows], min(min_samples, d.shape[1])
+            order = np.argpartition(d, k - 1, axis=1)[:, :k]
+            top = np.take_along_axis(d, order, axis=1)
+            top[top > limit[rows, None]] = np.inf
+            both, weight = np.concatenate([held[rows], top], axis=1), np.concatenate([heavy[rows], weights[order]], axis=1)
+            kept = np.argsort(both, axis=1, kind="stable")[:, :min_samples]
+            held[rows], heavy[rows] = np.take_along_axis(both, kept, axis=1), np.take_along_axis(weight, kept, axis=1)
+
+        for a, b in pairs:
+            one, other = blocks[a], blocks[b]
+            d = distances(one.vectors, other.vectors)
+            if a == b:
+                np.fill_diagonal(d, np.inf)
+            else:
+                taken(b, d.T, one.weights)
+            taken(a, d, other.weights)
+        out = []
+        for name, (held, heavy) in nearest.items():
+            rows, columns = np.nonzero(np.isfinite(held))
+            out.append((blocks[name].ids[rows], held[rows, columns], heavy[rows, columns]))
+        return pa.table(dict(zip(("id", "d", "w"), (np.concatenate(x) for x in zip(*out)))))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +140,7 @@ def nearest_distances(index: Index, min_samples: int, radius: float | None = Non
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.zeros(len(ids))), pa.array(weights)], ["id", "d", "w"])
 
     kind = "id long, d double, w long"
-    found = met.mapInArrow(near, kind).unionByName(index.blocks.select("ids", "weights").mapInArrow(own, kind))
+    found = meeting(index, needed, near, kind, extra).unionByName(index.blocks.select("ids", "weights").mapInArrow(own, kind))
     by_d = W.partitionBy("id").orderBy("d").rowsBetween(W.unboundedPreceding, 0)
     ranked = found.withColumn("seen", F.sum("w").over(by_d))
     return ranked.groupBy("id").agg(F.min(F.when(F.col("seen") >= min_samples, F.col("d"))).alias("core"))
@@ -165,44 +179,44 @@ def _spanning(reach: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np
     return (a, b, np.array(w)) if same else (np.minimum(a, b), np.maximum(a, b) - n, np.array(w))
 
 
-def spanning_edges(index: Index, cores: DataFrame, pairs: DataFrame, radius: float | None = None) -> DataFrame:
+def spanning_edges(index: Index, cores: DataFrame, needed: Callable[[int, np.ndarray, np.ndarray], np.ndarray], radius: float | None = None) -> DataFrame:
     """(a, size_a, b, size_b, w): minimum spanning forests of the mutual reachability of the
-    paired blocks' core points, up to the radius. A task keeps one forest of all its pairs."""
-    met = meeting(index, pairs, cores.select("block", "cores"))
+    core points of the needed pairs of blocks, up to the radius. A task keeps one forest of all
+    the pairs of two groups."""
     limit = np.inf if radius is None else radius
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+    def run(blocks: dict[int, Block], pairs: list[tuple[int, int]]) -> pa.Table:
+        held, most, sides = [(*[np.empty(0, np.int64)] * 4, np.empty(0))], HELD_EDGES, {}
+        for name, s in blocks.items():
+            own = np.array(s.extra["cores"].as_py(), float)
+            core = own <= (limit if np.isfinite(limit) else np.finfo(float).max)
+            sides[name] = s.ids[core], s.weights[core], own[core], s.vectors[core]
 
         def thinned() -> tuple:
             a, size_a, b, size_b, w = (np.concatenate(x) for x in zip(*held))
             kept = merge_tree.forest(a, b, np.lexsort((b, a, w)))
             return a[kept], size_a[kept], b[kept], size_b[kept], w[kept]
 
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one, other = batch.column("left")[i].as_py(), batch.column("right")[i].as_py()
-                same = batch.column("a")[i].as_py() == batch.column("b")[i].as_py()
-                sides = []
-                for s in (one, other):
-                    ids, own = _numbers(s["ids"]), np.array(s["cores"], float)
-                    core = own <= (limit if np.isfinite(limit) else np.finfo(float).max)
-                    sides.append((ids[core], _numbers(s["weights"])[core], own[core], unpack(s["vectors"], len(ids))[core]))
-                (ids, size, core, x), (ids_b, size_b, core_b, y) = sides
-                if not len(ids) or not len(ids_b):
-                    continue
-                reach = np.maximum(distances(x, y), np.maximum(core[:, None], core_b[None, :]))
-                reach[reach > limit] = np.inf
-                if same:
-                    np.fill_diagonal(reach, np.inf)
-                p, q, w = _spanning(reach, same)
-                held.append((ids[p], size[p], ids_b[q], size_b[q], w))
-                if sum(len(h[0]) for h in held) > HELD_EDGES:
-                    held[:] = [thinned()]
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in thinned()], ["a", "size_a", "b", "size_b", "w"])
-
-    return materialize(met.mapInArrow(run, "a long, size_a long, b long, size_b long, w double"))
+        for a, b in pairs:
+            (ids, size, core, x), (ids_b, size_b, core_b, y) = sides[a], sides[b]
+            if not len(ids) or not len(ids_b):
+                continue
+            reach = np.maximum(distances(x, y), np.maximum(core[:, None], core_b[None, :]))
+            reach[reach > limit] = np.inf
+            if a == b:
+                np.fill_diagonal(reach, np.inf)
+            if radius is not None and np.count_nonzero(reach < np.inf) <= len(ids) + len(ids_b):
+                p, q = np.nonzero(reach < np.inf)  # few, which are thinned with the others
+                w = reach[p, q]
+            else:
+                p, q, w = _spanning(reach, a == b)
+            held.append((ids[p], size[p], ids_b[q], size_b[q], w))
+            if sum(len(h[0]) for h in held) > most:
+                held[:] = [thinned()]
+                most = max(HELD_EDGES, 2 * len(held[0][0]))
+        return pa.table(dict(zip(("a", "size_a", "b", "size_b", "w"), thinned())))
+
+    return materialize(meeting(index, needed, run, "a long, size_a long, b long, size_b long, w double", cores.select("block", "cores")))
 
 
 def named_points(index: Index) -> DataFrame:
@@ -218,7 +232,7 @@ def named_points(index: Index) -> DataFrame:
 def _at_radius(index: Index, radius: float, min_samples: int) -> tuple[DataFrame, DataFrame]:
     """Cores and spanning edges of all points up to a radius, by point."""
     cores = materialize(nearest_distances(index, min_samples, radius))
-    edges = spanning_edges(index, packed_cores(index, cores), block_pairs(index, lambda a, b, least: least <= radius), radius)
+    edges = spanning_edges(index, packed_cores(index, cores), lambda a, b, least: least <= radius, radius)
     names = materialize(named_points(index))
     own = names.select("id", "point")
     edges = edges.join(own.toDF("a", "pa"), "a").join(own.toDF("b", "pb"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"), "w")
@@ -286,7 +300,7 @@ def spanning_tree(index: Index, min_samples: int) -> DataFrame:
         way = np.maximum(np.maximum(to_centre[a], to_centre[b]), worst[centre[a]][centre[b]])
         return (np.maximum(least, np.maximum(cores[a], cores[b])) <= way) | (b == a)
 
-    compared = spanning_edges(index, cores, block_pairs(index, needed))
+    compared = spanning_edges(index, cores, needed)
     return compared.unionByName(_ways(index, cores, core, worst))
 
 

@@ -2,8 +2,9 @@
 triangle inequality tells which two blocks can't hold points within some distance.
 
 Only the index's summary (a few numbers for each of at most ``MOST_BLOCKS`` blocks) and the
-sampled centres reach the driver and are broadcast; pairs of blocks are listed by tasks, and
-the points of a pair meet packed into one row."""
+sampled centres reach the driver and are broadcast. Blocks are dealt to a few groups, and a task
+takes the blocks of two groups, so a block moves once for each group that it has to meet and not
+once for each block."""
 
 from __future__ import annotations
 
@@ -25,6 +26,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BLOCK_ROWS = 1_000
 MOST_BLOCKS = 20_000  # blocks grow beyond BLOCK_ROWS instead
 MOST_CENTRES = 1_000
+GROUPS = 16  # of blocks; more where one would pass GROUP_BYTES
+GROUP_BYTES = 128 << 20  # of vectors
 PIVOTS = 8
 RINGS = 64
 SLACK = 1e-9  # of the distances compared, for what rounding may take off
@@ -81,7 +84,7 @@ class Index:
     summary: Summary
 
 
-def unpack(vectors: bytes, n: int) -> np.ndarray:
+def unpack(vectors: bytes | pa.Buffer, n: int) -> np.ndarray:
     return np.frombuffer(vectors, np.float64).reshape(n, -1)
 
 
@@ -176,9 +179,58 @@ def block_pairs(index: Index, needed: Callable[[int, np.ndarray, np.ndarray], np
     return own.mapInArrow(run, "a long, b long")
 
 
-def meeting(index: Index, pairs: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    """The pairs with the packed points of both blocks, as structs ``left`` and ``right``.
-    ``extra`` (block, ...) adds packed columns."""
-    sides = index.blocks if extra is None else index.blocks.join(extra, "block")
-    side = lambda name, key: sides.select(F.col("block").alias(key), F.struct(*[c for c in sides.columns if c != "block"]).alias(name))
-    return pairs.join(side("left", "a"), "a").join(side("right", "b"), "b")
+@dataclass
+class Block:
+    """A block as a task holds it. ``extra`` has the columns added to it, as Arrow scalars."""
+
+    ids: np.ndarray
+    weights: np.ndarray
+    vectors: np.ndarray
+    extra: dict
+
+
+def n_groups(index: Index) -> int:
+    whole = index.n_points * index.centres.shape[1] * 8
+    return max(1, min(index.n_blocks, max(GROUPS, -(-whole // GROUP_BYTES))))
+
+
+def meeting(index: Index, needed: Callable[[int, np.ndarray, np.ndarray], np.ndarray],
+            kernel: Callable[[dict[int, Block], list[tuple[int, int]]], pa.Table], kind: str, extra: DataFrame | None = None) -> DataFrame:
+    """What ``kernel`` returns, as ``kind``, for all pairs of blocks that ``block_pairs`` would
+    list, a tile at a time: the pairs of two groups of blocks, with each of these blocks once.
+    ``extra`` (block, ...) adds columns to the blocks."""
+    spark = index.blocks.sparkSession
+    sent, count = spark.sparkContext.broadcast(index.summary), n_groups(index)
+    group = np.arange(index.n_blocks) * count // index.n_blocks
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = np.arange(len(group))
+        for batch in batches:
+            for a in batch.column(0).to_pylist():
+                others = every[a:]
+                b = others[needed(a, others, sent.value.least_distances(a)[a:])]
+                tiles = group[a] * count + group[b]
+                own = np.unique(tiles)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own, tiles])), pa.array(np.concatenate([np.full(len(own), a), b]))],
+                                                 ["tile", "block"])
+
+    def run(table: pa.Table) -> pa.Table:
+        tile = table.column("tile")[0].as_py()
+        held = {}
+        for i, block in enumerate(table.column("block").to_pylist()):
+            of = {c: table.column(c)[i] for c in table.column_names}
+            ids, weights = (np.frombuffer(of[c].as_buffer(), "<i8") for c in ("ids", "weights"))
+            held[block] = Block(ids, weights, unpack(of["vectors"].as_buffer(), len(ids)), of)
+        known = np.array(sorted(held))
+        rows, columns = (known[group[known] == g] for g in divmod(tile, count))
+        pairs = []
+        for a in rows.tolist():
+            others = columns[columns >= a]
+            pairs += [(a, b) for b in others[needed(a, others, sent.value.least_distances(a)[others])].tolist()]
+        return kernel(held, pairs)
+
+    # At most as many rows as blocks times groups.
+    dealt = index.blocks.select("block").repartition(min(index.n_blocks, 200)).mapInArrow(places, "tile long, block long").distinct()
+    blocks = index.blocks.select("block", "ids", "weights", "vectors")
+    blocks = blocks if extra is None else blocks.join(extra, "block")
+    return blocks.join(F.broadcast(dealt), "block").groupBy("tile").applyInArrow(run, kind)
