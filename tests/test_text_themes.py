@@ -152,3 +152,27 @@ def test_lexicon_errors_and_files(spark, tmp_path):
     with pytest.raises(ValueError):
         load_lexicon(str(empty))
     assert [r.term for r in Lexicon(({"id": 1, "name": "Only Name"},)).terms(spark, []).collect()] == ["only name"]
+
+
+def test_pairs_that_no_vocabulary_holds_are_not_counted(spark):
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, i % 3, "L", f"2024-0{1 + i % 4}-11", "often seen " * 3 + " ".join(rnd.choices(words, range(300, 0, -1), k=60))) for i in range(240)]
+    posts = spark.createDataFrame(rows, POSTS)
+    targets = H.window_targets(posts)
+    tfidf = H.Tfidf(posts, targets, max_df=1.0, max_features=100)
+    every = H.document_terms(posts)
+    want = H.vocabulary(every, F.lit(targets.count()), max_df=1.0, max_features=100)
+    table = lambda df: sorted((r.term, r.df, r.total, round(r.idf, 9)) for r in df.collect())
+    assert table(tfidf.vocabulary) == table(want) and "often seen" in {r.term for r in want.collect()}
+    pairs = lambda df: df.where("contains(term, ' ')").count()
+    assert pairs(tfidf.terms) < pairs(every) / 3
+
+
+def test_a_task_counts_the_terms_of_bounded_text(spark, monkeypatch):
+    posts = spark.createDataFrame([(i, i % 2, f"alpha beta{i % 5} gamma{i % 7}") for i in range(200)], "row_id long, cluster int, text string")
+    whole = {tuple(r) for r in L.cluster_term_weights(posts).select("cluster", "term", F.round("weight", 9)).collect()}
+    monkeypatch.setattr(L, "TASK_CHARS", 60)
+    found = L.cluster_term_weights(posts)
+    assert {tuple(r) for r in found.select("cluster", "term", F.round("weight", 9)).collect()} == whole
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from topictide.functions.text import DOCUMENT_STOP_WORDS, bigrams, content_tokens, normalized
+from topictide.functions.text import DOCUMENT_STOP_WORDS, content_tokens, normalized
 from topictide.operators.positions import in_ranges, positioned
 from topictide.operators.ranking import most_frequent
 from topictide.operators.temporal import valid_timestamps, with_window
+from topictide.operators.term_counts import full_buckets, pair_counts, token_counts
 from topictide.runtime import bounded_broadcast, materialize
 from topictide.schemas import require_columns
 from topictide.sources.lexicon import Lexicon
@@ -90,30 +91,52 @@ def attach_documents(targets: DataFrame, posts: DataFrame, freq: str = "1M",
     }).withColumn("document_normalized", normalized(F.col("document")))
 
 
+def post_tokens(posts: DataFrame, freq: str = "1M", stop_words=DOCUMENT_STOP_WORDS) -> DataFrame:
+    """(cluster, time_window, row_id, tokens) of each post, and its first and last token;
+    written, as texts are long to split and the tokens are read several times."""
+    tokens = windowed_posts(posts, freq).select(*DOC, "row_id", content_tokens(F.col("text"), stop_words).alias("tokens"))
+    return materialize(tokens.withColumns({"_first": F.get("tokens", F.lit(0)), "_last": F.get("tokens", F.size("tokens") - 1)}))
+
+
+def _runs(tokens: DataFrame, chunk_rows: int | None) -> DataFrame:
+    """(cluster, time_window, tokens): the posts, and every two tokens that meet between posts."""
+    return tokens.select(*DOC, "tokens").unionByName(_pairs_between_posts(tokens, chunk_rows))
+
+
 def document_terms(posts: DataFrame, freq: str = "1M", ngrams: tuple[int, int] = (1, 2),
                    stop_words=DOCUMENT_STOP_WORDS, chunk_rows: int | None = None) -> DataFrame:
     """(cluster, time_window, term, tf) of the 1- and 2-grams of each document."""
     if not (1 <= ngrams[0] <= ngrams[1] <= 2):
         raise ValueError("n-grams of one and two tokens are supported")
-    tokens = windowed_posts(posts, freq).select(
-        *DOC, "row_id", content_tokens(F.col("text"), stop_words).alias("tokens"))
-    inner = []
-    if ngrams[0] == 1:
-        inner.append(F.col("tokens"))
-    if ngrams[1] == 2:
-        inner.append(bigrams(F.col("tokens")))
-    terms = tokens.select(*DOC, F.explode(F.concat(*inner)).alias("term")).where(F.col("term").isNotNull())
-    if ngrams[1] == 2:
-        terms = terms.unionByName(_pairs_between_posts(tokens, chunk_rows))
-    return terms.groupBy(*DOC, "term").agg(F.count(F.lit(1)).alias("tf"))
+    tokens = post_tokens(posts, freq, stop_words)
+    if ngrams == (1, 1):
+        return token_counts(tokens, DOC)
+    pairs = pair_counts(_runs(tokens, chunk_rows), DOC)
+    return pairs if ngrams[0] == 2 else token_counts(tokens, DOC).unionByName(pairs)
+
+
+def frequent_document_terms(posts: DataFrame, targets: DataFrame, n_docs, min_df: int, max_df: float, max_features: int, freq: str = "1M",
+                            stop_words=DOCUMENT_STOP_WORDS, chunk_rows: int | None = None) -> DataFrame:
+    """``document_terms`` of the target documents, less pairs that no vocabulary of
+    ``max_features`` terms can hold.
+
+    Where that many single tokens lie within the df limits, the least frequent of them bounds
+    the total that a pair needs. Pairs are summed by buckets of their hash first; only those of a
+    bucket that reaches the bound, which hold every frequent pair, are counted by document."""
+    tokens = post_tokens(posts, freq, stop_words)
+    single = materialize(token_counts(tokens, DOC).join(targets, DOC, "left_semi"))
+    top = most_frequent(_within_limits(single, n_docs, min_df, max_df), "total", "term", max_features).agg(
+        F.count(F.lit(1)).alias("n"), F.min("total").alias("least")).first()
+    runs = _runs(tokens, chunk_rows)
+    buckets = full_buckets(runs, DOC, top["least"]) if max_features and top["n"] >= max_features else None
+    return single.unionByName(materialize(pair_counts(runs, DOC, buckets).join(targets, DOC, "left_semi")))
 
 
 def _pairs_between_posts(tokens: DataFrame, chunk_rows: int | None) -> DataFrame:
     """Last token of a post with the first token of the next non-empty post: within ranges
     of posts, then from the last post of a range to the first one of the next."""
-    ends = in_ranges(tokens.where(F.size("tokens") > 0).select(
-        *DOC, "row_id", F.element_at("tokens", 1).alias("_first"), F.element_at("tokens", -1).alias("_last")), DOC, "row_id", chunk_rows)
-    pair = F.concat(F.col("_before"), F.lit(" "), F.col("_first")).alias("term")
+    ends = in_ranges(tokens.where("_first IS NOT NULL").select(*DOC, "row_id", "_first", "_last"), DOC, "row_id", chunk_rows)
+    pair = F.array("_before", "_first").alias("tokens")
     within = ends.withColumn("_before", F.lag("_last").over(W.partitionBy(*DOC, "_range").orderBy("_at")))
     borders = ends.groupBy(*DOC, "_range").agg(F.min_by("_first", "_at").alias("_first"), F.max_by("_last", "_at").alias("_last"))
     between = borders.withColumn("_before", F.lag("_last").over(W.partitionBy(*DOC).orderBy("_range")))
@@ -121,13 +144,18 @@ def _pairs_between_posts(tokens: DataFrame, chunk_rows: int | None) -> DataFrame
             .unionByName(between.where("_before IS NOT NULL").select(*DOC, pair)))
 
 
+def _within_limits(terms: DataFrame, n_docs, min_df: int, max_df: float) -> DataFrame:
+    """(term, df, total, _n) of the terms within the df limits."""
+    counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    return materialize(counts.withColumn("_n", n_docs).where(
+        (F.col("df") >= min_df) & (F.col("df") <= F.col("_n") * max_df)))
+
+
 def vocabulary(terms: DataFrame, n_docs, min_df: int = 2, max_df: float = 0.9,
                max_features: int = 50_000) -> DataFrame:
     """(term, df, total, idf) of the most frequent terms within the df limits. Ties at the
     last count go by term."""
-    counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    kept = materialize(counts.withColumn("_n", n_docs).where(
-        (F.col("df") >= min_df) & (F.col("df") <= F.col("_n") * max_df)))
+    kept = _within_limits(terms, n_docs, min_df, max_df)
     return most_frequent(kept, "total", "term", max_features).select(
         "term", "df", "total", (F.ln((F.col("_n") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
 
@@ -135,14 +163,18 @@ def vocabulary(terms: DataFrame, n_docs, min_df: int = 2, max_df: float = 0.9,
 class Tfidf:
     """L2-normalised TF-IDF of the target documents, kept as aggregates.
 
-    The term counts, about as large as the texts, are read three times (vocabulary,
-    norms, scores) and the vocabulary twice, so both are written once."""
+    The counts of the terms that the vocabulary may hold are read three times (vocabulary,
+    norms, scores) and the vocabulary twice, so both are written once, as are the targets."""
 
     def __init__(self, posts: DataFrame, targets: DataFrame, freq: str = "1M", min_df: int = 2,
-                 max_df: float = 0.9, max_features: int = 50_000, **terms):
-        self.targets = targets.select(*DOC).distinct()
-        self.terms = materialize(document_terms(posts, freq, **terms).join(self.targets, DOC, "left_semi"))
-        n_docs = targets.agg(F.count(F.lit(1))).scalar()
+                 max_df: float = 0.9, max_features: int = 50_000, ngrams: tuple[int, int] = (1, 2), **terms):
+        rows = materialize(targets.select(*DOC))
+        self.targets = rows.distinct()
+        n_docs = rows.agg(F.count(F.lit(1))).scalar()
+        if ngrams == (1, 2):
+            self.terms = frequent_document_terms(posts, self.targets, n_docs, min_df, max_df, max_features, freq, **terms)
+        else:
+            self.terms = materialize(document_terms(posts, freq, ngrams, **terms).join(self.targets, DOC, "left_semi"))
         self.vocabulary = materialize(vocabulary(self.terms, n_docs, min_df, max_df, max_features))
         vocab = bounded_broadcast(self.vocabulary.select("term", "idf"), max_features)
         self.raw = self.terms.join(vocab, "term").select(*DOC, "term", (F.col("tf") * F.col("idf")).alias("w"))
