@@ -169,6 +169,37 @@ def test_pairs_that_no_vocabulary_holds_are_not_counted(spark):
     assert pairs(tfidf.terms) < pairs(every) / 3
 
 
+def test_few_pairs_are_counted_where_single_tokens_leave_room(spark):
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, i % 3, "L", f"2024-0{1 + i % 4}-11", "often seen " * 3 + " ".join(rnd.choices(words, range(60, 0, -1), k=60))) for i in range(240)]
+    posts = spark.createDataFrame(rows, POSTS)
+    targets = H.window_targets(posts)
+    tfidf = H.Tfidf(posts, targets, max_df=1.0, max_features=200)
+    every = H.document_terms(posts)
+    want = H.vocabulary(every, F.lit(targets.count()), max_df=1.0, max_features=200)
+    table = lambda df: sorted((r.term, r.df, r.total, round(r.idf, 9)) for r in df.collect())
+    assert table(tfidf.vocabulary) == table(want) and want.count() == 200
+    pairs = lambda df: df.where("contains(term, ' ')").count()
+    assert pairs(tfidf.terms) < pairs(every) / 2
+
+
+def test_runs_have_the_tokens_of_the_text(spark, monkeypatch):
+    from topictide.operators import term_counts as C
+
+    monkeypatch.setattr(C, "RUN_TOKENS", 3)
+    monkeypatch.setattr(C, "PART_BYTES", 12)
+    texts = ["It's NOT 300 \u212a or \u0130x9, caf\u00e9 \u00c5NG", None, "", "the", "one\ntwo\tTHREE three\x00four " * 5, "x" * 40 + " y\u017fz"]
+    posts = spark.createDataFrame([(i, 0, "L", "2024-01-11", t) for i, t in enumerate(texts)], POSTS)
+    runs = H.post_runs(posts).orderBy("at").collect()
+    got = []
+    for r in runs:
+        words = r.vocabulary.decode().split(" ")
+        got += [words[int.from_bytes(r.ids[i:i + 4], "little")] for i in range(0, len(r.ids), 4)]
+    want = posts.orderBy("row_id").select(X.content_tokens(F.col("text")).alias("t")).collect()
+    assert got == [t for r in want for t in r.t] and len(runs) > 3
+
+
 def test_a_task_counts_the_terms_of_bounded_text(spark, monkeypatch):
     posts = spark.createDataFrame([(i, i % 2, f"alpha beta{i % 5} gamma{i % 7}") for i in range(200)], "row_id long, cluster int, text string")
     whole = {tuple(r) for r in L.cluster_term_weights(posts).select("cluster", "term", F.round("weight", 9)).collect()}

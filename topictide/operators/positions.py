@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 from topictide.runtime import materialize
 
 
+def in_order(rows: DataFrame, by: list[str], range_rows: int | None = None) -> DataFrame:
+    """Rows in the order of ``by``, from partition to partition. ``range_rows`` sets about how
+    many rows a partition has."""
+    dealt = rows.repartitionByRange(*by) if range_rows is None else rows.repartitionByRange(max(1, -(-rows.count() // range_rows)), *by)
+    return dealt.sortWithinPartitions(*by)
+
+
 def in_ranges(rows: DataFrame, keys: list[str], order: str, range_rows: int | None = None) -> DataFrame:
     """Rows with ``_range``, the number of their range in the order of (keys, order), and
     ``_at``, which grows with the order. ``range_rows`` sets about how many rows a range has."""
-    by = [*keys, order]
-    dealt = rows.repartitionByRange(*by) if range_rows is None else rows.repartitionByRange(max(1, -(-rows.count() // range_rows)), *by)
-    return materialize(dealt.sortWithinPartitions(*by).withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    return materialize(in_order(rows, [*keys, order], range_rows).withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
 
 
 def positioned(rows: DataFrame, keys: list[str], order: str, range_rows: int | None = None) -> DataFrame:

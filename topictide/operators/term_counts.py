@@ -1,103 +1,215 @@
-"""Counts of tokens and of neighbouring tokens per document: an Arrow batch is counted where it
-lies, with tokens as numbers, and Spark adds up the counts of the batches."""
+"""Counts of tokens and of neighbouring tokens per document: the text of a document goes by in
+runs, a run is split and counted where it lies, with tokens as numbers, and Spark adds up the
+counts of the runs."""
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The kernels travel with the job, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Lower-cased bytes of [a-z0-9]; all others end a token. Of the other letters only the Kelvin
+# sign and the dotted I have an ASCII letter as their lower case.
+TOKEN_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
+KELVIN, DOTTED_I = "K".encode(), "İ".encode()
+RUN_TOKENS = 1 << 19
+PART_BYTES = 1 << 20  # of a document that are split at once
+OUT_ROWS = 100_000
 BUCKET_BITS = 22  # of a hashed pair
+SEGMENT_BITS = 16  # of the buckets that are added up together
+
+
+def _parts(texts: Iterable[bytes]) -> Iterator[bytes]:
+    """Texts as lower-cased tokens and blanks, joined by a blank and cut at one."""
+    held, size = [], 0
+    for text in texts:
+        text = text.replace(KELVIN, b"k").replace(DOTTED_I, b"i ").translate(TOKEN_BYTES)
+        held.append(text)
+        size += len(text)
+        if size < PART_BYTES:
+            continue
+        whole, start = b" ".join(held), 0
+        while len(whole) - start > 2 * PART_BYTES:
+            end = whole.find(b" ", start + PART_BYTES)
+            if end < 0:
+                break
+            yield whole[start:end]
+            start = end
+        yield whole[start:]
+        held, size = [], 0
+    if held:
+        yield b" ".join(held)
+
+
+class _Run:
+    """Neighbouring tokens of a document; stop words are known as -1."""
+
+    def __init__(self, keys: list[pa.Array], stop: list[bytes]):
+        self.keys, self.n_stop, self.known = keys, len(stop), dict.fromkeys(stop, -1)
+        self.ids, self.n = [], 0
+
+    def add(self, part: bytes) -> None:
+        words, known = part.split(), self.known
+        for w in words:
+            if w not in known:
+                known[w] = len(known) - self.n_stop
+        ids = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+        self.ids.append(ids[ids >= 0])
+        self.n += len(self.ids[-1])
+
+    def row(self, at: int, names: list[str]) -> pa.RecordBatch:
+        ids, words = np.concatenate(self.ids), list(self.known)[self.n_stop:]
+        counts = np.bincount(ids, minlength=len(words))
+        return pa.RecordBatch.from_arrays(
+            [*self.keys, pa.array([at], pa.int64()), *(pa.array([x], pa.binary()) for x in (
+                b" ".join(words), counts.astype("<u4").tobytes(), ids.astype("<u4").tobytes())),
+             *(pa.array([words[ids[i]].decode()], pa.string()) for i in (0, -1))], names)
+
+
+def token_runs(rows: DataFrame, keys: list[str], text: str, stop_words: Iterable[str]) -> DataFrame:
+    """(both keys, at, vocabulary, counts, ids, first, last): the tokens of neighbouring rows
+    of a document in their order, RUN_TOKENS or little more to a run; ``at`` grows with it."""
+    stop = sorted({w.encode() for w in stop_words})
+    names = [*keys, "at", "vocabulary", "counts", "ids", "first", "last"]
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
-
-def _numbered(batch: pa.RecordBatch) -> tuple:
-    """The dictionaries of both keys and of the tokens, and of each token its row, the number of
-    the row's keys and its own number."""
-    keys = [batch.column(i).dictionary_encode(null_encoding="encode") for i in (0, 1)]
-    first, second = (k.indices.to_numpy().astype(np.int64) for k in keys)
-    lists = batch.column(2)
-    tokens = lists.flatten().dictionary_encode()
-    sizes = lists.value_lengths().fill_null(0).to_numpy()
-    rows = np.repeat(np.arange(batch.num_rows), sizes)
-    doc = first * len(keys[1].dictionary) + second
-    return [k.dictionary for k in keys], tokens.dictionary, rows, doc[rows], tokens.indices.to_numpy().astype(np.int64)
-
-
-def _neighbours(words: pa.Array, rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of the first tokens of all pairs, and the pairs' buckets."""
-    at = np.flatnonzero(rows[1:] == rows[:-1])
-    own = pd.util.hash_array(np.array(words.to_pylist(), object), categorize=False) if len(words) else np.empty(0, np.uint64)
-    mixed = (own[ids[at]] * np.uint64(0x9E3779B97F4A7C15)) ^ own[ids[at + 1]]
-    return at, ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-
-
-def _counted(keys: list, doc: np.ndarray, term: np.ndarray, terms: pa.Array, names: list[str]) -> pa.RecordBatch:
-    found, tf = np.unique(doc * max(len(terms), 1) + term, return_counts=True)
-    doc, term = np.divmod(found, max(len(terms), 1))
-    first, second = np.divmod(doc, max(len(keys[1]), 1))
-    return pa.RecordBatch.from_arrays([keys[0].take(pa.array(first)), keys[1].take(pa.array(second)), terms.take(pa.array(term)), pa.array(tf.astype(np.int64))], names)
-
-
-def _summed(tokens: DataFrame, keys: list[str], run) -> DataFrame:
-    kinds = ", ".join(f"{k} {tokens.schema[k].dataType.simpleString()}" for k in keys)
-    return tokens.select(*keys, "tokens").mapInArrow(run, f"{kinds}, term string, tf long").groupBy(*keys, "term").agg(F.sum("tf").alias("tf"))
-
-
-def token_counts(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """(both keys, term, tf) of the ``tokens`` of each document."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = None, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = [batch.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy() for i in (0, 1)]
+            edges = np.flatnonzero((codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1])) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+                own = [pa.concat_arrays([batch.column(i).slice(a, 1)]) for i in (0, 1)]
+                if held is None or not all(x.equals(y) for x, y in zip(own, held.keys)):
+                    if held is not None and held.n:
+                        yield held.row(at, names)
+                        at += 1
+                    held = _Run(own, stop)
+                for part in _parts(x.as_py() for x in batch.column(2).slice(a, b - a) if x.is_valid):
+                    held.add(part)
+                    if held.n >= RUN_TOKENS:
+                        yield held.row(at, names)
+                        at += 1
+                        held = _Run(own, stop)
+        if held is not None and held.n:
+            yield held.row(at, names)
+
+    texts = rows.select(*keys, F.col(text).cast("string").cast("binary").alias("_text"))
+    return texts.mapInArrow(run, f"{kinds}, at long, vocabulary binary, counts binary, ids binary, first string, last string")
+
+
+def pair_run(before, after) -> dict:
+    """Columns of the run that two tokens make."""
+    same = before == after
+    return {"vocabulary": F.when(same, before).otherwise(F.concat_ws(" ", before, after)).cast("binary"),
+            "ids": F.when(same, F.lit(np.array([0, 0], "<u4").tobytes())).otherwise(F.lit(np.array([0, 1], "<u4").tobytes()))}
+
+
+def _spelled(batch: pa.RecordBatch, i: int) -> tuple[list[pa.Array], list[str], np.ndarray]:
+    """Keys, vocabulary and the numbers in the fourth column of a run."""
+    return ([batch.column(k).slice(i, 1) for k in (0, 1)], batch.column(2)[i].as_py().decode().split(" "),
+            np.frombuffer(batch.column(3)[i].as_py(), "<u4").astype(np.int64))
+
+
+def _buckets(words: list[str], ids: np.ndarray) -> np.ndarray:
+    """Of all pairs of neighbours."""
+    own = pd.util.hash_array(np.array(words, object), categorize=False)
+    mixed = (own[ids[:-1]] * np.uint64(0x9E3779B97F4A7C15)) ^ own[ids[1:]]
+    return ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _counted(keys: list[pa.Array], terms: list[str], tf: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(terms), OUT_ROWS):
+        some = terms[lo:lo + OUT_ROWS]
+        place = pa.array(np.zeros(len(some), np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [*(k.take(place) for k in keys), pa.array(some, pa.string()), pa.array(tf[lo:lo + OUT_ROWS].astype(np.int64))], names)
+
+
+def _summed(runs: DataFrame, keys: list[str], numbers: str, run) -> DataFrame:
+    kinds = ", ".join(f"{k} {runs.schema[k].dataType.simpleString()}" for k in keys)
+    return runs.select(*keys, "vocabulary", numbers).mapInArrow(run, f"{kinds}, term string, tf long").groupBy(*keys, "term").agg(F.sum("tf").alias("tf"))
+
+
+def token_counts(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """(both keys, term, tf) of the tokens of each document."""
     names = [*keys, "term", "tf"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, words, _, doc, ids = _numbered(batch)
-            yield _counted(of, doc, ids, words, names)
+            for i in range(batch.num_rows):
+                of, words, counts = _spelled(batch, i)
+                yield from _counted(of, words, counts, names)
 
-    return _summed(tokens, keys, run)
+    return _summed(runs, keys, "counts", run)
 
 
-def pair_counts(tokens: DataFrame, keys: list[str], buckets: np.ndarray | None = None) -> DataFrame:
-    """(both keys, term, tf) of the pairs of neighbours in ``tokens``; only of those in the
+def pair_counts(runs: DataFrame, keys: list[str], buckets: np.ndarray | None = None) -> DataFrame:
+    """(both keys, term, tf) of the pairs of neighbours in the runs; only of those in the
     buckets that are true."""
     names = [*keys, "term", "tf"]
-    sent = None if buckets is None else tokens.sparkSession.sparkContext.broadcast(np.packbits(buckets))
+    sent = None if buckets is None else runs.sparkSession.sparkContext.broadcast(np.packbits(buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = None if sent is None else np.unpackbits(sent.value).astype(bool)
         for batch in batches:
-            of, words, rows, doc, ids = _numbered(batch)
-            at, bucket = _neighbours(words, rows, ids)
-            at = at if chosen is None else at[chosen[bucket]]
-            found, pair = np.unique(ids[at] * max(len(words), 1) + ids[at + 1], return_inverse=True)
-            a, b = np.divmod(found, max(len(words), 1))
-            spelled = words.to_pylist()
-            yield _counted(of, doc[at], pair, pa.array([f"{spelled[x]} {spelled[y]}" for x, y in zip(a.tolist(), b.tolist())], pa.string()), names)
+            for i in range(batch.num_rows):
+                of, words, ids = _spelled(batch, i)
+                left, right = ids[:-1], ids[1:]
+                if chosen is not None:
+                    some = chosen[_buckets(words, ids)]
+                    left, right = left[some], right[some]
+                found, tf = np.unique(left * len(words) + right, return_counts=True)
+                a, b = np.divmod(found, len(words))
+                yield from _counted(of, [f"{words[x]} {words[y]}" for x, y in zip(a.tolist(), b.tolist())], tf, names)
 
-    return _summed(tokens, keys, run)
+    return _summed(runs, keys, "ids", run)
 
 
-def full_buckets(tokens: DataFrame, keys: list[str], least: int) -> np.ndarray:
+def full_buckets(runs: DataFrame, keys: list[str], least: int) -> np.ndarray:
     """Which buckets hold ``least`` pairs of neighbours or more: all pairs that are that
     frequent are in these. One flag for each of a fixed number of buckets."""
+    width = 1 << SEGMENT_BITS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(1 << BUCKET_BITS, np.int64)
+        sums, held, size = np.zeros(1 << BUCKET_BITS, np.int64), [], 0
         for batch in batches:
-            _, words, rows, _, ids = _numbered(batch)
-            sums += np.bincount(_neighbours(words, rows, ids)[1], minlength=len(sums))
-        some = np.flatnonzero(sums)
-        for lo in range(0, len(some), 100_000):
-            part = some[lo:lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(sums[part])], ["bucket", "n"])
-
-    sums = tokens.select(*keys, "tokens").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+            for i in range(batch.num_rows):
+                _, words, ids = _spelled(batch, i)
+                held.append(_buckets(words, ids))
+                size += len(held[-1])
+                if size > RUN_TOKENS:
+                    sums += np.bincount(np.concatenate(held), minlength=len(sums))
+                    held, size = [], 0
+        if held:
+            sums += np.bincount(np.concatenate(held), minlength=len(sums))
+        for i in range(0, len(sums), width):
+            if sums[i:i + width].any():
+                # More than ``least`` decides nothing.
+                part = np.minimum(sums[i:i + width], least).astype("<u4")
+                yield pa.RecordBatch.from_arrays([pa.array([i >> SEGMENT_BITS], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["segment", "sums"])
+
+    def add(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width, np.int64)
+        for batch in group:
+            for i in range(batch.num_rows):
+                segment = batch.column(0)[i].as_py()
+                total += np.frombuffer(batch.column(1)[i].as_py(), "<u4")
+        yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], ["segment", "full"])
+
+    sums = runs.select(*keys, "vocabulary", "ids").mapInArrow(run, "segment long, sums binary")
     out = np.zeros(1 << BUCKET_BITS, bool)
-    out[sums.where(F.col("n") >= least).select("bucket").toArrow().column(0).to_numpy()] = True
+    for r in sums.groupBy("segment").applyInArrow(add, "segment long, full binary").collect():
+        out[r.segment << SEGMENT_BITS:(r.segment + 1) << SEGMENT_BITS] = np.unpackbits(np.frombuffer(r.full, np.uint8)).astype(bool)
     return out

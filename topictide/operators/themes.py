@@ -1,28 +1,31 @@
 """Theme activation: TF-IDF scores of topic-window documents against a lexicon.
 
 A document is all posts of one (cluster, window) in row order. The largest one may
-hold a third of all posts, so the scoring never builds it: term counts are summed
-over posts, and the word pairs that span two neighbouring posts are added from the
-posts' first and last tokens, neighbour by neighbour within row_id chunks.
+hold a third of all posts, so the scoring never builds it: posts are dealt by ranges of
+(document, row_id), terms are counted over runs of tokens of bounded length, and the word
+pairs that span two runs are added from the runs' first and last tokens.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from topictide.functions.text import DOCUMENT_STOP_WORDS, content_tokens, normalized
-from topictide.operators.positions import in_ranges, positioned
+from topictide.operators.positions import in_order, positioned
 from topictide.operators.ranking import most_frequent
 from topictide.operators.temporal import valid_timestamps, with_window
-from topictide.operators.term_counts import full_buckets, pair_counts, token_counts
+from topictide.operators.term_counts import BUCKET_BITS, full_buckets, pair_counts, pair_run, token_counts, token_runs
 from topictide.runtime import bounded_broadcast, materialize
 from topictide.schemas import require_columns
 from topictide.sources.lexicon import Lexicon
 
 DOC = ["cluster", "time_window"]
 PART_ROWS = 10_000
+SLICE = 64  # buckets of pairs, of which one is counted first
+SLICE_MARGIN = 1.15  # by which a slice may be off
 GLOBAL_THRESHOLD = 0.03
 REASONING = "Share of the theme's terms in the weighted terms of the topic's posts; active from the theme's threshold on."
 
@@ -91,16 +94,19 @@ def attach_documents(targets: DataFrame, posts: DataFrame, freq: str = "1M",
     }).withColumn("document_normalized", normalized(F.col("document")))
 
 
-def post_tokens(posts: DataFrame, freq: str = "1M", stop_words=DOCUMENT_STOP_WORDS) -> DataFrame:
-    """(cluster, time_window, row_id, tokens) of each post, and its first and last token;
-    written, as texts are long to split and the tokens are read several times."""
-    tokens = windowed_posts(posts, freq).select(*DOC, "row_id", content_tokens(F.col("text"), stop_words).alias("tokens"))
-    return materialize(tokens.withColumns({"_first": F.get("tokens", F.lit(0)), "_last": F.get("tokens", F.size("tokens") - 1)}))
+def post_runs(posts: DataFrame, freq: str = "1M", stop_words=DOCUMENT_STOP_WORDS, chunk_rows: int | None = None) -> DataFrame:
+    """The tokens of each document in row order, as runs; written, as they are read several
+    times. Texts lie by document, so that a run has one and a term is few entries."""
+    rows = windowed_posts(posts, freq).select(*DOC, "row_id", "text")
+    return materialize(token_runs(in_order(rows, [*DOC, "row_id"], chunk_rows), DOC, "text", stop_words))
 
 
-def _runs(tokens: DataFrame, chunk_rows: int | None) -> DataFrame:
-    """(cluster, time_window, tokens): the posts, and every two tokens that meet between posts."""
-    return tokens.select(*DOC, "tokens").unionByName(_pairs_between_posts(tokens, chunk_rows))
+def _with_borders(runs: DataFrame) -> DataFrame:
+    """(cluster, time_window, vocabulary, ids): the runs, and every two tokens that meet between runs."""
+    before = F.lag("last").over(W.partitionBy(*DOC).orderBy("at"))
+    borders = runs.select(*DOC, "first", before.alias("_before")).where("_before IS NOT NULL")
+    meet = borders.select(*DOC, *(c.alias(k) for k, c in pair_run(F.col("_before"), F.col("first")).items()))
+    return runs.select(*DOC, "vocabulary", "ids").unionByName(meet)
 
 
 def document_terms(posts: DataFrame, freq: str = "1M", ngrams: tuple[int, int] = (1, 2),
@@ -108,40 +114,57 @@ def document_terms(posts: DataFrame, freq: str = "1M", ngrams: tuple[int, int] =
     """(cluster, time_window, term, tf) of the 1- and 2-grams of each document."""
     if not (1 <= ngrams[0] <= ngrams[1] <= 2):
         raise ValueError("n-grams of one and two tokens are supported")
-    tokens = post_tokens(posts, freq, stop_words)
+    runs = post_runs(posts, freq, stop_words, chunk_rows)
     if ngrams == (1, 1):
-        return token_counts(tokens, DOC)
-    pairs = pair_counts(_runs(tokens, chunk_rows), DOC)
-    return pairs if ngrams[0] == 2 else token_counts(tokens, DOC).unionByName(pairs)
+        return token_counts(runs, DOC)
+    pairs = pair_counts(_with_borders(runs), DOC)
+    return pairs if ngrams[0] == 2 else token_counts(runs, DOC).unionByName(pairs)
 
 
 def frequent_document_terms(posts: DataFrame, targets: DataFrame, n_docs, min_df: int, max_df: float, max_features: int, freq: str = "1M",
-                            stop_words=DOCUMENT_STOP_WORDS, chunk_rows: int | None = None) -> DataFrame:
+                            stop_words=DOCUMENT_STOP_WORDS, chunk_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``document_terms`` of the target documents, less pairs that no vocabulary of
-    ``max_features`` terms can hold.
-
-    Where that many single tokens lie within the df limits, the least frequent of them bounds
-    the total that a pair needs. Pairs are summed by buckets of their hash first; only those of a
-    bucket that reaches the bound, which hold every frequent pair, are counted by document."""
-    tokens = post_tokens(posts, freq, stop_words)
-    single = materialize(token_counts(tokens, DOC).join(targets, DOC, "left_semi"))
-    top = most_frequent(_within_limits(single, n_docs, min_df, max_df), "total", "term", max_features).agg(
-        F.count(F.lit(1)).alias("n"), F.min("total").alias("least")).first()
-    runs = _runs(tokens, chunk_rows)
-    buckets = full_buckets(runs, DOC, top["least"]) if max_features and top["n"] >= max_features else None
-    return single.unionByName(materialize(pair_counts(runs, DOC, buckets).join(targets, DOC, "left_semi")))
-
-
-def _pairs_between_posts(tokens: DataFrame, chunk_rows: int | None) -> DataFrame:
-    """Last token of a post with the first token of the next non-empty post: within ranges
-    of posts, then from the last post of a range to the first one of the next."""
-    ends = in_ranges(tokens.where("_first IS NOT NULL").select(*DOC, "row_id", "_first", "_last"), DOC, "row_id", chunk_rows)
-    pair = F.array("_before", "_first").alias("tokens")
-    within = ends.withColumn("_before", F.lag("_last").over(W.partitionBy(*DOC, "_range").orderBy("_at")))
-    borders = ends.groupBy(*DOC, "_range").agg(F.min_by("_first", "_at").alias("_first"), F.max_by("_last", "_at").alias("_last"))
-    between = borders.withColumn("_before", F.lag("_last").over(W.partitionBy(*DOC).orderBy("_range")))
-    return (within.where("_before IS NOT NULL").select(*DOC, pair)
-            .unionByName(between.where("_before IS NOT NULL").select(*DOC, pair)))
+    ``max_features`` terms can hold, and those of their terms that lie within the df limits.
+
+    Pairs of every SLICE-th bucket of hashes are counted exactly and tell which total the last
+    term of the vocabulary may have. All pairs are then summed by bucket, and only those of a
+    bucket that reaches this total, which hold every pair as frequent, are counted by document.
+    Where fewer terms than the vocabulary holds have that total and lie within the df limits,
+    it was too high, and half of it is taken."""
+    runs = post_runs(posts, freq, stop_words, chunk_rows)
+    single = materialize(token_counts(runs, DOC).join(targets, DOC, "left_semi"))
+    pairs = _with_borders(runs)
+
+    def counted(buckets) -> DataFrame:
+        return materialize(pair_counts(pairs, DOC, buckets).join(targets, DOC, "left_semi"))
+
+    def limited(terms: DataFrame) -> DataFrame:
+        return _within_limits(terms, n_docs, min_df, max_df)
+
+    least = 0
+    if max_features:
+        some = limited(counted(np.arange(1 << BUCKET_BITS) % SLICE == 0))
+        least = _last_total(limited(single).withColumn("_times", F.lit(1)).unionByName(some.withColumn("_times", F.lit(SLICE))), max_features)
+    while least > min_df:
+        terms = single.unionByName(counted(full_buckets(pairs, DOC, least)))
+        kept = limited(terms)
+        if kept.where(F.col("total") >= least).count() >= max_features:
+            return terms, kept
+        least //= 2
+    terms = single.unionByName(counted(None))
+    return terms, limited(terms)
+
+
+def _last_total(terms: DataFrame, most: int) -> int:
+    """A total that somewhat more than ``most`` terms have at least, each taken ``_times``; 0
+    where there are not so many."""
+    octave = F.floor(F.log2(F.col("total").cast("double")) * 16)
+    upto = 0
+    for r in terms.groupBy(octave.alias("o")).agg(F.sum("_times").alias("n")).orderBy(F.desc("o")).collect():
+        upto += r["n"]
+        if upto >= SLICE_MARGIN * most:
+            return int(2 ** (r["o"] / 16))
+    return 0
 
 
 def _within_limits(terms: DataFrame, n_docs, min_df: int, max_df: float) -> DataFrame:
@@ -155,7 +178,10 @@ def vocabulary(terms: DataFrame, n_docs, min_df: int = 2, max_df: float = 0.9,
                max_features: int = 50_000) -> DataFrame:
     """(term, df, total, idf) of the most frequent terms within the df limits. Ties at the
     last count go by term."""
-    kept = _within_limits(terms, n_docs, min_df, max_df)
+    return _most_frequent_terms(_within_limits(terms, n_docs, min_df, max_df), max_features)
+
+
+def _most_frequent_terms(kept: DataFrame, max_features: int) -> DataFrame:
     return most_frequent(kept, "total", "term", max_features).select(
         "term", "df", "total", (F.ln((F.col("_n") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
 
@@ -172,10 +198,11 @@ class Tfidf:
         self.targets = rows.distinct()
         n_docs = rows.agg(F.count(F.lit(1))).scalar()
         if ngrams == (1, 2):
-            self.terms = frequent_document_terms(posts, self.targets, n_docs, min_df, max_df, max_features, freq, **terms)
+            self.terms, kept = frequent_document_terms(posts, self.targets, n_docs, min_df, max_df, max_features, freq, **terms)
         else:
             self.terms = materialize(document_terms(posts, freq, ngrams, **terms).join(self.targets, DOC, "left_semi"))
-        self.vocabulary = materialize(vocabulary(self.terms, n_docs, min_df, max_df, max_features))
+            kept = _within_limits(self.terms, n_docs, min_df, max_df)
+        self.vocabulary = materialize(_most_frequent_terms(kept, max_features))
         vocab = bounded_broadcast(self.vocabulary.select("term", "idf"), max_features)
         self.raw = self.terms.join(vocab, "term").select(*DOC, "term", (F.col("tf") * F.col("idf")).alias("w"))
 
