@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.temporal import NATION_STATS, nation_stats
-from catalog.themes import SCORES, activations, doc_stats, theme_map
-from catalog.views import EVENT_THRESHOLDS, LEXICON, event_texts, r6, register, with_
+from catalog.themes import SCORES, activations, doc_stats, theme_map, theme_scores
+from catalog.views import EVENT_THRESHOLDS, LEXICON, PER_THEME, event_texts, r6, register, with_
 from topictide.operators import evaluation as V
 from topictide.operators import features as X
 from topictide.operators import themes as H
@@ -428,8 +428,9 @@ def _saved(spark, sf):
 @register("E13_trained_forecast")
 def _trained(spark, sf):
     stats = materialize(doc_stats(spark, sf))
-    wide = materialize(H.wide(activations(spark, sf, stats), LEXICON))
+    scores = materialize(theme_scores(spark, sf, stats))  # of the model and of the map
+    wide = materialize(H.wide(H.activate(scores, LEXICON, PER_THEME), LEXICON))
     model = training.train_direction_model(stats, wide, SETTINGS)
     return forecast.trained_forecast(
-        event_texts(spark, sf), LEXICON, cluster_profiles(stats), stats, model, theme_map(spark, sf, stats),
+        event_texts(spark, sf), LEXICON, cluster_profiles(stats), stats, model, theme_map(spark, sf, stats, scores),
         per_theme=EVENT_THRESHOLDS).select("event_id", "predicted_direction", "method", "confidence", "risk_band", "model_name")

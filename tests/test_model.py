@@ -126,3 +126,24 @@ def test_train_save_load_forecast(spark, stats, tmp_path):
     out = trained_forecast(ev, lex, cluster_profiles(stats), stats, again, default=0.5).collect()
     assert len(out) == 2 and {r.method for r in out} == {"trained"}
     assert all(r.predicted_direction in V.DIRECTIONS and sum(r.class_probabilities.values()) == pytest.approx(1) for r in out)
+
+
+def test_a_trained_forecast_scores_the_themes_once(spark, tmp_path, monkeypatch):
+    from catalog import model as C
+    from catalog import themes
+
+    docs = [(i, "the model of protein folding and policy " * 2, "en", "src1") for i in range(120)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    built, seen = [], {}
+    tfidf = themes.H.Tfidf
+    monkeypatch.setattr(themes.H, "Tfidf", lambda *a, **k: built.append(1) or tfidf(*a, **k))
+    monkeypatch.setattr(C, "event_texts", lambda *a: None)
+    monkeypatch.setattr(C.training, "train_direction_model", lambda stats, wide, settings: seen.update(wide=wide.count()))
+
+    def forecast(events, lexicon, profiles, stats, model, mapping, per_theme):
+        seen["themes"] = mapping.count()
+        return spark.range(0).selectExpr("id AS event_id", *(f"'' AS {c}" for c in ("predicted_direction", "method", "confidence", "risk_band", "model_name")))
+
+    monkeypatch.setattr(C.forecast, "trained_forecast", forecast)
+    C._trained(spark, str(tmp_path))
+    assert len(built) == 1 and seen["themes"] == len(C.LEXICON.ids) and seen["wide"] > 0
