@@ -169,6 +169,21 @@ def test_pairs_that_no_vocabulary_holds_are_not_counted(spark):
     assert pairs(tfidf.terms) < pairs(every) / 3
 
 
+def test_rare_tokens_are_not_counted_by_document(spark):
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, i % 3, "L", f"2024-0{1 + i % 4}-11", " ".join(rnd.choices(words, k=60) + [f"x{rnd.randrange(4000)}" for _ in range(40)])) for i in range(300)]
+    posts = spark.createDataFrame(rows, POSTS)
+    targets = H.window_targets(posts)
+    tfidf = H.Tfidf(posts, targets, max_df=1.0, max_features=120)
+    every = H.document_terms(posts)
+    want = H.vocabulary(every, F.lit(targets.count()), max_df=1.0, max_features=120)
+    table = lambda df: sorted((r.term, r.df, r.total, round(r.idf, 9)) for r in df.collect())
+    assert table(tfidf.vocabulary) == table(want) and want.count() == 120
+    tokens = lambda df: df.where("NOT contains(term, ' ')").count()
+    assert tokens(tfidf.terms) < tokens(every) / 2
+
+
 def test_few_pairs_are_counted_where_single_tokens_leave_room(spark):
     rnd = random.Random(9)
     words = [f"w{i}" for i in range(60)]

@@ -8,8 +8,8 @@ import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +24,7 @@ KELVIN, DOTTED_I = "K".encode(), "İ".encode()
 RUN_TOKENS = 1 << 19
 PART_BYTES = 1 << 20  # of a document that are split at once
 OUT_ROWS = 100_000
-BUCKET_BITS = 22  # of a hashed pair
+BUCKET_BITS = 22  # of a hashed token or pair
 SEGMENT_BITS = 16  # of the buckets that are added up together
 
 
@@ -51,39 +51,36 @@ def _parts(texts: Iterable[bytes]) -> Iterator[bytes]:
 
 
 class _Run:
-    """Neighbouring tokens of a document; stop words are known as -1."""
+    """Neighbouring tokens of a document."""
 
-    def __init__(self, keys: list[pa.Array], stop: list[bytes]):
-        self.keys, self.n_stop, self.known = keys, len(stop), dict.fromkeys(stop, -1)
-        self.ids, self.n = [], 0
+    def __init__(self, keys: list[pa.Array], stop: pa.Array):
+        self.keys, self.stop, self.tokens, self.n = keys, stop, [], 0
 
     def add(self, part: bytes) -> None:
-        words, known = part.split(), self.known
-        for w in words:
-            if w not in known:
-                known[w] = len(known) - self.n_stop
-        ids = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
-        self.ids.append(ids[ids >= 0])
-        self.n += len(self.ids[-1])
+        tokens = pc.ascii_split_whitespace(pa.array([part], pa.binary()).cast(pa.string())).flatten()
+        self.tokens.append(tokens.filter(pc.invert(pc.is_in(tokens, value_set=self.stop))))
+        self.n += len(self.tokens[-1])
 
     def row(self, at: int, names: list[str]) -> pa.RecordBatch:
-        ids, words = np.concatenate(self.ids), list(self.known)[self.n_stop:]
+        found = pa.concat_arrays(self.tokens).dictionary_encode()
+        words, ids = found.dictionary, found.indices.to_numpy()
         counts = np.bincount(ids, minlength=len(words))
+        vocabulary = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")
         return pa.RecordBatch.from_arrays(
-            [*self.keys, pa.array([at], pa.int64()), *(pa.array([x], pa.binary()) for x in (
-                b" ".join(words), counts.astype("<u4").tobytes(), ids.astype("<u4").tobytes())),
-             *(pa.array([words[ids[i]].decode()], pa.string()) for i in (0, -1))], names)
+            [*self.keys, pa.array([at], pa.int64()), vocabulary.cast(pa.binary()),
+             *(pa.array([x.astype("<u4").tobytes()], pa.binary()) for x in (counts, ids)),
+             *(pa.array([words[int(ids[i])].as_py()], pa.string()) for i in (0, -1))], names)
 
 
 def token_runs(rows: DataFrame, keys: list[str], text: str, stop_words: Iterable[str]) -> DataFrame:
     """(both keys, at, vocabulary, counts, ids, first, last): the tokens of neighbouring rows
     of a document in their order, RUN_TOKENS or little more to a run; ``at`` grows with it."""
-    stop = sorted({w.encode() for w in stop_words})
+    stop = sorted({"", *stop_words})  # blanks at an end leave an empty token
     names = [*keys, "at", "vocabulary", "counts", "ids", "first", "last"]
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = None, TaskContext.get().partitionId() << 32
+        held, at, none = None, TaskContext.get().partitionId() << 32, pa.array(stop, pa.string())
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -95,13 +92,13 @@ def token_runs(rows: DataFrame, keys: list[str], text: str, stop_words: Iterable
                     if held is not None and held.n:
                         yield held.row(at, names)
                         at += 1
-                    held = _Run(own, stop)
+                    held = _Run(own, none)
                 for part in _parts(x.as_py() for x in batch.column(2).slice(a, b - a) if x.is_valid):
                     held.add(part)
                     if held.n >= RUN_TOKENS:
                         yield held.row(at, names)
                         at += 1
-                        held = _Run(own, stop)
+                        held = _Run(own, none)
         if held is not None and held.n:
             yield held.row(at, names)
 
@@ -110,75 +107,79 @@ def token_runs(rows: DataFrame, keys: list[str], text: str, stop_words: Iterable
 
 
 def pair_run(before, after) -> dict:
-    """Columns of the run that two tokens make."""
+    """Columns of the run that two tokens make; both are counted where they stand."""
     same = before == after
     return {"vocabulary": F.when(same, before).otherwise(F.concat_ws(" ", before, after)).cast("binary"),
+            "counts": F.when(same, F.lit(bytearray(4))).otherwise(F.lit(bytearray(8))),
             "ids": F.when(same, F.lit(np.array([0, 0], "<u4").tobytes())).otherwise(F.lit(np.array([0, 1], "<u4").tobytes()))}
 
 
-def _spelled(batch: pa.RecordBatch, i: int) -> tuple[list[pa.Array], list[str], np.ndarray]:
-    """Keys, vocabulary and the numbers in the fourth column of a run."""
-    return ([batch.column(k).slice(i, 1) for k in (0, 1)], batch.column(2)[i].as_py().decode().split(" "),
-            np.frombuffer(batch.column(3)[i].as_py(), "<u4").astype(np.int64))
+def _spelled(batch: pa.RecordBatch, i: int) -> tuple[list[pa.Array], pa.Array, np.ndarray, np.ndarray]:
+    """Keys, vocabulary, counts and tokens of a run."""
+    words = pc.split_pattern(batch.column(2).slice(i, 1).cast(pa.string()), " ").flatten()
+    return ([batch.column(k).slice(i, 1) for k in (0, 1)], words,
+            *(np.frombuffer(batch.column(c)[i].as_py(), "<u4").astype(np.int64) for c in (3, 4)))
 
 
-def _buckets(words: list[str], ids: np.ndarray) -> np.ndarray:
-    """Of all pairs of neighbours."""
-    own = pd.util.hash_array(np.array(words, object), categorize=False)
-    mixed = (own[ids[:-1]] * np.uint64(0x9E3779B97F4A7C15)) ^ own[ids[1:]]
-    return ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def _hashes(words: pa.Array) -> np.ndarray:
+    """64 bits of each word: a polynomial of its bytes, mixed."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+    starts, n = offsets[:-1] - offsets[0], np.diff(offsets)
+    powers = np.cumprod(np.full(n.max(), 0x9E3779B97F4A7C15, np.uint64))
+    h = np.add.reduceat(data * powers[np.arange(len(data)) - np.repeat(starts, n)], starts)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
 
 
-def _counted(keys: list[pa.Array], terms: list[str], tf: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
-    for lo in range(0, len(terms), OUT_ROWS):
-        some = terms[lo:lo + OUT_ROWS]
-        place = pa.array(np.zeros(len(some), np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [*(k.take(place) for k in keys), pa.array(some, pa.string()), pa.array(tf[lo:lo + OUT_ROWS].astype(np.int64))], names)
+def _buckets(own: np.ndarray) -> np.ndarray:
+    return ((own * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def _summed(runs: DataFrame, keys: list[str], numbers: str, run) -> DataFrame:
-    kinds = ", ".join(f"{k} {runs.schema[k].dataType.simpleString()}" for k in keys)
-    return runs.select(*keys, "vocabulary", numbers).mapInArrow(run, f"{kinds}, term string, tf long").groupBy(*keys, "term").agg(F.sum("tf").alias("tf"))
-
+def _pair_buckets(own: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of all pairs of neighbours."""
+    return _buckets((own * np.uint64(0x9E3779B97F4A7C15))[ids[:-1]] ^ own[ids[1:]])
 
-def token_counts(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """(both keys, term, tf) of the tokens of each document."""
-    names = [*keys, "term", "tf"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                of, words, counts = _spelled(batch, i)
-                yield from _counted(of, words, counts, names)
-
-    return _summed(runs, keys, "counts", run)
+def _counted(keys: list[pa.Array], terms: pa.Array, tf: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(terms), OUT_ROWS):
+        some = terms[lo:lo + OUT_ROWS]
+        place = pa.array(np.zeros(len(some), np.int64))
+        yield pa.RecordBatch.from_arrays([*(k.take(place) for k in keys), some, pa.array(tf[lo:lo + OUT_ROWS].astype(np.int64))], names)
 
 
-def pair_counts(runs: DataFrame, keys: list[str], buckets: np.ndarray | None = None) -> DataFrame:
-    """(both keys, term, tf) of the pairs of neighbours in the runs; only of those in the
-    buckets that are true."""
+def run_counts(runs: DataFrame, keys: list[str], ngrams: tuple[int, int] = (1, 2),
+               buckets: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(both keys, term, tf) of the tokens and the pairs of neighbours in the runs; only of
+    those in the buckets that are true, for tokens and for pairs."""
     names = [*keys, "term", "tf"]
-    sent = None if buckets is None else runs.sparkSession.sparkContext.broadcast(np.packbits(buckets))
+    kinds = ", ".join(f"{k} {runs.schema[k].dataType.simpleString()}" for k in keys)
+    sent = None if buckets is None else runs.sparkSession.sparkContext.broadcast([np.packbits(b) for b in buckets])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen = None if sent is None else np.unpackbits(sent.value).astype(bool)
+        chosen = None if sent is None else [np.unpackbits(b).astype(bool) for b in sent.value]
         for batch in batches:
             for i in range(batch.num_rows):
-                of, words, ids = _spelled(batch, i)
-                left, right = ids[:-1], ids[1:]
-                if chosen is not None:
-                    some = chosen[_buckets(words, ids)]
-                    left, right = left[some], right[some]
-                found, tf = np.unique(left * len(words) + right, return_counts=True)
-                a, b = np.divmod(found, len(words))
-                yield from _counted(of, [f"{words[x]} {words[y]}" for x, y in zip(a.tolist(), b.tolist())], tf, names)
-
-    return _summed(runs, keys, "ids", run)
+                of, words, counts, ids = _spelled(batch, i)
+                own = None if chosen is None else _hashes(words)
+                if ngrams[0] == 1:
+                    some = counts > 0 if chosen is None else (counts > 0) & chosen[0][_buckets(own)]
+                    yield from _counted(of, words.filter(pa.array(some)), counts[some], names)
+                if ngrams[1] == 2:
+                    left, right = ids[:-1], ids[1:]
+                    if chosen is not None:
+                        some = chosen[1][_pair_buckets(own, ids)]
+                        left, right = left[some], right[some]
+                    found, tf = np.unique(left * len(words) + right, return_counts=True)
+                    a, b = (words.take(pa.array(x)) for x in np.divmod(found, len(words)))
+                    yield from _counted(of, pc.binary_join_element_wise(a, b, " "), tf, names)
+
+    counted = runs.select(*keys, "vocabulary", "counts", "ids").mapInArrow(run, f"{kinds}, term string, tf long")
+    return counted.groupBy(*keys, "term").agg(F.sum("tf").alias("tf"))
 
 
 def full_buckets(runs: DataFrame, keys: list[str], least: int) -> np.ndarray:
-    """Which buckets hold ``least`` pairs of neighbours or more: all pairs that are that
+    """Which buckets hold ``least`` tokens and pairs of neighbours or more: all that are that
     frequent are in these. One flag for each of a fixed number of buckets."""
     width = 1 << SEGMENT_BITS
 
@@ -186,8 +187,10 @@ def full_buckets(runs: DataFrame, keys: list[str], least: int) -> np.ndarray:
         sums, held, size = np.zeros(1 << BUCKET_BITS, np.int64), [], 0
         for batch in batches:
             for i in range(batch.num_rows):
-                _, words, ids = _spelled(batch, i)
-                held.append(_buckets(words, ids))
+                _, words, counts, ids = _spelled(batch, i)
+                own = _hashes(words)
+                np.add.at(sums, _buckets(own), counts)
+                held.append(_pair_buckets(own, ids))
                 size += len(held[-1])
                 if size > RUN_TOKENS:
                     sums += np.bincount(np.concatenate(held), minlength=len(sums))
@@ -208,7 +211,7 @@ def full_buckets(runs: DataFrame, keys: list[str], least: int) -> np.ndarray:
                 total += np.frombuffer(batch.column(1)[i].as_py(), "<u4")
         yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], ["segment", "full"])
 
-    sums = runs.select(*keys, "vocabulary", "ids").mapInArrow(run, "segment long, sums binary")
+    sums = runs.select(*keys, "vocabulary", "counts", "ids").mapInArrow(run, "segment long, sums binary")
     out = np.zeros(1 << BUCKET_BITS, bool)
     for r in sums.groupBy("segment").applyInArrow(add, "segment long, full binary").collect():
         out[r.segment << SEGMENT_BITS:(r.segment + 1) << SEGMENT_BITS] = np.unpackbits(np.frombuffer(r.full, np.uint8)).astype(bool)

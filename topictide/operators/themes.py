@@ -17,14 +17,14 @@ from topictide.functions.text import DOCUMENT_STOP_WORDS, content_tokens, normal
 from topictide.operators.positions import in_order, positioned
 from topictide.operators.ranking import most_frequent
 from topictide.operators.temporal import valid_timestamps, with_window
-from topictide.operators.term_counts import BUCKET_BITS, full_buckets, pair_counts, pair_run, token_counts, token_runs
+from topictide.operators.term_counts import BUCKET_BITS, full_buckets, pair_run, run_counts, token_runs
 from topictide.runtime import bounded_broadcast, materialize
 from topictide.schemas import require_columns
 from topictide.sources.lexicon import Lexicon
 
 DOC = ["cluster", "time_window"]
 PART_ROWS = 10_000
-SLICE = 64  # buckets of pairs, of which one is counted first
+SLICES = (8, 64)  # buckets of tokens and of pairs, of which one is counted first
 SLICE_MARGIN = 1.15  # by which a slice may be off
 GLOBAL_THRESHOLD = 0.03
 REASONING = "Share of the theme's terms in the weighted terms of the topic's posts; active from the theme's threshold on."
@@ -102,11 +102,11 @@ def post_runs(posts: DataFrame, freq: str = "1M", stop_words=DOCUMENT_STOP_WORDS
 
 
 def _with_borders(runs: DataFrame) -> DataFrame:
-    """(cluster, time_window, vocabulary, ids): the runs, and every two tokens that meet between runs."""
+    """(cluster, time_window, vocabulary, counts, ids): the runs, and every two tokens that meet between runs."""
     before = F.lag("last").over(W.partitionBy(*DOC).orderBy("at"))
     borders = runs.select(*DOC, "first", before.alias("_before")).where("_before IS NOT NULL")
     meet = borders.select(*DOC, *(c.alias(k) for k, c in pair_run(F.col("_before"), F.col("first")).items()))
-    return runs.select(*DOC, "vocabulary", "ids").unionByName(meet)
+    return runs.select(*DOC, "vocabulary", "counts", "ids").unionByName(meet)
 
 
 def document_terms(posts: DataFrame, freq: str = "1M", ngrams: tuple[int, int] = (1, 2),
@@ -115,43 +115,39 @@ def document_terms(posts: DataFrame, freq: str = "1M", ngrams: tuple[int, int] =
     if not (1 <= ngrams[0] <= ngrams[1] <= 2):
         raise ValueError("n-grams of one and two tokens are supported")
     runs = post_runs(posts, freq, stop_words, chunk_rows)
-    if ngrams == (1, 1):
-        return token_counts(runs, DOC)
-    pairs = pair_counts(_with_borders(runs), DOC)
-    return pairs if ngrams[0] == 2 else token_counts(runs, DOC).unionByName(pairs)
+    return run_counts(runs if ngrams == (1, 1) else _with_borders(runs), DOC, ngrams)
 
 
 def frequent_document_terms(posts: DataFrame, targets: DataFrame, n_docs, min_df: int, max_df: float, max_features: int, freq: str = "1M",
                             stop_words=DOCUMENT_STOP_WORDS, chunk_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """``document_terms`` of the target documents, less pairs that no vocabulary of
+    """``document_terms`` of the target documents, less terms that no vocabulary of
     ``max_features`` terms can hold, and those of their terms that lie within the df limits.
 
-    Pairs of every SLICE-th bucket of hashes are counted exactly and tell which total the last
-    term of the vocabulary may have. All pairs are then summed by bucket, and only those of a
-    bucket that reaches this total, which hold every pair as frequent, are counted by document.
+    Terms of every so many-th bucket of hashes (SLICES) are counted exactly and tell which total
+    the last term of the vocabulary may have. All terms are then summed by bucket, and only those
+    of a bucket that reaches this total, which hold every term as frequent, are counted by document.
     Where fewer terms than the vocabulary holds have that total and lie within the df limits,
     it was too high, and half of it is taken."""
-    runs = post_runs(posts, freq, stop_words, chunk_rows)
-    single = materialize(token_counts(runs, DOC).join(targets, DOC, "left_semi"))
-    pairs = _with_borders(runs)
+    runs = _with_borders(post_runs(posts, freq, stop_words, chunk_rows))
 
     def counted(buckets) -> DataFrame:
-        return materialize(pair_counts(pairs, DOC, buckets).join(targets, DOC, "left_semi"))
+        return materialize(run_counts(runs, DOC, buckets=buckets).join(targets, DOC, "left_semi"))
 
     def limited(terms: DataFrame) -> DataFrame:
         return _within_limits(terms, n_docs, min_df, max_df)
 
     least = 0
     if max_features:
-        some = limited(counted(np.arange(1 << BUCKET_BITS) % SLICE == 0))
-        least = _last_total(limited(single).withColumn("_times", F.lit(1)).unionByName(some.withColumn("_times", F.lit(SLICE))), max_features)
+        some = limited(counted([np.arange(1 << BUCKET_BITS) % n == 0 for n in SLICES]))
+        least = _last_total(some.withColumn("_times", F.when(F.contains(F.col("term"), F.lit(" ")), SLICES[1]).otherwise(SLICES[0])), max_features)
     while least > min_df:
-        terms = single.unionByName(counted(full_buckets(pairs, DOC, least)))
+        full = full_buckets(runs, DOC, least)
+        terms = counted([full, full])
         kept = limited(terms)
         if kept.where(F.col("total") >= least).count() >= max_features:
             return terms, kept
         least //= 2
-    terms = single.unionByName(counted(None))
+    terms = counted(None)
     return terms, limited(terms)
 
 
