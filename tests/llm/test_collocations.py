@@ -112,3 +112,28 @@ def test_products_beyond_64_bits(spark):
 def test_empty(spark):
     assert C.collocations(spark.createDataFrame([], "lang string, text string")).collect() == []
     assert C.collocations(spark.createDataFrame([("en", "one two three")], "lang string, text string")).collect() == []
+
+
+def test_a_block_is_looked_up_in_steps_of_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    vocabulary = [b"w%d" % i for i in range(2000)]
+    keys = C.word_keys(vocabulary)
+    known = C.Known(keys[:1500], np.arange(1500, 0, -1), None)
+    words = rng.integers(0, 2001, 400_000).astype("<u4")
+    block = (b" ".join(vocabulary), C.packed(words), C.packed(np.array([5, 6, 70_000], "<u4")))
+    tracemalloc.start()
+    found = C._level_pairs(*block, 1, known)
+    C.tile_counts(*found[0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 28e6, peak
+    few = words[:3000]
+    block = (block[0], C.packed(few), C.packed(np.array([5, 6, 70], "<u4")))
+    for level in (1, 2, 3):
+        monkeypatch.setattr(C, "STEP_WORDS", 1 << 16)
+        whole = C._level_pairs(*block, level, known)
+        monkeypatch.setattr(C, "STEP_WORDS", 7)
+        for a, b in zip(whole, C._level_pairs(*block, level, known)):
+            assert [x.tolist() for x in a] == [x.tolist() for x in b]

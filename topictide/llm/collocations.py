@@ -31,12 +31,13 @@ BLOCK_VOCABULARY = 80_000
 HELD_WORDS = 1_500_000  # in the unfinished blocks of a task
 TILE = 256  # ranks on a side
 DENSE_HITS = TILE * TILE // 16  # from so many hits on a tile is counted by direct addressing
-DENSE_TILES = 64  # counted at once
+DENSE_TILES = 16  # counted at once
+STEP_WORDS = 1 << 16  # of a block that are looked up at once
 HEAD = 1 << 18  # most frequent phrases of a level that have ranks; the others go by their keys
 MOST_BITS = 1 << 28  # of the bitmap of those others
 BUCKET_WORDS = 250_000  # of a language's words to a bucket of pairs
 MOST_BUCKETS = 1 << 16
-PENDING = 2_000_000  # entries that a bucket adds up at once
+PENDING = 500_000  # entries that a bucket adds up at once
 JOINED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -142,7 +143,8 @@ def word_counts(rows: DataFrame, least: int) -> DataFrame:
     """(lang, key, word, n): the words that occur at least ``least`` times in a language."""
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for lang, vocabulary, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            for i in range(batch.num_rows):
+                lang, vocabulary, counts = (c[i].as_py() for c in batch.columns)
                 words, n = vocabulary.split(b" ") if vocabulary else [], unpacked(counts, "<u4")
                 for i in range(0, len(words), 20_000):
                     own = words[i:i + 20_000]
@@ -242,12 +244,13 @@ def tile_counts(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nda
     if not len(left):
         return left, right, left
     side = int(max(left.max(), right.max())) // TILE + 1
-    tile = left // TILE * side + right // TILE
     if side <= 4096:
+        tile = left // TILE * np.uint32(side) + right // TILE
         hits = np.bincount(tile, minlength=side * side)
         dense = np.flatnonzero(hits >= DENSE_HITS)
         place = np.full(side * side, -1, np.int32)
     else:  # tiles too many to be addressed themselves
+        tile = left.astype(np.int64) // TILE * side + right // TILE
         every, hits = np.unique(tile, return_counts=True)
         dense, place = every[hits >= DENSE_HITS], None
     out = []
@@ -269,7 +272,7 @@ def tile_counts(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nda
         full = np.flatnonzero(counts)
         t, c = some[full // (TILE * TILE)], full % (TILE * TILE)
         out.append((t // side * TILE + c // TILE, t % side * TILE + c % TILE, counts[full]))
-    keys, times = np.unique(left[~in_dense] << 32 | right[~in_dense], return_counts=True)
+    keys, times = np.unique(left[~in_dense].astype(np.int64) << 32 | right[~in_dense], return_counts=True)
     out.append((keys >> 32, keys & 0xFFFFFFFF, times))
     return tuple(np.concatenate(x) for x in zip(*out))
 
@@ -282,23 +285,29 @@ def key_counts(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _level_pairs(vocabulary: bytes, words: bytes, context: bytes, level: int, known: Known):
     """The pairs of frequent phrases of ``level`` words that start at neighbouring words of a block."""
-    place = unpacked(words, "<u4").astype(np.int64)
-    keys = np.concatenate([np.zeros(1, np.uint64), word_keys(vocabulary.split(b" ") if vocabulary else [])])[place]
-    piece = np.cumsum(place == 0)
-    ends = np.ones(len(place), bool)
-    ends[unpacked(context, "<u4")] = False
-    for k in range(1, level):
-        keys = joined(keys[:-1], keys[1:])
-    n = len(keys) - 1
-    if n <= 0:
-        return (np.empty(0, np.int64),) * 2, (np.empty(0, np.uint64),) * 2
-    ranks = known.rank(keys)
-    # One piece from the first to the last word, which is not a break; the last word is counted here.
-    whole = (piece[:n] == piece[level:level + n]) & (place[:n] > 0) & (place[level:level + n] > 0) & ends[level:level + n]
-    at = np.flatnonzero(whole & (ranks[:n] != -1) & (ranks[1:] != -1))
-    ranked = (ranks[at] >= 0) & (ranks[at + 1] >= 0)
-    a, b = at[ranked], at[~ranked]
-    return (ranks[a], ranks[a + 1]), (keys[b], keys[b + 1])
+    every = unpacked(words, "<u4")
+    of = np.concatenate([np.zeros(1, np.uint64), word_keys(vocabulary.split(b" ") if vocabulary else [])])
+    seen = np.sort(unpacked(context, "<u4"))
+    pairs: tuple[list, ...] = ([], [], [], [])
+    # Places go by in steps; a pair is found from the level + 1 words that it has.
+    for lo in range(0, len(every) - level, STEP_WORDS):
+        place = every[lo:lo + STEP_WORDS + level]
+        keys, piece = of[place], np.cumsum(place == 0, dtype=np.int32)
+        ends = np.ones(len(place), bool)
+        ends[seen[np.searchsorted(seen, lo):np.searchsorted(seen, lo + len(place))].astype(np.int64) - lo] = False
+        for k in range(1, level):
+            keys = joined(keys[:-1], keys[1:])
+        n = len(keys) - 1
+        ranks = known.rank(keys)
+        # One piece from the first to the last word, which is not a break; the last word is counted here.
+        whole = (piece[:n] == piece[level:level + n]) & (place[:n] > 0) & (place[level:level + n] > 0) & ends[level:level + n]
+        at = np.flatnonzero(whole & (ranks[:n] != -1) & (ranks[1:] != -1))
+        ranked = (ranks[at] >= 0) & (ranks[at + 1] >= 0)
+        a, b = at[ranked], at[~ranked]
+        for held, found in zip(pairs, (ranks[a].astype(np.uint32), ranks[a + 1].astype(np.uint32), keys[b], keys[b + 1])):
+            held.append(found)
+    left, right, first, second = (np.concatenate([np.empty(0, t), *held]) for t, held in zip((np.uint32, np.uint32, np.uint64, np.uint64), pairs))
+    return (left, right), (first, second)
 
 
 def pair_counts(rows: DataFrame, level: int, known: dict[str, Known], words_of: dict[str, int], least: int) -> DataFrame:
@@ -310,7 +319,8 @@ def pair_counts(rows: DataFrame, level: int, known: dict[str, Known], words_of:
 
     def count(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for lang, *block in zip(*(c.to_pylist() for c in batch.columns)):
+            for i in range(batch.num_rows):
+                lang, *block = (c[i].as_py() for c in batch.columns)
                 own = sent.value.get(lang)
                 if own is None:
                     continue
@@ -342,7 +352,8 @@ def pair_counts(rows: DataFrame, level: int, known: dict[str, Known], words_of:
         lang = ranked = None
         size = done = 0
         for batch in group:
-            for lang, _, ranked, left, right, times in zip(*(c.to_pylist() for c in batch.columns)):
+            for i in range(batch.num_rows):
+                lang, _, ranked, left, right, times = (c[i].as_py() for c in batch.columns)
                 kind = "<u4" if ranked else "<u8"
                 held.append((unpacked(left, kind), unpacked(right, kind), unpacked(times, "<u4").astype(np.int64)))
                 size += len(held[-1][0])
