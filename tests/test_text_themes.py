@@ -199,6 +199,31 @@ def test_few_pairs_are_counted_where_single_tokens_leave_room(spark):
     assert pairs(tfidf.terms) < pairs(every) / 2
 
 
+def test_only_terms_that_a_vocabulary_may_hold_are_kept_by_document(spark, monkeypatch):
+    from topictide.operators import term_counts as C
+
+    monkeypatch.setattr(C, "RUN_TOKENS", 50)
+    monkeypatch.setattr(C, "OUT_ROWS", 7)
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(1000)]
+    rows = [(i, None if i % 9 == 0 else i % 3, "L", f"2024-0{1 + i // 3 % 8}-11", "often seen " * 3 + " ".join(rnd.choices(words, range(1000, 0, -1), k=60))
+             + (" seldom heard" * 9 if i % 24 == 1 or i % 24 == 4 else "")) for i in range(240)]
+    posts = spark.createDataFrame(rows, POSTS)
+    targets = H.window_targets(posts).where("cluster > 0 OR cluster IS NULL")
+    tfidf = H.Tfidf(posts, targets, max_df=0.6, max_features=80)
+    every = H.document_terms(posts).join(targets.select("cluster", "time_window"), ["cluster", "time_window"], "left_semi")
+    want = H.vocabulary(every, F.lit(targets.count()), max_df=0.6, max_features=80)
+    table = lambda df: sorted((r.term, r.df, r.total, round(r.idf, 9)) for r in df.collect())
+    assert table(tfidf.vocabulary) == table(want) and want.where("term = 'seldom heard'").count() == 1
+    rows_of = lambda df: sorted(tuple(r) for r in df.join(want, "term", "left_semi").select("cluster", "time_window", "term", "tf").collect())
+    assert rows_of(tfidf.terms) == rows_of(every)
+    kept = {r.term for r in tfidf.terms.collect()}
+    assert {"often", "seen", "often seen"} <= {r.term for r in every.collect()} and not {"often", "seen", "often seen"} & kept
+    least = want.agg(F.min("total")).first()[0]
+    totals = {r.term: r.total for r in every.groupBy("term").agg(F.sum("tf").alias("total")).collect()}
+    assert min(totals[t] for t in kept) > least / 2
+
+
 def test_runs_have_the_tokens_of_the_text(spark, monkeypatch):
     from topictide.operators import term_counts as C
 

@@ -17,14 +17,15 @@ from topictide.functions.text import DOCUMENT_STOP_WORDS, content_tokens, normal
 from topictide.operators.positions import in_order, positioned
 from topictide.operators.ranking import most_frequent
 from topictide.operators.temporal import valid_timestamps, with_window
-from topictide.operators.term_counts import BUCKET_BITS, full_buckets, pair_run, run_counts, token_runs
+from topictide.operators.term_counts import BUCKET_BITS, dealt_counts, full_buckets, limited_counts, pair_run, run_counts, token_runs
 from topictide.runtime import bounded_broadcast, materialize
 from topictide.schemas import require_columns
 from topictide.sources.lexicon import Lexicon
 
 DOC = ["cluster", "time_window"]
 PART_ROWS = 10_000
-SLICES = (8, 64)  # buckets of tokens and of pairs, of which one is counted first
+SLICES = (16, 64)  # buckets of tokens and of pairs, of which one is counted first
+SEGMENTS, SEGMENT_TOKENS = 32, 1 << 21  # ranges of buckets: at least, and tokens of the text for each
 SLICE_MARGIN = 1.15  # by which a slice may be off
 GLOBAL_THRESHOLD = 0.03
 REASONING = "Share of the theme's terms in the weighted terms of the topic's posts; active from the theme's threshold on."
@@ -102,11 +103,11 @@ def post_runs(posts: DataFrame, freq: str = "1M", stop_words=DOCUMENT_STOP_WORDS
 
 
 def _with_borders(runs: DataFrame) -> DataFrame:
-    """(cluster, time_window, vocabulary, counts, ids): the runs, and every two tokens that meet between runs."""
+    """(cluster, time_window, n, vocabulary, ids): the runs, and every two tokens that meet between runs."""
     before = F.lag("last").over(W.partitionBy(*DOC).orderBy("at"))
     borders = runs.select(*DOC, "first", before.alias("_before")).where("_before IS NOT NULL")
     meet = borders.select(*DOC, *(c.alias(k) for k, c in pair_run(F.col("_before"), F.col("first")).items()))
-    return runs.select(*DOC, "vocabulary", "counts", "ids").unionByName(meet)
+    return runs.select(*DOC, "n", "vocabulary", "ids").unionByName(meet)
 
 
 def document_terms(posts: DataFrame, freq: str = "1M", ngrams: tuple[int, int] = (1, 2),
@@ -118,7 +119,7 @@ def document_terms(posts: DataFrame, freq: str = "1M", ngrams: tuple[int, int] =
     return run_counts(runs if ngrams == (1, 1) else _with_borders(runs), DOC, ngrams)
 
 
-def frequent_document_terms(posts: DataFrame, targets: DataFrame, n_docs, min_df: int, max_df: float, max_features: int, freq: str = "1M",
+def frequent_document_terms(posts: DataFrame, targets: DataFrame, n_docs: int, min_df: int, max_df: float, max_features: int, freq: str = "1M",
                             stop_words=DOCUMENT_STOP_WORDS, chunk_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``document_terms`` of the target documents, less terms that no vocabulary of
     ``max_features`` terms can hold, and those of their terms that lie within the df limits.
@@ -128,27 +129,29 @@ def frequent_document_terms(posts: DataFrame, targets: DataFrame, n_docs, min_df
     of a bucket that reaches this total, which hold every term as frequent, are counted by document.
     Where fewer terms than the vocabulary holds have that total and lie within the df limits,
     it was too high, and half of it is taken."""
-    runs = _with_borders(post_runs(posts, freq, stop_words, chunk_rows))
+    lone = post_runs(posts, freq, stop_words, chunk_rows)
+    runs = _with_borders(lone)
+    segments = max(SEGMENTS, (lone.agg(F.sum("n")).first()[0] or 0) // SEGMENT_TOKENS)
 
-    def counted(buckets) -> DataFrame:
-        return materialize(run_counts(runs, DOC, buckets=buckets).join(targets, DOC, "left_semi"))
+    limits = min_df, n_docs * max_df
 
-    def limited(terms: DataFrame) -> DataFrame:
-        return _within_limits(terms, n_docs, min_df, max_df)
+    def totals(terms: DataFrame) -> DataFrame:
+        return terms.where("df IS NOT NULL").select("term", "df", "total", F.lit(n_docs).alias("_n"))
 
     least = 0
     if max_features:
-        some = limited(counted([np.arange(1 << BUCKET_BITS) % n == 0 for n in SLICES]))
-        least = _last_total(some.withColumn("_times", F.when(F.contains(F.col("term"), F.lit(" ")), SLICES[1]).otherwise(SLICES[0])), max_features)
+        some = materialize(dealt_counts(runs, DOC, [np.arange(1 << BUCKET_BITS) % n == 0 for n in SLICES], segments, summed=True))
+        times = F.when(F.contains(F.col("term"), F.lit(" ")), SLICES[1]).otherwise(SLICES[0])
+        least = _last_total(totals(limited_counts(some, DOC, targets, 0, limits, by_document=False)).withColumn("_times", times), max_features)
     while least > min_df:
-        full = full_buckets(runs, DOC, least)
-        terms = counted([full, full])
-        kept = limited(terms)
-        if kept.where(F.col("total") >= least).count() >= max_features:
-            return terms, kept
+        full = full_buckets(some, least)
+        terms = materialize(limited_counts(dealt_counts(runs, DOC, [full, full], segments), DOC, targets, least, limits))
+        kept = totals(terms)
+        if kept.count() >= max_features:
+            return terms.select(*DOC, "term", "tf"), kept
         least //= 2
-    terms = counted(None)
-    return terms, limited(terms)
+    terms = materialize(run_counts(runs, DOC).join(targets, DOC, "left_semi"))
+    return terms, _within_limits(terms, F.lit(n_docs), min_df, max_df)
 
 
 def _last_total(terms: DataFrame, most: int) -> int:
@@ -192,12 +195,12 @@ class Tfidf:
                  max_df: float = 0.9, max_features: int = 50_000, ngrams: tuple[int, int] = (1, 2), **terms):
         rows = materialize(targets.select(*DOC))
         self.targets = rows.distinct()
-        n_docs = rows.agg(F.count(F.lit(1))).scalar()
+        n_docs = rows.count()
         if ngrams == (1, 2):
             self.terms, kept = frequent_document_terms(posts, self.targets, n_docs, min_df, max_df, max_features, freq, **terms)
         else:
             self.terms = materialize(document_terms(posts, freq, ngrams, **terms).join(self.targets, DOC, "left_semi"))
-            kept = _within_limits(self.terms, n_docs, min_df, max_df)
+            kept = _within_limits(self.terms, F.lit(n_docs), min_df, max_df)
         self.vocabulary = materialize(_most_frequent_terms(kept, max_features))
         vocab = bounded_broadcast(self.vocabulary.select("term", "idf"), max_features)
         self.raw = self.terms.join(vocab, "term").select(*DOC, "term", (F.col("tf") * F.col("idf")).alias("w"))
