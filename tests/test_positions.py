@@ -42,6 +42,12 @@ def test_most_frequent(spark, most):
     assert got == set(sorted(rows, key=lambda x: (-x[1], x[0]))[:most])
 
 
+def test_most_frequent_where_a_class_of_counts_ends_at_the_last_row(spark):
+    rows = [(f"t{i:03d}", 1000 if i < 5 else 1) for i in range(40)]
+    got = {tuple(x) for x in most_frequent(spark.createDataFrame(rows, "term string, n long"), "n", "term", 5).collect()}
+    assert got == set(rows[:5])
+
+
 def test_map_sample_is_the_rows_with_the_smallest_hashes(spark):
     import hashlib
 

@@ -68,8 +68,10 @@ def most_frequent(rows: DataFrame, count: str, name: str, most: int) -> DataFram
     octave = F.floor(F.log2(F.col(count).cast("double")) * 16)
     classes = sizes.groupBy(octave.alias("_from")).agg(F.sum("_c").alias("_n")).withColumn("_run", F.sum("_n").over(upto))
     edge = classes.where(F.col("_run") - F.col("_n") < most).agg(F.min("_from").alias("_edge"), F.max("_run").alias("_all")).first()
-    if edge["_edge"] is None or edge["_all"] <= most:
+    if edge["_edge"] is None:
         return rows
+    if edge["_all"] <= most:
+        return rows.where(octave >= edge["_edge"])
     # Within the last class the same by single counts, then by name among the last count.
     inner = sizes.where(octave == edge["_edge"]).orderBy(F.desc(count)).collect()
     above = rows.where(octave > edge["_edge"]).count()
