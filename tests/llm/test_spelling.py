@@ -104,3 +104,11 @@ def test_ties_take_the_smallest_form(spark):
 def test_ratio_has_to_grow(spark):
     with pytest.raises(ValueError):
         spelling.with_roots(spark.createDataFrame([], "word string, n long, n_near long, form string, form_n long"), 1)
+
+
+def test_signatures_are_not_broadcast(spark, tmp_path):
+    words = spark.createDataFrame([("abcdefg", 9), ("abcdefh", 7)], "word string, n long")
+    words.write.parquet(f"{tmp_path}/words")  # a table whose size Spark takes for that of its signatures
+    pairs = spelling.near_pairs(spark.read.parquet(f"{tmp_path}/words"))
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert [(r.a, r.n_a, r.b, r.n_b) for r in pairs.collect()] == [("abcdefg", 9, "abcdefh", 7)]

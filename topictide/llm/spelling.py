@@ -125,7 +125,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     rows = signature_rows(words)
     a = rows.select("key", F.col("word").alias("a"), F.col("n").alias("n_a"), F.col("longer").alias("longer_a"))
     b = rows.select("key", F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("longer").alias("longer_b"))
-    found = a.join(b, "key").where("a < b and longer_a + longer_b < 2").where(F.levenshtein("a", "b", 1) == 1)
+    # A word has 40 rows here, which Spark's estimate of their size doesn't know: never broadcast them.
+    found = a.join(b.hint("merge"), "key").where("a < b and longer_a + longer_b < 2").where(F.levenshtein("a", "b", 1) == 1)
     return found.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
 
 
